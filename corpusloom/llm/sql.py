@@ -2,4 +2,65 @@
 
 from __future__ import annotations
 
-SQL: dict[str, str] = {}
+#: Lower-cases A-Z only.
+_LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+_WORDS = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+OP4 = f"""
+WITH d AS (SELECT doc_id, {_WORDS.format(_LOWER.format("text"))} AS w FROM documents),
+i AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS.format(_LOWER.format("text"))} AS w FROM benchmark),
+i2 AS (SELECT item, w, least(10, len(w)) AS k FROM i WHERE len(w) > 0),
+win AS (
+  SELECT DISTINCT item, k, array_to_string(w[s:s + k - 1], ' ') AS g
+  FROM (SELECT item, w, k, unnest(range(1, CAST(len(w) - k + 2 AS BIGINT))) AS s FROM i2)
+),
+lens AS (SELECT DISTINCT k FROM win),
+dw AS (
+  SELECT doc_id, k, s, array_to_string(w[s:s + k - 1], ' ') AS g
+  FROM (SELECT doc_id, w, k, unnest(range(1, CAST(len(w) - k + 2 AS BIGINT))) AS s FROM d, lens WHERE len(w) >= k)
+),
+hit AS (SELECT dw.doc_id, dw.s, dw.k, win.item FROM dw JOIN win ON dw.k = win.k AND dw.g = win.g),
+pos AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + k)) AS p FROM hit) GROUP BY doc_id),
+its AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)
+"""
+
+OP5 = r"""
+WITH l AS (
+  SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS line,
+    generate_subscripts(string_split(text, chr(10)), 1) AS i
+  FROM documents
+),
+pages AS (SELECT source, count(*) AS pages FROM documents GROUP BY source),
+freq AS (
+  SELECT source, trim(line) AS k, count(DISTINCT doc_id) AS n FROM l WHERE trim(line) <> '' GROUP BY ALL
+),
+bad AS (
+  SELECT f.source, f.k FROM freq f JOIN pages p ON f.source IS NOT DISTINCT FROM p.source
+  WHERE f.n >= 3 AND f.n > CAST(0.1 AS DOUBLE) * p.pages
+),
+kept AS (
+  SELECT l.doc_id, string_agg(line, chr(10) ORDER BY i) FILTER (WHERE bad.k IS NULL) AS t,
+    count(bad.k) AS lines_dropped
+  FROM l LEFT JOIN bad ON l.source IS NOT DISTINCT FROM bad.source AND trim(l.line) = bad.k
+  GROUP BY l.doc_id
+)
+SELECT d.doc_id, sha256(coalesce(CASE WHEN lines_dropped > 0 THEN kept.t ELSE d.text END, '')) AS text_sha256,
+  coalesce(lines_dropped, 0) AS lines_dropped
+FROM documents d LEFT JOIN kept USING (doc_id)
+"""
+
+OP8 = """
+SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
+  doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
+"""
+
+SQL: dict[str, str] = {
+    "op4_decontaminate": OP4,
+    "op5_line_dedup": OP5,
+    "op8_exact_dedup": OP8,
+}
