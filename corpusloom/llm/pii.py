@@ -1,0 +1,344 @@
+"""Personal data by weak supervision.
+
+Candidate spans are proposed by patterns. Regex, gazetteer and context labelers
+vote on each one (yes, no, abstain); the votes of the whole corpus are counted by
+pattern, expectation-maximisation estimates how reliable each labeler is, and its
+posterior trains a logistic span classifier over votes and span features. Spans
+of the four base kinds are always reported; the classifier decides on the rest.
+
+The counts are exact and cover every candidate. Only they reach the driver: a
+pattern is a kind, a vote of each labeler and a few binary features, so their
+number is bounded by a product of constants and not by the corpus.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from corpusloom.llm.storage import materialize
+
+BASE_KINDS = ("email", "ip", "card", "phone")
+ADDED_KINDS = ("person", "address", "mail_words", "phone_local", "national_id", "iban")
+KINDS = BASE_KINDS + ADDED_KINDS
+
+# The base patterns.
+_AT_RIGHT = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+_LEFT_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+# A match of these begins at the start of a run of digits, so the look-behind
+# changes no match; it keeps a failed run from being tried from every digit.
+_IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
+_CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
+_PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+_DIGIT = re.compile(r"[0-9]")
+
+# Gazetteers (invented for this module; short on purpose).
+_TITLES = "Mr Mrs Ms Dr Prof Herr Frau Monsieur Madame Mme Señor Señora Sr Sra".split()
+_NAMES = (
+    "Anna Maria John James Mary Robert Linda David Susan Peter Paul Laura Karl Hans Jürgen Greta "
+    "Sophie Pierre Claire Jean Marie Luc José Carmen Pablo Lucía Diego Elena"
+).split()
+_STREETS = "Street St Road Rd Avenue Ave Lane Ln Drive Boulevard Straße Strasse Weg Platz".split()
+_DOMAINS = frozenset("com org net edu gov io de fr es uk eu info".split())
+
+_ADDED = {
+    "person": re.compile(
+        rf"\b(?:(?:{'|'.join(_TITLES)})\.?|{'|'.join(_NAMES)})\x20[A-ZÀ-Þ][a-zà-ÿ]{{2,20}}(?:\x20[A-ZÀ-Þ][a-zà-ÿ]{{2,20}})?"
+    ),
+    "address": re.compile(rf"\b[0-9]{{1,5}}\x20(?:[A-ZÀ-Þ][a-zà-ÿ]{{1,20}}\x20){{1,3}}(?:{'|'.join(_STREETS)})\b"),
+    "mail_words": re.compile(
+        r"\b[A-Za-z0-9._%+-]{1,64}(?:\x20at\x20|\x20?[\[(]at[\])]\x20?)[A-Za-z0-9-]{1,63}(?:(?:\x20dot\x20|\x20?[\[(]dot[\])]\x20?)[A-Za-z]{2,12})+\b"
+    ),
+    "phone_local": re.compile(r"(?<![0-9+.-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9.-])"),
+    "national_id": re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
+    "iban": re.compile(r"(?<![A-Z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Z0-9])"),
+}
+_NEEDS_DIGIT = {"address", "phone_local", "national_id", "iban"}
+_NEEDS_WORD = {"mail_words": ("at ", "(at)", "[at]")}
+
+_FOR = re.compile(
+    r"(?i)\b(?:e-?mail|mail|contact|write|call|phone|tel|telephone|mobile|fax|name|named|lives?|address|resident|ssn|"
+    r"id|passport|account|iban|card|visa|patient|born|ip|host|login|kontakt|adresse|nom|nombre|correo|teléfono|téléphone)\b"
+)
+_AGAINST = re.compile(r"(?i)\b(?:version|isbn|issue|order|page|chapter|example|section|build|port|price|invoice|item|dummy|test)\b")
+#: Characters left of a span that the context labelers read.
+CONTEXT = 40
+
+#: Labelers in the order of their votes.
+LABELERS = ("shape", "checksum", "gazetteer", "context", "counter_context")
+FEATURES = ("left_edge", "right_edge", "long", "digits")
+_STATES = 3 ** len(LABELERS) * 2 ** len(FEATURES)
+
+
+def _luhn(digits: str) -> bool:
+    total = 0
+    for i, c in enumerate(reversed(digits)):
+        d = ord(c) - 48
+        if i % 2:
+            d = d * 2 - 9 * (d > 4)
+        total += d
+    return total % 10 == 0
+
+
+def _iban_ok(text: str) -> bool:
+    s = text.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
+
+
+def emails(text: str) -> list[tuple[int, int]]:
+    """Leftmost non-overlapping e-mail spans, in time linear in the text."""
+    out, done, at = [], 0, text.find("@")
+    while at >= 0:
+        left = at
+        while left > done and text[left - 1] in _LEFT_CHARS:
+            left -= 1
+        if left < at and (m := _AT_RIGHT.match(text, at + 1)):
+            done = m.end()
+            out.append((left, done))
+        else:
+            # What stands left of a lone sign cannot be reached from a later one.
+            done = max(done, at + 1)
+        at = text.find("@", done)
+    return out
+
+
+def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
+    """Spans of the four base kinds, offsets in code points."""
+    found = {k: [] for k in BASE_KINDS}
+    if "@" in text:
+        found["email"] = emails(text)
+    if _DIGIT.search(text):
+        found["ip"] = [
+            m.span()
+            for m in _IP.finditer(text)
+            if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m.group().split("."))
+        ]
+        for m in _CARD.finditer(text):
+            if m.end() - m.start() >= 16:
+                digits = m.group().replace(" ", "").replace("-", "")
+                if 16 <= len(digits) <= 19 and _luhn(digits):
+                    found["card"].append(m.span())
+        if "+" in text:
+            found["phone"] = [
+                m.span() for m in _PHONE.finditer(text) if 8 <= sum(c.isdigit() for c in m.group()) <= 15
+            ]
+    return found
+
+
+def _votes(kind: str, text: str, start: int, end: int) -> tuple[int, ...]:
+    """A vote of each labeler: 1 yes, 0 abstains, -1 no."""
+    span = text[start:end]
+    before = text[max(0, start - CONTEXT) : start]
+    digits = sum(c.isdigit() for c in span)
+    shape = checksum = gazetteer = 0
+    if kind in ("email", "mail_words"):
+        tail = re.split(r"[^A-Za-z]+", span)[-1].lower()
+        shape = 1 if kind == "email" or "(" in span or "[" in span else 0
+        gazetteer = 1 if tail in _DOMAINS else -1
+    elif kind == "ip":
+        shape = 1
+        checksum = -1 if span.startswith(("0.", "255.")) else 1
+    elif kind == "card":
+        shape, checksum = 1, 1
+    elif kind in ("phone", "phone_local"):
+        shape = 1 if kind == "phone" or "(" in span or span.count("-") == 2 else 0
+        checksum = 1 if 10 <= digits <= 13 else -1
+    elif kind == "person":
+        first, _, rest = span.partition(" ")
+        shape = 1 if rest.count(" ") else 0
+        gazetteer = 1 if first.rstrip(".") in _TITLES or rest.split(" ")[0] in _NAMES else 0
+    elif kind == "address":
+        shape, gazetteer = 1, 1
+    elif kind == "national_id":
+        shape = 1
+        checksum = -1 if span[:3] in ("000", "666") or span[4:6] == "00" or span[7:] == "0000" else 1
+    elif kind == "iban":
+        shape, checksum = 1, 1 if _iban_ok(span) else -1
+    context = 1 if _FOR.search(before) else 0
+    counter = -1 if _AGAINST.search(before) else 0
+    return shape, checksum, gazetteer, context, counter
+
+
+def _features(text: str, start: int, end: int) -> tuple[int, ...]:
+    left = start == 0 or not text[start - 1].isalnum()
+    right = end == len(text) or not text[end].isalnum()
+    digits = sum(c.isdigit() for c in text[start:end])
+    return int(left), int(right), int(end - start > 16), int(2 * digits > end - start)
+
+
+def encode(kind: str, votes: tuple[int, ...], features: tuple[int, ...]) -> int:
+    code = KINDS.index(kind)
+    for v in votes:
+        code = code * 3 + v + 1
+    for f in features:
+        code = code * 2 + f
+    return code
+
+
+def decode(code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Kind numbers, votes and features of pattern codes."""
+    code = np.asarray(code, np.int64).copy()
+    feats, votes = [], []
+    for _ in FEATURES:
+        feats.append(code % 2)
+        code //= 2
+    for _ in LABELERS:
+        votes.append(code % 3 - 1)
+        code //= 3
+    return code, np.stack(votes[::-1], 1), np.stack(feats[::-1], 1)
+
+
+def candidates(text: str, base: dict[str, list[tuple[int, int]]]) -> list[tuple[str, int, int]]:
+    """Spans of the added kinds that touch no base span and no earlier candidate."""
+    taken = sorted(s for spans in base.values() for s in spans)
+    out: list[tuple[str, int, int]] = []
+    has_digit = bool(_DIGIT.search(text))
+    for kind, pattern in _ADDED.items():
+        if kind in _NEEDS_DIGIT and not has_digit:
+            continue
+        if kind in _NEEDS_WORD and not any(w in text for w in _NEEDS_WORD[kind]):
+            continue
+        out += [(kind, *m.span()) for m in pattern.finditer(text)]
+    if not out:
+        return out
+    kept, busy = [], taken
+    starts = np.array([s for s, _ in busy], np.int64)
+    ends = np.maximum.accumulate(np.array([e for _, e in busy], np.int64)) if busy else starts
+    last = -1
+    for kind, s, e in sorted(out, key=lambda x: (x[1], -x[2], KINDS.index(x[0]))):
+        i = int(np.searchsorted(starts, e, "left"))
+        if s >= last and not (i and ends[i - 1] > s):
+            kept.append((kind, s, e))
+            last = e
+    return kept
+
+
+_SCAN = (
+    "id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, "
+    "base_codes array<int>, found array<struct<kind:int,start:int,stop:int,code:int>>"
+)
+
+
+def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    item = pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("stop", pa.int32()), ("code", pa.int32())])
+    for batch in batches:
+        rows = []
+        for text in batch.column(1):
+            text = text.as_py() or ""
+            base = base_spans(text)
+            joined = ",".join(f"{k}:{s}:{e}" for k in BASE_KINDS for s, e in base[k])
+            codes = [encode(k, _votes(k, text, s, e), _features(text, s, e)) for k in BASE_KINDS for s, e in base[k]]
+            found = [
+                {"kind": KINDS.index(k), "start": s, "stop": e, "code": encode(k, _votes(k, text, s, e), _features(text, s, e))}
+                for k, s, e in candidates(text, base)
+            ]
+            rows.append((*(len(base[k]) for k in BASE_KINDS), hashlib.sha256(joined.encode()).hexdigest(), joined, codes, found))
+        cols = list(zip(*rows)) if rows else [[]] * 8
+        yield pa.RecordBatch.from_arrays(
+            [
+                batch.column(0).cast(pa.int64()),
+                *(pa.array(cols[i], pa.int64()) for i in range(4)),
+                pa.array(cols[4], pa.string()),
+                pa.array(cols[5], pa.string()),
+                pa.array(cols[6], pa.list_(pa.int32())),
+                pa.array(cols[7], pa.list_(item)),
+            ],
+            names=["id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "base_codes", "found"],
+        )
+
+
+def estimate_reliability(votes: np.ndarray, n: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.ndarray, float]:
+    """EM for labelers that are independent given the truth.
+
+    votes: pattern by labeler in -1, 0, 1; n: how often each pattern occurs.
+    Returns the probability that a pattern is personal data, the vote
+    distributions [truth, labeler, vote], and the share of personal data.
+    """
+    one_hot = (votes[:, :, None] == np.array([-1, 0, 1])).astype(float)
+    # Starts from labelers that are right in three of four votes.
+    score = votes.sum(1)
+    post = np.clip(0.5 + 0.25 * score, 0.05, 0.95)
+    table, share = np.full((2, votes.shape[1], 3), 1 / 3), 0.5
+    for _ in range(rounds):
+        for truth, w in ((1, post * n), (0, (1 - post) * n)):
+            counts = np.einsum("p,plv->lv", w, one_hot) + 1.0
+            table[truth] = counts / counts.sum(1, keepdims=True)
+        share = ((post * n).sum() + 1) / (n.sum() + 2)
+        log = [np.log(w) + np.einsum("plv,lv->p", one_hot, np.log(table[t])) for t, w in ((0, 1 - share), (1, share))]
+        post = 1 / (1 + np.exp(np.clip(log[0] - log[1], -50, 50)))
+    return post, table, share
+
+
+def train_span_classifier(codes: np.ndarray, n: np.ndarray, steps: int = 400) -> dict[int, float]:
+    """Probability of personal data for each pattern: EM labels, logistic regression.
+
+    The rows are the corpus's patterns weighted by their counts (their logarithm,
+    so that one copied text does not outvote the rest).
+    """
+    if len(codes) == 0:
+        return {}
+    kind, votes, feats = decode(codes)
+    weight = np.log1p(n.astype(float))
+    labels, _, _ = estimate_reliability(votes, weight)
+    # The base patterns are known to be personal data: they anchor the labels.
+    labels = np.where(kind < len(BASE_KINDS), 1.0, labels)
+    family = np.eye(len(KINDS))[kind] * 0.5
+    x = np.hstack([votes, feats, family, np.ones((len(codes), 1))]).astype(float)
+    # Priors that hold where the corpus has no candidates to learn from.
+    prior = np.concatenate([[1.0, 1.0, 1.0, 1.0, 1.5], [0.2, 0.2, 0.0, 0.0], np.zeros(len(KINDS)), [-1.5]])
+    w = prior.copy()
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        grad = x.T @ (weight * (p - labels)) / weight.sum() + 0.02 * (w - prior)
+        w -= 0.5 * grad
+    p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+    return {int(c): float(v) for c, v in zip(codes, p, strict=True)}
+
+
+def find_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """One row per input row: id, n_email, n_ip, n_card, n_phone, base_sha256, base, added.
+
+    base lists kind:start:end of the base spans by kind and start; added has the
+    spans that the classifier accepts: array<struct<kind, start, stop>>. Offsets
+    are code points, ends exclusive.
+
+    Null text counts as empty; a null id stays null; repeated rows are answered
+    and counted each; candidates that overlap give way to the earlier, then the
+    longer, then the kind listed first; an empty table gives an empty result.
+    Other columns are ignored. Ids are longs.
+    """
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = df.select(F.col(id_col).cast("long").alias("id"), text.alias("text"))
+    scanned = materialize(rows.mapInArrow(_scan, _SCAN), "pii-spans")
+    # Bounded by kinds x votes x features, whatever the corpus.
+    patterns = (
+        scanned.select(F.explode(F.concat("base_codes", F.transform("found", lambda f: f["code"]))).alias("code"))
+        .groupBy("code")
+        .agg(F.count("*").alias("n"))
+        .orderBy("code")
+        .collect()
+    )
+    score = train_span_classifier(
+        np.array([r["code"] for r in patterns], np.int64), np.array([r["n"] for r in patterns], np.int64)
+    )
+    good = [c for c, p in score.items() if p >= threshold]
+    added = (
+        F.filter("found", lambda f: f["code"].isin(good)) if good else F.filter("found", lambda f: F.lit(False))
+    )
+    names = F.array(*(F.lit(k) for k in KINDS))
+    return scanned.select(
+        F.col("id").alias(id_col),
+        *(f"n_{k}" for k in BASE_KINDS),
+        "base_sha256",
+        "base",
+        F.transform(
+            F.array_sort(F.transform(added, lambda f: F.struct(f["kind"], f["start"], f["stop"]))),
+            lambda f: F.struct(F.element_at(names, f["kind"] + 1).alias("kind"), f["start"].alias("start"), f["stop"].alias("stop")),
+        ).alias("added"),
+    )

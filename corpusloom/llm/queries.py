@@ -10,6 +10,18 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document: the base spans and those that the method adds."""
+    from corpusloom.llm.pii import BASE_KINDS, find_pii
+
+    out = find_pii(_table(spark, sf_dir, "documents"))
+    added = F.transform(
+        "added", lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))
+    )
+    spans = F.array_join(F.filter(F.concat(F.array("base"), added), lambda x: x != ""), ",")
+    return out.select("doc_id", *(f"n_{k}" for k in BASE_KINDS), "base_sha256", spans.alias("spans"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with the words that lie in windows of benchmark items."""
     from corpusloom.llm.decontaminate import contamination
@@ -84,6 +96,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_personal_data": op3_personal_data,
     "op4_decontaminate": op4_decontaminate,
     "op5_line_dedup": op5_line_dedup,
     "op7_byte_shards": op7_byte_shards,
