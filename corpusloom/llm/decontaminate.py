@@ -18,6 +18,8 @@ from corpusloom.llm.storage import materialize
 WINDOW = 10
 #: Item words that one broadcast holds; a larger benchmark is joined in blocks.
 BLOCK_ROWS = 500_000
+#: Words of a document that share one context array.
+BLOCK_WORDS = 32
 #: Bytes that are not part of a word (A-Z are, in lower case).
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -142,21 +144,47 @@ def contamination(
     rarity = materialize(counts, "rarity")
     prefixes = materialize(_prefixes(items, rarity, window), "prefixes")
 
-    keyed = source.select(
-        "id", F.xxhash64("text").alias("key"), raw_words(F.col("text")).alias("words")
+    # Each word row carries only the block of words around it, not its document.
+    near = window - 1
+    cuts = F.when(F.size("words") > 0, F.sequence(F.lit(0), F.size("words") - 1, F.lit(BLOCK_WORDS)))
+    blocks = (
+        source.select("id", F.xxhash64("text").alias("key"), raw_words(F.col("text")).alias("words"))
+        .select(
+            "id",
+            "key",
+            F.size("words").alias("n_words"),
+            F.explode(
+                F.transform(
+                    cuts,
+                    lambda s: F.struct(
+                        s.alias("s"),
+                        F.slice(
+                            "words", F.greatest(s - near, F.lit(0)) + 1, F.least(s, F.lit(near)) + BLOCK_WORDS + near
+                        ).alias("ctx"),
+                    ),
+                )
+            ).alias("b"),
+        )
+        .select("id", "key", "n_words", F.col("b.s").alias("s"), F.col("b.ctx").alias("ctx"))
     )
+    own = F.slice("ctx", F.least("s", F.lit(near)) + 1, F.lit(BLOCK_WORDS))
     found = None
     for block in _blocks(prefixes, "word", BLOCK_ROWS):
-        p, size = F.col("p"), F.size("words")
+        p, q = F.col("p"), F.col("q")
         lower = lambda a: F.transform(a, ascii_lower)
         aligned = (
-            keyed.select("id", "key", "words", F.posexplode("words").alias("p", "w"))
+            blocks.select("id", "key", "n_words", "s", "ctx", F.posexplode(own).alias("j", "w"))
             .withColumn("word", ascii_lower(F.col("w")))
             .join(block, "word")
-            # Length bound: the document holds a window. Positional bound: what the
-            # item needs at least on either side of the word fits into the document.
-            .where(size >= F.col("need"))
-            .where(p + F.size("item_right") + 1 >= F.col("need") - F.least(p, F.size("item_left")))
+            .withColumn("p", F.col("s") + F.col("j"))
+            .withColumn("q", F.least("s", F.lit(near)) + F.col("j"))
+            # Length bound: the document holds a window. Positional bound: the words
+            # on either side of the word, here and in the item, can make up a window.
+            .where(F.col("n_words") >= F.col("need"))
+            .where(
+                F.least(p, F.size("item_left")) + F.least(F.col("n_words") - p - 1, F.size("item_right")) + 1
+                >= F.col("need")
+            )
             .select(
                 "id",
                 "key",
@@ -164,12 +192,10 @@ def contamination(
                 "need",
                 "p",
                 _same(
-                    F.reverse(
-                        lower(F.slice("words", F.greatest(p - (window - 2), F.lit(1)), F.least(p, F.lit(window - 1))))
-                    ),
+                    F.reverse(lower(F.slice("ctx", F.greatest(q - near, F.lit(0)) + 1, F.least(q, F.lit(near))))),
                     F.col("item_left"),
                 ).alias("l"),
-                _same(lower(F.slice("words", p + 2, F.lit(window - 1))), F.col("item_right")).alias("r"),
+                _same(lower(F.slice("ctx", q + 2, F.lit(near))), F.col("item_right")).alias("r"),
             )
             # Exact containment: the run of equal words holds a whole window.
             .where(F.col("l") + F.col("r") + 1 >= F.col("need"))
