@@ -10,6 +10,15 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 1024 ids, neighbours together."""
+    from corpusloom.llm.packing import pack
+    from corpusloom.llm.tokens import vocabulary_path
+
+    docs = _table(spark, sf_dir, "documents")
+    return pack(docs, vocabulary_path("byte_bpe_50k.json"), with_ids=False)
+
+
 def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of every document: the base spans and those that the method adds."""
     from corpusloom.llm.pii import BASE_KINDS, find_pii
@@ -47,6 +56,18 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all documents, written to range-coded files and read back."""
+    from corpusloom.llm.idfiles import read_id_digests, write_id_files
+    from corpusloom.llm.storage import scratch_path
+    from corpusloom.llm.tokens import vocabulary_path
+
+    out = scratch_path(spark, "id-files")
+    docs = _table(spark, sf_dir, "documents")
+    write_id_files(docs, out, vocabulary_path("word_bpe_49k.json"), keep_space=False, end_id=2)
+    return read_id_digests(spark, out)
+
+
 def op7_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in 24 contiguous shards of nearly equal bytes."""
     from corpusloom.llm.sharding import shard_by_bytes
@@ -96,9 +117,11 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_retrieval_packing": op2_retrieval_packing,
     "op3_personal_data": op3_personal_data,
     "op4_decontaminate": op4_decontaminate,
     "op5_line_dedup": op5_line_dedup,
+    "op6_id_files": op6_id_files,
     "op7_byte_shards": op7_byte_shards,
     "op8_exact_dedup": op8_exact_dedup,
     "op10_secret_scan": op10_secret_scan,
