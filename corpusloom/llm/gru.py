@@ -14,6 +14,8 @@ from dataclasses import dataclass
 
 import numpy as np
 
+from corpusloom.llm.hashing import join_texts, span_hashes, spans_of
+
 WINDOW, STRIDE = 48, 32
 HIDDEN, EMBED, ATTEND = 8, 8, 8
 #: Words and 4-grams that get an embedding: those of the training sample, at most so many.
@@ -26,11 +28,6 @@ _CHUNK = 2048
 _GRAM_BITS = 20
 _MARK = np.uint8(1)
 
-_R = np.uint64(0x9E3779B97F4A7C15) | np.uint64(1)
-_R_INV = np.uint64(pow(int(_R), -1, 1 << 64))
-_BYTE = np.random.default_rng(20240601).integers(1, 1 << 63, 256, dtype=np.uint64)
-
-
 def normalise(data: np.ndarray) -> np.ndarray:
     """UTF-8 bytes with A-Z and U+00C0-U+00DE in lower case and a blank for all that is in no word."""
     b = data.copy()
@@ -51,17 +48,9 @@ def words_of(data: np.ndarray, bounds: np.ndarray):
     """
     b = normalise(data)
     inside = b != 32
-    edge = np.diff(inside.astype(np.int8), prepend=0, append=0)
-    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    starts, ends = spans_of(inside)
     counts = np.diff(np.searchsorted(starts, bounds))
-    # Polynomial hash of each word from running sums, modulo 2**64.
-    power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(b), _R, np.uint64)]))
-    run = np.concatenate([[np.uint64(0)], np.cumsum(_BYTE[b] * power[:-1], dtype=np.uint64)])
-    # The inverse power at a start brings every word to the same origin.
-    back = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(b), _R_INV, np.uint64)]))
-    h = (run[ends] - run[starts]) * back[starts]
-    h ^= h >> np.uint64(29)
-    return b, starts, ends, counts, h * np.uint64(0xBF58476D1CE4E5B9)
+    return b, starts, ends, counts, span_hashes(b, starts, ends)
 
 
 def grams_of(b: np.ndarray, starts: np.ndarray, ends: np.ndarray):
@@ -84,12 +73,6 @@ def grams_of(b: np.ndarray, starts: np.ndarray, ends: np.ndarray):
     return code[keep], size
 
 
-def join_texts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    parts = [t.encode("utf-8", "replace") for t in texts]
-    sizes = np.array([len(p) + 1 for p in parts], np.int64)
-    return np.frombuffer(b"\n".join(parts) + b"\n", np.uint8), np.concatenate([[0], np.cumsum(sizes)])
-
-
 def windows_of(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, first word within all words, words) of every window.
 

@@ -105,6 +105,13 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its shingle count and its component of near copies."""
+    from corpusloom.llm.jaccard import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document, with how many owners share each."""
     from corpusloom.llm.secrets import BASE_KINDS, scan_secrets
@@ -139,5 +146,6 @@ QUERIES = {
     "op6_id_files": op6_id_files,
     "op7_byte_shards": op7_byte_shards,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_jaccard_join": op9_jaccard_join,
     "op10_secret_scan": op10_secret_scan,
 }
