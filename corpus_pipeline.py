@@ -1,8 +1,79 @@
-"""The corpus pipeline: documents through filtering, cleaning and packing."""
+"""The corpus pipeline: documents become packed training sequences in five stages.
+
+Every stage works on all rows that the one before it kept, and every stage but the
+last returns the columns of `documents`. ORACLE_SQL is None: a trained network and
+a retrieval index have no SQL form, so the tests hold the stages against
+brute-force versions.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corpusloom.llm import decontaminate, jaccard, line_dedup, packing, tokens, toxicity
+from corpusloom.llm.storage import bounded, materialize, scratch_path
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below the threshold; the network learns from the labels in sf_dir."""
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = toxicity.score(docs, model, keep=tuple(docs.columns))
+    return scored.where(F.col("score") < toxicity.THRESHOLD).drop("score")
+
+
+def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the boilerplate lines of their source; n_chars follows the text."""
+    cut = line_dedup.drop_boilerplate(docs, "source", dropped_col="__cut")
+    return cut.withColumn(
+        "n_chars", F.when(F.col("__cut") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    ).drop("__cut")
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of near copies the document with the smallest id.
+
+    Rows without an id stay. Repeated rows of the document that stays are one document.
+    """
+    found = materialize(jaccard.near_duplicates(docs).select("doc_id", "component_id"), "near-copies")
+    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
+    kept = docs.join(bounded(gone), "doc_id", "left_anti").select(*docs.columns)
+    if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
+        kept = kept.where("doc_id is null").unionByName(
+            kept.where("doc_id is not null").dropDuplicates(["doc_id", "text"])
+        )
+    return kept
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no window of a benchmark item occurs."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontaminate.without_contaminated(docs, benchmark)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of packed sequences with their token ids."""
+    return packing.pack(docs, tokens.vocabulary_path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("toxicity", reject_toxic),
+    ("line_dedup", drop_boilerplate_lines),
+    ("jaccard_join", drop_near_copies),
+    ("decontamination", drop_contaminated),
+    ("packing", pack_sequences),
+]
 
-STAGES = []
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over `documents`; each result but the last is written and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        path = scratch_path(spark, f"stage-{name}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)

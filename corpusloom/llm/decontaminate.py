@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.storage import materialize
+from corpusloom.llm.storage import bounded, materialize
 
 WINDOW = 10
 #: Item words that one broadcast holds; a larger benchmark is joined in blocks.
@@ -104,6 +104,7 @@ def contamination(
     item_col: str = "item_id",
     item_text_col: str = "text",
     window: int = WINDOW,
+    keep_key: bool = False,
 ) -> DataFrame:
     """Which words of each document lie in an occurrence of a benchmark window.
 
@@ -112,7 +113,8 @@ def contamination(
     is one window; an item without words has none.
 
     Returns one row per document: id, n_words, n_hit, n_items, item_ids (sorted as
-    strings) and spans (start, end in words, item; end exclusive).
+    strings) and spans (start, end in words, item; end exclusive); with keep_key
+    also key, a hash of the text.
 
     Null text has no words; repeated rows each get the same answer; items with
     equal texts are found together; repeated items count once; a null item id
@@ -237,4 +239,23 @@ def contamination(
         F.size(ids).cast("long").alias("n_items"),
         ids.alias("item_ids"),
         hits.alias("spans"),
+        *(["key"] if keep_key else []),
     )
+
+
+def without_contaminated(
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options
+) -> DataFrame:
+    """The rows of docs, with all their columns, in which no benchmark window occurs.
+
+    Rows are judged by id and text together, null ids included.
+    """
+    key = lambda d: F.xxhash64(F.coalesce(d[text_col].cast("string"), F.lit("")))
+    keyed = docs.select(docs[id_col].alias("__id"), docs[text_col].alias("__text"))
+    found = contamination(keyed, benchmark, "__id", "__text", keep_key=True, **options)
+    bad = materialize(
+        found.where("n_hit > 0").select(F.col("__id").alias("__bad_id"), F.col("key").alias("__bad_key")).distinct(),
+        "contaminated",
+    )
+    same = docs[id_col].eqNullSafe(F.col("__bad_id")) & (key(docs) == F.col("__bad_key"))
+    return docs.join(bounded(bad), same, "left_anti")
