@@ -28,64 +28,73 @@ _HEAD = struct.Struct("<4sIIIIIII")
 MAX_LANES = 4096
 STEPS = 256
 MAX_IDS = MAX_LANES * STEPS
+MAX_ALPHABET = 1 << 19
 
 _U = np.uint64
 _TOP, _BOT = _U(1 << 48), _U(1 << 32)
 _LOW_MASK, _S16, _S48 = _U((1 << 32) - 1), _U(16), _U(48)
-_FLAG_BITS = 12
+#: Outcome shares are parts of 2**10, order-0 shares parts of 2**20: together they
+#: stay below the least range of 2**32, so one division-free step codes an id.
+_FLAG_BITS, _ZERO_BITS = 10, 20
 _ORDER2_BITS = 18
 _CONF = 4
+_UNIT = _U(_FLAG_BITS + _ZERO_BITS)
 
 
 class _Models:
-    """Models of one block; encoder and decoder update them alike."""
+    """Models of one block; encoder and decoder update them alike.
 
-    def __init__(self, alphabet: int):
+    Order 1 and order 2 keep one entry a context: the id that followed, times
+    four, plus a confidence of 0 to 3.
+    """
+
+    def __init__(self, alphabet: int, symbols: bool):
         self.alphabet = alphabet
-        self.next1 = np.full(alphabet + 1, -1, np.int32)
-        self.conf1 = np.zeros(alphabet + 1, np.int8)
-        self.next2 = np.full(1 << _ORDER2_BITS, -1, np.int32)
-        self.conf2 = np.zeros(1 << _ORDER2_BITS, np.int8)
+        self.order1 = np.full(alphabet + 1, -_CONF, np.int32)
+        self.order2 = np.full(1 << _ORDER2_BITS, -_CONF, np.int32)
         # By confidences: order 2 right, order 1 right, neither.
         self.hits = np.ones((_CONF * _CONF, 3), np.int64)
         self.hits[:, 2] = 2
         self.seen = np.zeros(alphabet, np.int64)
+        self.pending: list[np.ndarray] = []
+        self.symbols = symbols
         self.refresh()
 
     def refresh(self) -> None:
-        """Order-0 table; one share for every id, 32 for each time it was seen."""
-        self.cum = np.zeros(self.alphabet + 1, np.int64)
-        np.cumsum(self.seen * 32 + 1, out=self.cum[1:])
+        """Shares of ids and outcomes from all steps so far; no share is zero."""
+        if self.pending:
+            self.seen += np.bincount(np.concatenate(self.pending), minlength=self.alphabet)
+            self.pending = []
+        cum = np.concatenate([[0], np.cumsum(self.seen * 32 + 1)])
+        self.cum = cum * ((1 << _ZERO_BITS) - self.alphabet) // cum[-1] + np.arange(self.alphabet + 1)
+        if self.symbols:
+            kind = np.uint16 if self.alphabet <= 1 << 16 else np.uint32
+            self.symbol = np.repeat(np.arange(self.alphabet, dtype=kind), np.diff(self.cum))
+        total = self.hits.sum(1, keepdims=True)
+        share = self.hits * ((1 << _FLAG_BITS) - 3) // total + 1
+        share[:, 2] = (1 << _FLAG_BITS) - share[:, 0] - share[:, 1]
+        start = np.concatenate([np.zeros((_CONF * _CONF, 1), np.int64), np.cumsum(share, 1)], 1)
+        self.flag_start = start[:, :3].reshape(-1).copy()
+        self.flag_size = share.reshape(-1).copy()
+        self.second, self.third = start[:, 1].copy(), start[:, 2].copy()
 
     def predict(self, a: np.ndarray, b: np.ndarray):
         """a: the last id, b: the one before it (alphabet: none)."""
-        h = ((a.astype(np.uint32) * np.uint32(0x9E3779B1)) ^ (b.astype(np.uint32) * np.uint32(0x85EBCA6B))) >> np.uint32(
+        h = (a.view(np.uint32) * np.uint32(0x9E3779B1) ^ b.view(np.uint32) * np.uint32(0x85EBCA6B)) >> np.uint32(
             32 - _ORDER2_BITS
         )
-        c2, c1 = self.conf2[h], self.conf1[a]
-        return h, self.next2[h], self.next1[a], c2 * np.int8(_CONF) + c1
-
-    def flag_table(self) -> np.ndarray:
-        """Cumulative shares of the three outcomes by confidences, of 2**12."""
-        total = self.hits.sum(1, keepdims=True)
-        share = self.hits * ((1 << _FLAG_BITS) - 3) // total + 1
-        share[:, 2] = (1 << _FLAG_BITS) - share[:, 0] - share[:, 1]
-        return np.concatenate([np.zeros((_CONF * _CONF, 1), np.int64), np.cumsum(share, 1)], 1)
-
-    def learn(self, step: int, x, a, h, p2, p1, conf, flag) -> None:
-        k = np.bincount(conf * 3 + flag, minlength=_CONF * _CONF * 3).reshape(-1, 3)
-        self.hits += k
-        if self.hits.max() > 1 << 20:
-            self.hits = (self.hits >> 1) + 1
-        # Lanes that share a slot write one after the other; the last one stays.
-        for nxt, cnf, slot, pred in ((self.next2, self.conf2, h, p2), (self.next1, self.conf1, a, p1)):
-            right = pred == x
-            c = cnf[slot]
-            replace = ~right & (c == 0)
-            nxt[slot[replace]] = x[replace]
-            cnf[slot] = np.where(right, np.minimum(c + 1, _CONF - 1), np.maximum(c - 1, 0))
-        self.seen += np.bincount(x, minlength=self.alphabet)
-        if step < 8 and step & (step + 1) == 0 or step % 8 == 7:
+        e2, e1 = self.order2[h], self.order1[a]
+        c2, c1 = e2 & (_CONF - 1), e1 & (_CONF - 1)
+        return h, e2, e1, c2, c1, c2 * _CONF + c1
+
+    def learn(self, step: int, x, a, h, e2, e1, c2, c1, flagged) -> None:
+        self.hits += np.bincount(flagged, minlength=_CONF * _CONF * 3).reshape(-1, 3)
+        y = x * _CONF
+        # Lanes that share a context write one after the other; the last one stays.
+        for table, slot, e, c in ((self.order2, h, e2, c2), (self.order1, a, e1, c1)):
+            table[slot] = np.where(e - c == y, e + (c < _CONF - 1), np.where(c > 0, e - 1, y))
+        self.pending.append(x)
+        if step & (step + 1) == 0 or step % 16 == 15:
             self.refresh()
 
 
@@ -99,69 +108,17 @@ def _active(n: int, steps: int, t: int) -> int:
     return (n - 1 - t) // steps + 1 if t < n else 0
 
 
-class _Writer:
-    def __init__(self, lanes: int, steps: int):
-        self.low = np.zeros(lanes, _U)
-        self.rng = np.full(lanes, (1 << 64) - 1, _U)
-        self.words = np.zeros((lanes, 3 * steps + 8), np.uint16)
-        self.n = np.zeros(lanes, np.int64)
-
-    def put(self, lanes: np.ndarray, start: np.ndarray, size: np.ndarray, share: np.ndarray) -> None:
-        """share: the range's part for one unit."""
-        low = self.low[lanes] + share * start
-        rng = share * size
-        while True:
-            same = (low ^ (low + rng)) < _TOP
-            need = same | (rng < _BOT)
-            i = np.flatnonzero(need)
-            if not len(i):
-                break
-            cut = i[~same[i]]
-            rng[cut] = (_U(0) - low[cut]) & _LOW_MASK
-            at = lanes[i]
-            self.words[at, self.n[at]] = (low[i] >> _S48).astype(np.uint16)
-            self.n[at] += 1
-            low[i] <<= _S16
-            rng[i] <<= _S16
-        self.low[lanes], self.rng[lanes] = low, rng
-
-    def close(self) -> None:
-        every = np.arange(len(self.n))
-        for _ in range(4):
-            self.words[every, self.n] = (self.low >> _S48).astype(np.uint16)
-            self.n += 1
-            self.low <<= _S16
-
-
-class _Reader:
-    def __init__(self, words: np.ndarray, counts: np.ndarray):
-        lanes = len(counts)
-        self.words = np.concatenate([words, np.zeros(4, np.uint16)])
-        self.at = np.cumsum(counts) - counts
-        self.low = np.zeros(lanes, _U)
-        self.rng = np.full(lanes, (1 << 64) - 1, _U)
-        self.code = np.zeros(lanes, _U)
-        for _ in range(4):
-            self.code = (self.code << _S16) | self.words[self.at].astype(_U)
-            self.at += 1
-
-    def take(self, lanes: np.ndarray, start: np.ndarray, size: np.ndarray, share: np.ndarray) -> None:
-        low = self.low[lanes] + share * start
-        rng = share * size
-        code = self.code[lanes]
-        while True:
-            same = (low ^ (low + rng)) < _TOP
-            i = np.flatnonzero(same | (rng < _BOT))
-            if not len(i):
-                break
-            cut = i[~same[i]]
-            rng[cut] = (_U(0) - low[cut]) & _LOW_MASK
-            at = lanes[i]
-            code[i] = (code[i] << _S16) | self.words[self.at[at]].astype(_U)
-            self.at[at] += 1
-            low[i] <<= _S16
-            rng[i] <<= _S16
-        self.low[lanes], self.rng[lanes], self.code[lanes] = low, rng, code
+def _renormalise(low: np.ndarray, rng: np.ndarray):
+    """Lanes whose leading word is settled or whose range is too small, until there is none."""
+    i = np.flatnonzero(((low ^ (low + rng)) < _TOP) | (rng < _BOT))
+    while len(i):
+        lo, ra = low[i], rng[i]
+        # A small range that straddles a word is cut at the word's end.
+        ra = np.where((lo ^ (lo + ra)) < _TOP, ra, (_U(0) - lo) & _LOW_MASK)
+        yield i, (lo >> _S48)
+        lo, ra = lo << _S16, ra << _S16
+        low[i], rng[i] = lo, ra
+        i = i[((lo ^ (lo + ra)) < _TOP) | (ra < _BOT)]
 
 
 def encode_block(ids: np.ndarray) -> bytes:
@@ -174,34 +131,45 @@ def encode_block(ids: np.ndarray) -> bytes:
         return _HEAD.pack(MAGIC, 0, 0, 0, 0, 0, 0, 0)
     lanes, steps = _shape(n)
     alphabet = int(ids.max()) + 1
+    if alphabet > MAX_ALPHABET:
+        raise ValueError(f"ids must be below {MAX_ALPHABET}")
     grid = np.zeros(lanes * steps, np.int32)
     grid[:n] = ids
     grid = np.ascontiguousarray(grid.reshape(lanes, steps).T)
-    m, out = _Models(alphabet), _Writer(lanes, steps)
+    m = _Models(alphabet, symbols=False)
+    low_all, rng_all = np.zeros(lanes, _U), np.full(lanes, (1 << 64) - 1, _U)
+    words, count = np.zeros((lanes, 3 * steps + 8), np.uint16), np.zeros(lanes, np.int64)
     a = np.full(lanes, alphabet, np.int32)
     b = a.copy()
-    every = np.arange(lanes)
     for t in range(steps):
         k = _active(n, steps, t)
-        x, a, b, every = grid[t, :k], a[:k], b[:k], every[:k]
-        h, p2, p1, conf = m.predict(a, b)
-        flag = np.where(p2 == x, 0, np.where(p1 == x, 1, 2))
-        table = m.flag_table()
-        start = table[conf, flag]
-        out.put(every, start.astype(_U), (table[conf, flag + 1] - start).astype(_U), out.rng[every] >> _U(_FLAG_BITS))
-        miss = np.flatnonzero(flag == 2)
-        if len(miss):
-            y = x[miss]
-            start = m.cum[y]
-            out.put(miss, start.astype(_U), (m.cum[y + 1] - start).astype(_U), out.rng[miss] // _U(m.cum[-1]))
-        m.learn(t, x, a, h, p2, p1, conf, flag)
+        x, a, b, low, rng = grid[t, :k], a[:k], b[:k], low_all[:k], rng_all[:k]
+        h, e2, e1, c2, c1, conf = m.predict(a, b)
+        y = x * _CONF
+        flag = np.where(e2 - c2 == y, 0, np.where(e1 - c1 == y, 1, 2))
+        flagged = conf * 3 + flag
+        start, size = m.flag_start[flagged], m.flag_size[flagged]
+        miss = flag == 2
+        below = m.cum[x]
+        share = np.where(miss, m.cum[x + 1] - below, 1 << _ZERO_BITS) * size
+        start = (start << _ZERO_BITS) + np.where(miss, below, 0) * size
+        rng >>= _UNIT
+        low += rng * start.view(_U)
+        rng *= share.view(_U)
+        for i, word in _renormalise(low, rng):
+            words[i, count[i]] = word
+            count[i] += 1
+        m.learn(t, x, a, h, e2, e1, c2, c1, flagged)
         a, b = x, a
-    out.close()
-    counts = out.n.astype("<u2")
-    used = np.arange(out.words.shape[1])[None, :] < out.n[:, None]
-    words = out.words[used].astype("<u2")
-    body = counts.tobytes() + words.tobytes()
-    head = _HEAD.pack(MAGIC, n, alphabet, lanes, steps, len(words), zlib.crc32(body), zlib.crc32(ids.tobytes()))
+    every = np.arange(lanes)
+    for _ in range(4):
+        words[every, count] = (low_all >> _S48).astype(np.uint16)
+        count += 1
+        low_all <<= _S16
+    used = np.arange(words.shape[1])[None, :] < count[:, None]
+    flat = words[used].astype("<u2")
+    body = count.astype("<u2").tobytes() + flat.tobytes()
+    head = _HEAD.pack(MAGIC, n, alphabet, lanes, steps, len(flat), zlib.crc32(body), zlib.crc32(ids.tobytes()))
     return head + body
 
 
@@ -211,39 +179,44 @@ def decode_block(block: bytes) -> np.ndarray:
         raise ValueError("truncated block")
     magic, n, alphabet, lanes, steps, n_words, body_crc, ids_crc = _HEAD.unpack_from(block)
     body = block[_HEAD.size :]
+    if n == 0 and magic == MAGIC and not body:
+        return np.zeros(0, np.uint32)
     if magic != MAGIC or zlib.crc32(body) != body_crc or len(body) != 2 * (lanes + n_words):
         raise ValueError("damaged block")
-    if n == 0:
-        return np.zeros(0, np.uint32)
-    counts = np.frombuffer(body, "<u2", lanes).astype(np.int64)
-    r = _Reader(np.frombuffer(body, "<u2", n_words, 2 * lanes), counts)
-    m = _Models(alphabet)
+    count = np.frombuffer(body, "<u2", lanes).astype(np.int64)
+    words = np.concatenate([np.frombuffer(body, "<u2", n_words, 2 * lanes).astype(_U), np.zeros(4, _U)])
+    at_all = np.cumsum(count) - count
+    low_all, rng_all, code_all = np.zeros(lanes, _U), np.full(lanes, (1 << 64) - 1, _U), np.zeros(lanes, _U)
+    for _ in range(4):
+        code_all = (code_all << _S16) | words[at_all]
+        at_all += 1
+    m = _Models(alphabet, symbols=True)
     grid = np.zeros((steps, lanes), np.int32)
     a = np.full(lanes, alphabet, np.int32)
     b = a.copy()
-    every = np.arange(lanes)
     for t in range(steps):
         k = _active(n, steps, t)
-        a, b, every = a[:k], b[:k], every[:k]
-        h, p2, p1, conf = m.predict(a, b)
-        table = m.flag_table()
-        share = r.rng[every] >> _U(_FLAG_BITS)
-        v = ((r.code[every] - r.low[every]) // share).astype(np.int64)
-        mine = table[conf]
-        flag = (v >= mine[:, 1]).astype(np.int64) + (v >= mine[:, 2])
-        start = mine[np.arange(k), flag]
-        r.take(every, start.astype(_U), (mine[np.arange(k), flag + 1] - start).astype(_U), share)
-        x = np.where(flag == 0, p2, p1)
-        miss = np.flatnonzero(flag == 2)
-        if len(miss):
-            share = r.rng[miss] // _U(m.cum[-1])
-            v = np.minimum((r.code[miss] - r.low[miss]) // share, _U(m.cum[-1] - 1)).astype(np.int64)
-            y = np.searchsorted(m.cum, v, "right") - 1
-            start = m.cum[y]
-            r.take(miss, start.astype(_U), (m.cum[y + 1] - start).astype(_U), share)
-            x[miss] = y
+        a, b, low, rng, code, at = a[:k], b[:k], low_all[:k], rng_all[:k], code_all[:k], at_all[:k]
+        h, e2, e1, c2, c1, conf = m.predict(a, b)
+        rng >>= _UNIT
+        v = ((code - low) // rng).view(np.int64)
+        top = v >> _ZERO_BITS
+        flag = (top >= m.second[conf]).view(np.int8) + (top >= m.third[conf])
+        flagged = conf * 3 + flag
+        start, size = m.flag_start[flagged], m.flag_size[flagged]
+        miss = flag == 2
+        rest = (v - (start << _ZERO_BITS)) // size
+        x = np.where(miss, m.symbol[np.where(miss, rest, 0)], np.where(flag == 0, e2, e1) >> 2).astype(np.int32)
+        below = m.cum[x]
+        share = np.where(miss, m.cum[x + 1] - below, 1 << _ZERO_BITS) * size
+        start = (start << _ZERO_BITS) + np.where(miss, below, 0) * size
+        low += rng * start.view(_U)
+        rng *= share.view(_U)
+        for i, _ in _renormalise(low, rng):
+            code[i] = (code[i] << _S16) | words[at[i]]
+            at[i] += 1
         grid[t, :k] = x
-        m.learn(t, x, a, h, p2, p1, conf, flag)
+        m.learn(t, x, a, h, e2, e1, c2, c1, flagged)
         a, b = x, a
     ids = np.ascontiguousarray(grid.T).reshape(-1)[:n].astype("<u4")
     if zlib.crc32(ids.tobytes()) != ids_crc:

@@ -14,7 +14,7 @@ from itertools import chain
 import numpy as np
 
 #: Pieces that a worker remembers; past it the memory is emptied and refilled.
-MEMORY = 600_000
+MEMORY = 1_200_000
 #: A special token of both vocabularies: what stands on either side of it is encoded apart.
 APART = "<|endoftext|>"
 
@@ -58,7 +58,8 @@ class Encoder:
         may hold a special token marks its text for encoding as a whole."""
         n = len(self.lead)
         bare = [p[n:] if p[:n] == self.lead else p for p in pieces] if n else pieces
-        odd = [not w or w != w.strip() or "<|" in w for w in bare]
+        # A line feed alone is a word of its own between two pieces without white space.
+        odd = [(not w or w != w.strip() or "<|" in w) and p != "\n" for w, p in zip(bare, pieces, strict=True)]
         safe = ["" if o else p for p, o in zip(pieces, odd, strict=True)] if any(odd) else pieces
         rows = [APART.join(safe[i : i + 512]) for i in range(0, len(safe), 512)]
         ids = []
@@ -76,10 +77,14 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row as int32, number of ids of each text)."""
-        if self.lead:  # "a b c" -> "a", " b", " c": the first piece has no space before it
-            split = [t.replace(" ", "\0 ").split("\0") if "\0" not in t else [t] for t in texts]
-        else:
-            split = [t.split(" ") for t in texts]
+        if self.lead:  # "a b\nc" -> "a", " b", "\n", "c": the first piece has no space before it
+            split = [
+                t.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") if "\0" not in t else [t] for t in texts
+            ]
+        else:  # white space of any kind is dropped and letters are put in lower case
+            split = [
+                (t.encode().lower().decode().replace("\n", " ") if "<|" not in t else t).split(" ") for t in texts
+            ]
         counts = np.fromiter(map(len, split), np.int64, len(split))
         if len(self.known) > self.limit:
             self._reset()
