@@ -303,13 +303,18 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = 5, seed: int = 13,
     keep = np.flatnonzero(wpos + wneg >= 3)
     keep = np.sort(keep[np.argsort(-(wpos + wneg)[keep], kind="stable")[:MAX_WORDS]])
     gram, gnum = np.unique(code, return_inverse=True)
-    # A text's grams: those of its distinct words.
+    # A text's grams: those of its distinct words. Some texts at a time, to bound memory.
     span = np.cumsum(size) - size
-    pair = np.unique(number.astype(np.int64) * max(len(texts), 1) + doc)
-    pw, pd = pair // max(len(texts), 1), pair % max(len(texts), 1)
-    rep = size[pw]
-    inner = np.arange(int(rep.sum())) - np.repeat(np.cumsum(rep) - rep, rep)
-    gpos, gneg = by_label(gnum[np.repeat(span[pw], rep) + inner], np.repeat(pd, rep), len(gram))
+    gpos, gneg = np.zeros(len(gram), np.int64), np.zeros(len(gram), np.int64)
+    for d in range(0, len(texts), 100):
+        here = slice(*np.searchsorted(doc, [d, d + 100]))
+        pair = np.unique(number[here].astype(np.int64) * len(texts) + doc[here])
+        pw, pd = pair // len(texts), pair % len(texts)
+        rep = size[pw]
+        inner = np.arange(int(rep.sum())) - np.repeat(np.cumsum(rep) - rep, rep)
+        more = by_label(gnum[np.repeat(span[pw], rep) + inner], np.repeat(pd, rep), len(gram))
+        gpos += more[0]
+        gneg += more[1]
     gkeep = np.flatnonzero(gpos + gneg >= 3)
     gkeep = np.sort(gkeep[np.argsort(-(gpos + gneg)[gkeep], kind="stable")[:MAX_GRAMS]])
 

@@ -14,7 +14,7 @@ def _powers(base: int, n: int) -> np.ndarray:
     """base ** 0 .. base ** n modulo 2 ** 64; kept for the next batch."""
     known = _POWERS.get(base)
     if known is None or len(known) <= n:
-        size = max(n + 1, 1 << 20)
+        size = max(n + 1, _BLOCK + 1)
         grown = np.cumprod(np.concatenate([[np.uint64(1)], np.full(size, base, np.uint64)]))
         if size > 1 << 22:  # one huge text must not stay in memory
             return grown
@@ -28,12 +28,29 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+#: Bytes whose running sums are held at once.
+_BLOCK = 1 << 20
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each byte span: a polynomial of randomly renamed bytes, mixed."""
-    run = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * _powers(_R, len(data))[: len(data)], dtype=np.uint64, out=run[1:])
-    # The inverse power at a start brings every span to the same origin.
-    return mix((run[ends] - run[starts]) * _powers(_R_INV, len(data))[starts])
+    """64-bit hash of each byte span: a polynomial of randomly renamed bytes, mixed.
+
+    Spans are in order and do not overlap. They are hashed in blocks, so that only
+    a block's running sums (or those of one longer span) are in memory.
+    """
+    out = np.empty(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):
+        first = int(starts[i])
+        j = max(i + 1, int(np.searchsorted(ends, first + _BLOCK, "right")))
+        part = data[first : int(ends[j - 1])]
+        run = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(_BYTE[part] * _powers(_R, len(part))[: len(part)], dtype=np.uint64, out=run[1:])
+        # The inverse power at a start brings every span to the same origin.
+        a, b = starts[i:j] - first, ends[i:j] - first
+        out[i:j] = mix((run[b] - run[a]) * _powers(_R_INV, len(part))[a])
+        i = j
+    return out
 
 
 def join_texts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm import rangecoder, tokens
+from corpusloom.llm.worker import task
 
 #: A segment ends with the document that reaches so many ids.
 SEGMENT_IDS = rangecoder.MAX_IDS
@@ -26,6 +27,7 @@ FORMAT = "part int, seq int, start long, n_ids long, doc_ids array<long>, length
 
 
 def _writer(path: str, keep_space: bool, end_id: int | None, segment_ids: int):
+    @task("tokens")
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         encode = tokens.encoder(path, keep_space).encode
@@ -114,6 +116,7 @@ def write_id_files(
     ).parquet(out)
 
 
+@task("idfiles")
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():
@@ -136,6 +139,7 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+@task("idfiles")
 def _ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():

@@ -34,6 +34,7 @@ from corpusloom.llm import tokens
 from corpusloom.llm.components import connected_components
 from corpusloom.llm.hashing import join_texts, mix, span_hashes, spans_of
 from corpusloom.llm.storage import bounded, materialize
+from corpusloom.llm.worker import task
 
 SHINGLE = 5
 #: A link: 100 * intersection >= PERCENT * union.
@@ -100,6 +101,7 @@ def _each(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.R
                 yield batch, i, shingle_sets(texts[i:j])
 
 
+@task("jaccard")
 def _name_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """id, n, digest of every text."""
     for batch, i, sets in _each(batches, 1):
@@ -165,6 +167,7 @@ def _chunk_ids():
 
 
 def _text_blocks(blocks: int):
+    @task("jaccard")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = _chunk_ids()
         for names, sets in _new_sets(batches, 0):
@@ -189,15 +192,16 @@ def _frequencies(rows) -> tuple[np.ndarray, np.ndarray]:
     digest = np.concatenate([d for _, _, d, _ in rows])
     count = np.concatenate([n for _, n, _, _ in rows])
     h = np.concatenate([x for *_, x in rows])
-    owner = np.repeat(np.arange(len(digest)), count)
+    owner = np.repeat(np.arange(len(digest), dtype=np.int32), count)
     # A set that several tasks sent counts once.
     once = np.zeros(len(digest), bool)
     have = np.flatnonzero(count)
     once[have[np.unique(digest[have], return_index=True)[1]]] = True
     known, n = np.unique(h[once[owner]], return_counts=True)
-    return n[np.searchsorted(known, h)], owner
+    return n.astype(np.int32)[np.searchsorted(known, h)], owner
 
 
+@task("jaccard")
 def _count_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Back to the chunks: shingles of each set in this block, and those that stand in another set too."""
     rows = [x for batch in batches for x in _unpack(batch, 5)]
@@ -219,6 +223,7 @@ def _count_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     )
 
 
+@task("jaccard")
 def _keep_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Digests of the sets that share enough of their shingles to link at all."""
     sums: dict[int, list] = {}
@@ -248,6 +253,7 @@ def _row_filter(kept: DataFrame) -> np.ndarray:
 
 
 def _kept_sets(shared):
+    @task("jaccard")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
         for names, sets in _new_sets(batches, 0):
@@ -270,6 +276,7 @@ def _kept_sets(shared):
 def _set_blocks(blocks: int):
     """Column blocks of the kept sets, with whole hashes."""
 
+    @task("jaccard")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = _chunk_ids()
         names, sets, size = [], [], 0
@@ -290,6 +297,7 @@ def _set_blocks(blocks: int):
 def _rank(blocks: int):
     """Back to the chunks with every entry's frequency; block numbers give the hashes back."""
 
+    @task("jaccard")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, rows = [], []
         for batch in batches:
@@ -324,6 +332,7 @@ def _stars(hashes: np.ndarray, digest: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return pairs, h[first], d[first]
 
 
+@task("jaccard")
 def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The prefix of each set, combined to one star a shingle: kind 0 edges, kind 1 what meets elsewhere."""
     chunks: dict[int, list] = {}
@@ -352,6 +361,7 @@ def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(a), pa.array(b)], names=["kind", "a", "b"])
 
 
+@task("jaccard")
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     h, d = [], []
     for batch in batches:
@@ -398,6 +408,7 @@ def link_components(sets: list[np.ndarray]) -> np.ndarray:
             label[np.isin(label, joined)] = joined[0]
 
 
+@task("jaccard")
 def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Spanning edges of each pair of row blocks; rows come sorted by unit."""
 

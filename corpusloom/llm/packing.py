@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm import tokens
 from corpusloom.llm.storage import materialize
+from corpusloom.llm.worker import task
 
 WINDOW = 1024
 #: Documents of an index shard: bounds a task's memory, whatever the corpus.
@@ -35,6 +36,7 @@ NEIGHBOURS = 8
 
 
 def _tokenize(path: str, keep_space: bool, end_id: int):
+    @task("tokens")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokens.encoder(path, keep_space).encode
         for batch in batches:
@@ -75,6 +77,7 @@ def _arrays(batch: pa.RecordBatch, ids: str, width: str) -> tuple[np.ndarray, np
     return (np.concatenate(parts).astype(np.int64) if parts else np.zeros(0, np.int64)), np.array(list(map(len, parts)), np.int64)
 
 
+@task("packing")
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents that hold each id, once a partition."""
     seen = np.zeros(0, np.int64)
@@ -177,6 +180,7 @@ def pack_shard(flat: np.ndarray, n: np.ndarray, idf: np.ndarray, mean_length: fl
 
 
 def _packer(idf: np.ndarray, mean_length: float, window: int, shard_docs: int, with_ids: bool):
+    @task("packing")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 40
         held: list[pa.RecordBatch] = []

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.storage import materialize
+from corpusloom.llm.worker import task
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 ADDED_KINDS = ("person", "address", "mail_words", "phone_local", "national_id", "iban")
@@ -225,6 +226,7 @@ _SCAN = (
 )
 
 
+@task("pii")
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     item = pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("stop", pa.int32()), ("code", pa.int32())])
     for batch in batches:

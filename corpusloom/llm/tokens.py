@@ -1,65 +1,109 @@
 """Token ids of whole texts by the tokenizers library, each distinct piece encoded once.
 
 Both vocabularies split a text into words before any merge, and no word spans a
-space inside a text that has no other white space beside it. So a text's ids are
-those of its space-separated pieces, and a piece that was met before costs a
-look-up. A text with a piece for which this does not hold is encoded whole.
+space or line feed that has no other white space beside it. So a text's ids are
+those of its pieces, and a piece that was met before costs a look-up. Pieces are
+cut and hashed (64 bits) for many texts at once, without a Python string for
+each. A text for which the rule does not hold is encoded whole.
 """
 
 from __future__ import annotations
 
 import os
-from itertools import chain
 
 import numpy as np
 
+from corpusloom.llm.hashing import join_texts, span_hashes, spans_of
+from corpusloom.llm.worker import kept
+
 #: Pieces that a worker remembers; past it the memory is emptied and refilled.
-MEMORY = 1_200_000
+MEMORY = 1_500_000
+#: Slots of the look-up table, and how many are tried for a hash.
+_SLOT_BITS, _PROBES = 22, 32
 #: A special token of both vocabularies: what stands on either side of it is encoded apart.
 APART = "<|endoftext|>"
+#: Text that is cut and hashed at once.
+CHUNK_CHARS = 500_000
 
 
-class _Memory(dict):
-    """Piece to number; a piece that is asked for the first time gets the next one."""
+class _Table:
+    """Open-addressing map from 64-bit hashes to numbers, many at a time."""
 
     def __init__(self):
-        super().__init__()
-        self.fresh: list[str] = []
-
-    def __missing__(self, piece: str) -> int:
-        n = self[piece] = len(self)
-        self.fresh.append(piece)
-        return n
+        self.keys = np.zeros(1 << _SLOT_BITS, np.uint64)
+        self.values = np.full(1 << _SLOT_BITS, -1, np.int32)
+
+    def get(self, h: np.ndarray) -> np.ndarray:
+        """Numbers of the hashes, -1 for those that are not there."""
+        slot = (h >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
+        out = self.values[slot]
+        left = np.flatnonzero((out >= 0) & (self.keys[slot] != h))
+        for _ in range(_PROBES):
+            if not len(left):
+                break
+            slot[left] = (slot[left] + 1) & ((1 << _SLOT_BITS) - 1)
+            found = self.values[slot[left]]
+            out[left] = found
+            left = left[(found >= 0) & (self.keys[slot[left]] != h[left])]
+        out[left] = -1
+        return out
+
+    def add(self, h: np.ndarray, first: int) -> bool:
+        """Number distinct new hashes from `first` on; False if one finds no slot."""
+        slot = (h >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
+        left = np.arange(len(h))
+        for _ in range(_PROBES):
+            if not len(left):
+                return True
+            free = self.values[slot[left]] < 0
+            # Of several that want one free slot the first one gets it.
+            takers = left[free][np.unique(slot[left[free]], return_index=True)[1]]
+            self.values[slot[takers]] = takers + first
+            self.keys[slot[takers]] = h[takers]
+            left = left[self.values[slot[left]] != left + first]
+            slot[left] = (slot[left] + 1) & ((1 << _SLOT_BITS) - 1)
+        return not len(left)
+
+
+def _append(old: np.ndarray, used: int, new: np.ndarray) -> np.ndarray:
+    """An array with `new` behind its first `used` values; room is doubled when it runs out."""
+    if used + len(new) > len(old):
+        old = np.concatenate([old, np.zeros(max(len(old), len(new), 1 << 16), old.dtype)])
+    old[used : used + len(new)] = new
+    return old
 
 
 class Encoder:
     """Encodes lists of texts into one flat array of ids and their lengths."""
 
     def __init__(self, path: str, keep_space: bool, memory: int = MEMORY):
-        """keep_space: the vocabulary's words carry the space before them."""
+        """keep_space: the vocabulary's words carry the space before them and keep
+        their case; else white space is dropped and letters are put in lower case."""
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.apart = self.tokenizer.token_to_id(APART)
-        self.lead = " " if keep_space else ""
+        self.keep_space = keep_space
         self.limit = memory
         self._reset()
 
     def _reset(self) -> None:
-        self.known = _Memory()
+        self.table = _Table()
+        self.n, self.n_ids = 0, 0
         self.flat = np.zeros(0, np.int32)
         self.starts = np.zeros(0, np.int64)
         self.sizes = np.zeros(0, np.int32)
         self.whole = np.zeros(0, bool)
 
     def _learn(self, pieces: list[str]) -> None:
-        """Add pieces. A piece with white space at an end, an empty one or one that
-        may hold a special token marks its text for encoding as a whole."""
-        n = len(self.lead)
-        bare = [p[n:] if p[:n] == self.lead else p for p in pieces] if n else pieces
-        # A line feed alone is a word of its own between two pieces without white space.
-        odd = [(not w or w != w.strip() or "<|" in w) and p != "\n" for w, p in zip(bare, pieces, strict=True)]
+        """Add pieces. With spaces kept, a piece with other white space at an end
+        marks its text for encoding as a whole; so does one that may hold a special token."""
+        if self.keep_space:
+            bare = [p[1:] if p[0] == " " else p for p in pieces]
+            odd = [(w != w.strip() or "<|" in w) and p != "\n" for w, p in zip(bare, pieces, strict=True)]
+        else:
+            odd = ["<|" in p for p in pieces]
         safe = ["" if o else p for p, o in zip(pieces, odd, strict=True)] if any(odd) else pieces
         rows = [APART.join(safe[i : i + 512]) for i in range(0, len(safe), 512)]
         ids = []
@@ -67,65 +111,92 @@ class Encoder:
             ids += code.ids
             ids.append(self.apart)
         ids = np.array(ids, np.int32)
-        ends = np.flatnonzero(ids == self.apart)
-        sizes = np.diff(ends, prepend=-1) - 1
-        base = len(self.flat)
-        self.flat = np.concatenate([self.flat, ids[ids != self.apart]])
-        self.starts = np.concatenate([self.starts, base + np.cumsum(sizes) - sizes])
-        self.sizes = np.concatenate([self.sizes, sizes.astype(np.int32)])
-        self.whole = np.concatenate([self.whole, np.array(odd, bool)])
+        sizes = np.diff(np.flatnonzero(ids == self.apart), prepend=-1) - 1
+        ids = ids[ids != self.apart]
+        self.flat = _append(self.flat, self.n_ids, ids)
+        self.starts = _append(self.starts, self.n, self.n_ids + np.cumsum(sizes) - sizes)
+        self.sizes = _append(self.sizes, self.n, sizes)
+        self.whole = _append(self.whole, self.n, np.array(odd, bool))
+        self.n += len(pieces)
+        self.n_ids += len(ids)
+
+    def _cut(self, data: np.ndarray, bounds: np.ndarray):
+        """Starts and ends of all pieces, and the texts to be encoded whole."""
+        starts, ends = spans_of((data != 32) & (data != 10))
+        if not self.keep_space:
+            return starts, ends, np.zeros(len(bounds) - 1, bool)
+        # A single space goes to the word behind it, a single line feed is a piece of
+        # its own; any other white space between, before or after words is not cut.
+        text = np.searchsorted(bounds, starts, "right") - 1
+        first = np.concatenate([[True], text[1:] != text[:-1]]) if len(text) else np.zeros(0, bool)
+        gap = starts - np.concatenate([[0], ends[:-1]])
+        bad = np.zeros(len(bounds) - 1, bool)
+        bad[text[~first & (gap != 1)]] = True
+        bad[text[first & (starts != bounds[text])]] = True
+        last = np.concatenate([first[1:], [True]]) if len(text) else first
+        bad[text[last & (ends != bounds[text + 1] - 1)]] = True
+        # Texts of nothing but white space have no word.
+        bad |= (np.bincount(text, minlength=len(bad)) == 0) & (np.diff(bounds) > 1)
+        joined = ~first & (gap == 1)
+        feed = np.flatnonzero(joined & (data[starts - 1] == 10))
+        starts = np.where(joined & (data[starts - 1] == 32), starts - 1, starts)
+        if len(feed):
+            at = ends[feed - 1]
+            starts, ends = np.insert(starts, feed, at), np.insert(ends, feed, at + 1)
+        return starts, ends, bad
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row as int32, number of ids of each text)."""
-        if self.lead:  # "a b\nc" -> "a", " b", "\n", "c": the first piece has no space before it
-            split = [
-                t.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") if "\0" not in t else [t] for t in texts
-            ]
-        else:  # white space of any kind is dropped and letters are put in lower case
-            split = [
-                (t.encode().lower().decode().replace("\n", " ") if "<|" not in t else t).split(" ") for t in texts
-            ]
-        counts = np.fromiter(map(len, split), np.int64, len(split))
-        if len(self.known) > self.limit:
-            self._reset()
-        known = self.known
-        at = np.fromiter(map(known.__getitem__, chain.from_iterable(split)), np.int32, int(counts.sum()))
-        if known.fresh:
-            fresh, known.fresh = known.fresh, []
-            # A text with "\0" is one piece and may hold any white space.
-            self._learn(fresh)
-            if self.lead:
-                self.whole[-len(fresh) :] |= np.fromiter(("\0" in p for p in fresh), bool, len(fresh))
+        parts = [self._encode(texts[i:j]) for i, j in slices(texts, CHUNK_CHARS)]
+        if not parts:
+            return np.zeros(0, np.int32), np.zeros(0, np.int64)
+        return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        data, bounds = join_texts(texts)
+        if not self.keep_space:
+            data = np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
+        starts, ends, bad = self._cut(data, bounds)
+        h = span_hashes(data, starts, ends)
+        at = self.table.get(h)
+        if len(new := np.flatnonzero(at < 0)):
+            known, first = np.unique(h[new], return_index=True)
+            if self.n + len(known) > self.limit or not self.table.add(known, self.n):
+                self._reset()
+                known, first = np.unique(h, return_index=True)
+                if not self.table.add(known, 0):
+                    raise RuntimeError("the look-up table is too small")
+                new = np.arange(len(h))
+            raw = data.tobytes()
+            place = new[first]
+            self._learn([raw[a:b].decode() for a, b in zip(starts[place].tolist(), ends[place].tolist(), strict=True)])
+            at = self.table.get(h)
         sizes = self.sizes[at]
-        bounds = np.concatenate([[0], np.cumsum(counts)])
+        counts = np.searchsorted(starts, bounds)
         total = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
-        lengths = total[bounds[1:]] - total[bounds[:-1]]
+        lengths = np.diff(total[counts])
         # Gather: position within a piece plus the piece's start in the memory.
         out = self.flat[np.repeat(self.starts[at] - total[:-1], sizes) + np.arange(int(total[-1]))]
         odd = self.whole[at]
         if odd.any():
-            marks = np.concatenate([[0], np.cumsum(odd)])
-            bad = np.flatnonzero(marks[bounds[1:]] - marks[bounds[:-1]])
-            # An empty text is its own (empty) piece and needs no second look.
-            bad = [int(i) for i in bad if texts[i]]
-            if bad:
-                parts = np.split(out, np.cumsum(lengths)[:-1])
-                codes = self.tokenizer.encode_batch([texts[i] for i in bad], add_special_tokens=False)
-                for i, code in zip(bad, codes, strict=True):
-                    parts[i] = np.array(code.ids, np.int32)
-                    lengths[i] = len(code.ids)
-                out = np.concatenate(parts)
+            bad[np.searchsorted(bounds, starts[odd], "right") - 1] = True
+        if bad.any():
+            parts = np.split(out, np.cumsum(lengths)[:-1])
+            which = np.flatnonzero(bad).tolist()
+            codes = self.tokenizer.encode_batch([texts[i] for i in which], add_special_tokens=False)
+            for i, code in zip(which, codes, strict=True):
+                parts[i] = np.array(code.ids, np.int32)
+                lengths[i] = len(code.ids)
+            out = np.concatenate(parts)
         return out, lengths
 
 
-_ENCODERS: dict[tuple[str, bool], Encoder] = {}
-
-
 def encoder(path: str, keep_space: bool) -> Encoder:
-    """The encoder of this Python worker; it is kept between tasks."""
-    if (path, keep_space) not in _ENCODERS:
-        _ENCODERS[path, keep_space] = Encoder(path, keep_space)
-    return _ENCODERS[path, keep_space]
+    """The encoder of this Python worker; it is kept between tasks of operators on token ids."""
+    known = kept("tokens")
+    if (path, keep_space) not in known:
+        known[path, keep_space] = Encoder(path, keep_space)
+    return known[path, keep_space]
 
 
 def vocabulary_path(name: str) -> str:

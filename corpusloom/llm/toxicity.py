@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm import gru, tokens
+from corpusloom.llm.worker import kept, task
 
 THRESHOLD = 0.3
 
@@ -74,16 +75,14 @@ def training_sample(
     return texts, np.array(found, np.int64)
 
 
-#: The model that this Python worker used last, with its look-up tables.
-_READY: dict[str, tuple[gru.Model, tuple]] = {}
-
-
 def _scorer(shared, name: str):
+    @task("toxicity")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if name not in _READY:
-            _READY.clear()
-            _READY[name] = (shared.value, shared.value.tables())
-        model, tables = _READY[name]
+        ready = kept("toxicity")
+        if name not in ready:  # the model that this worker used last, with its look-up tables
+            ready.clear()
+            ready[name] = (shared.value, shared.value.tables())
+        model, tables = ready[name]
         for batch in batches:
             texts = batch.column(batch.num_columns - 1).to_pylist()
             scores = [gru.score_texts(model, tables, texts[i:j]) for i, j in tokens.slices(texts, 1_000_000)]
