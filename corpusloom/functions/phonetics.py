@@ -11,7 +11,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
@@ -286,10 +286,15 @@ def prepare_buckwalter(text: Column, dialect: str = "egy") -> Column:
     return F.array_join(F.transform(words, lambda w: say_q(w, actions, dialect)), " ")
 
 
-def tokens(text: Column, dialect: str = "egy") -> Column:
-    """Tokens of a text in either dialect."""
-    read = phone_tokens(prepare_buckwalter(text, dialect))
-    return egyptian_sounds(read) if dialect == "egy" else read
+def with_tokens(df: DataFrame, text: str, dialect: str = "egy", out: str = "tokens") -> DataFrame:
+    """df with the tokens of a text column in either dialect.
+
+    The prepared text passes through a one-element explode: it reaches the Python
+    worker as a plain column, whatever lambdas it is made of.
+    """
+    ready = F.explode(F.array(prepare_buckwalter(F.col(text), dialect)))
+    read = df.select("*", ready.alias("__ready")).withColumn(out, phone_tokens("__ready")).drop("__ready")
+    return read.withColumn(out, egyptian_sounds(F.col(out))) if dialect == "egy" else read
 
 
 def count_tokens(n: Column, density: Column) -> Column:

@@ -114,12 +114,9 @@ TOKENS = [
 def token_ids_golden(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Golden cases of the tokens, through ids and back."""
     df = spark.createDataFrame([(a, b) for a, b, _ in TOKENS], "text string, dialect string")
-    egy = F.col("dialect") == "egy"
-    ready = F.when(egy, phonetics.prepare_buckwalter(F.col("text"), "egy")).otherwise(phonetics.prepare_buckwalter(F.col("text"), "msa"))
-    read = df.withColumn("read", phonetics.phone_tokens(ready))
-    said = read.withColumn("read", F.when(egy, phonetics.egyptian_sounds(F.col("read"))).otherwise(F.col("read")))
-    again = phonetics.ids_tokens(phonetics.token_ids(F.col("read")))
-    return said.select("text", "dialect", F.array_join(again, " ").alias("tokens"))
+    parts = [phonetics.with_tokens(df.where(F.col("dialect") == d), "text", d) for d in ("egy", "msa")]
+    again = phonetics.ids_tokens(phonetics.token_ids(F.col("tokens")))
+    return parts[0].unionByName(parts[1]).select("text", "dialect", F.array_join(again, " ").alias("tokens"))
 
 
 #: Cases of the policy: word, asked by a marker, dialect, spoken, class.
