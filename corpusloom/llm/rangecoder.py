@@ -12,8 +12,8 @@ right, how often order 1 is right where order 2 is not, and how often neither;
 these weights are coded first, and order 0 codes the id where both fail.
 
 Block layout, little-endian: magic, ids, alphabet, lanes, steps, words,
-CRC-32 of the rest of the block, CRC-32 of the ids, words of each lane (u16),
-words (u16).
+CRC-32 of all other fields and what follows, CRC-32 of the ids, words of each
+lane (u16), words (u16).
 """
 
 from __future__ import annotations
@@ -108,6 +108,10 @@ def _active(n: int, steps: int, t: int) -> int:
     return (n - 1 - t) // steps + 1 if t < n else 0
 
 
+def _check(fields: tuple[int, ...], ids_crc: int, body: bytes) -> int:
+    return zlib.crc32(body, zlib.crc32(struct.pack("<6I", *fields, ids_crc)))
+
+
 def _renormalise(low: np.ndarray, rng: np.ndarray):
     """Lanes whose leading word is settled or whose range is too small, until there is none."""
     i = np.flatnonzero(((low ^ (low + rng)) < _TOP) | (rng < _BOT))
@@ -128,7 +132,7 @@ def encode_block(ids: np.ndarray) -> bytes:
     if n > MAX_IDS:
         raise ValueError(f"a block holds at most {MAX_IDS} ids")
     if n == 0:
-        return _HEAD.pack(MAGIC, 0, 0, 0, 0, 0, 0, 0)
+        return _HEAD.pack(MAGIC, 0, 0, 0, 0, 0, _check((0,) * 5, 0, b""), 0)
     lanes, steps = _shape(n)
     alphabet = int(ids.max()) + 1
     if alphabet > MAX_ALPHABET:
@@ -169,8 +173,9 @@ def encode_block(ids: np.ndarray) -> bytes:
     used = np.arange(words.shape[1])[None, :] < count[:, None]
     flat = words[used].astype("<u2")
     body = count.astype("<u2").tobytes() + flat.tobytes()
-    head = _HEAD.pack(MAGIC, n, alphabet, lanes, steps, len(flat), zlib.crc32(body), zlib.crc32(ids.tobytes()))
-    return head + body
+    fields = (n, alphabet, lanes, steps, len(flat))
+    ids_crc = zlib.crc32(ids.tobytes())
+    return _HEAD.pack(MAGIC, *fields, _check(fields, ids_crc, body), ids_crc) + body
 
 
 def decode_block(block: bytes) -> np.ndarray:
@@ -179,10 +184,12 @@ def decode_block(block: bytes) -> np.ndarray:
         raise ValueError("truncated block")
     magic, n, alphabet, lanes, steps, n_words, body_crc, ids_crc = _HEAD.unpack_from(block)
     body = block[_HEAD.size :]
-    if n == 0 and magic == MAGIC and not body:
-        return np.zeros(0, np.uint32)
-    if magic != MAGIC or zlib.crc32(body) != body_crc or len(body) != 2 * (lanes + n_words):
+    if magic != MAGIC or len(body) != 2 * (lanes + n_words):
         raise ValueError("damaged block")
+    if _check((n, alphabet, lanes, steps, n_words), ids_crc, body) != body_crc:
+        raise ValueError("damaged block")
+    if n == 0:
+        return np.zeros(0, np.uint32)
     count = np.frombuffer(body, "<u2", lanes).astype(np.int64)
     words = np.concatenate([np.frombuffer(body, "<u2", n_words, 2 * lanes).astype(_U), np.zeros(4, _U)])
     at_all = np.cumsum(count) - count
