@@ -59,7 +59,63 @@ SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
 FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 """
 
+
+
+def _op10() -> str:
+    """The spans of every kind, the owners of each value, and what follows from them."""
+    from corpusloom.llm.secrets import ADDED_KINDS, BASE_KINDS, EXAMPLE_OWNERS, LIVE_CHARS
+
+    kinds = []
+    for rank, (kind, pattern, group, least) in enumerate([*BASE_KINDS, *ADDED_KINDS]):
+        p = pattern.replace("'", "''")
+        # Lengths of the pieces between matches and of the matches give the offsets.
+        kinds.append(f"""
+  SELECT doc_id, source, {rank} AS rank, '{kind}' AS kind, {least} AS least,
+    unnest(regexp_extract_all(t, '{p}', 0)) AS hit, unnest(regexp_extract_all(t, '{p}', {group})) AS v,
+    unnest(regexp_split_to_array(t, '{p}')[1:len(regexp_extract_all(t, '{p}', 0))]) AS gap,
+    unnest(range(len(regexp_extract_all(t, '{p}', 0)))) AS i
+  FROM d WHERE len(regexp_extract_all(t, '{p}', 0)) > 0""")
+    base = len(BASE_KINDS)
+    counts = ", ".join(f"count(*) FILTER (WHERE rank = {i}) AS n_{k[0]}" for i, k in enumerate(BASE_KINDS))
+    return f"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
+m AS ({" UNION ALL ".join(kinds)}),
+s AS (SELECT *, sum(length(gap) + length(hit)) OVER (PARTITION BY doc_id, rank ORDER BY i)::BIGINT AS stop FROM m),
+f AS (SELECT doc_id, source, rank, kind, stop - length(hit) AS start, stop, v FROM s WHERE length(v) >= least),
+o AS (SELECT v, count(*) AS owners FROM (SELECT DISTINCT v, source FROM f) GROUP BY v),
+j AS (SELECT f.*, CASE WHEN owners >= {EXAMPLE_OWNERS} THEN 'example' WHEN len(list_distinct(string_split(f.v, ''))) >= {LIVE_CHARS} THEN 'live' ELSE 'weak' END AS verdict
+  FROM f JOIN o ON f.v = o.v),
+k AS (SELECT * FROM j WHERE rank < {base} OR verdict = 'live'),
+a AS (SELECT doc_id, {counts},
+  string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) FILTER (WHERE rank < {base}) AS base,
+  string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) AS spans,
+  count(*) FILTER (WHERE verdict = 'live') AS n_live, count(*) FILTER (WHERE verdict = 'example') AS n_example FROM k GROUP BY doc_id)
+SELECT d.doc_id, {", ".join(f"coalesce(n_{k[0]}, 0) AS n_{k[0]}" for k in BASE_KINDS)}, sha256(coalesce(base, '')) AS base_sha256,
+  coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example
+FROM d LEFT JOIN a USING (doc_id)
+"""
+
+
+OP7 = """
+WITH RECURSIVE bits AS (
+  SELECT i, i AS v, 0 AS k FROM range(256) AS t(i)
+  UNION ALL SELECT i, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, k + 1 FROM bits WHERE k < 8
+),
+tab AS (SELECT list(v ORDER BY i) AS tb FROM bits WHERE k = 8),
+d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+h AS (SELECT doc_id, t, hex(encode(t)) AS x FROM d),
+y AS (SELECT doc_id, t, list_transform(range(1, length(x), 2), lambda p: (instr('0123456789ABCDEF', x[p:p]) - 1) * 16 + instr('0123456789ABCDEF', x[p + 1:p + 1]) - 1) AS bytes FROM h),
+z AS (SELECT doc_id, len(bytes) + 8 AS size,
+  xor(list_reduce(list_prepend(4294967295, bytes), lambda c, b: xor(c >> 8, tb[(xor(c, b) & 255) + 1])), 4294967295) AS text_crc32 FROM y, tab),
+s AS (SELECT *, sum(size) OVER (ORDER BY doc_id) AS upto, sum(size) OVER () AS total FROM z),
+g AS (SELECT doc_id, size, text_crc32, CAST(((2 * upto - size) * 24) // (2 * total) AS INT) AS shard FROM s)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'bytes' AS law, shard,
+  row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot, CAST(NULL AS INT) AS grown_shard FROM g
+"""
+
 SQL: dict[str, str] = {
+    "op7_byte_shards": OP7,
+    "op10_secret_scan": _op10(),
     "op4_decontaminate": OP4,
     "op5_line_dedup": OP5,
     "op8_exact_dedup": OP8,
