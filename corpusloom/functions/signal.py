@@ -191,3 +191,42 @@ def monotonic_alignment(scores: np.ndarray) -> np.ndarray:
         if t and k and best[t - 1, k - 1] >= best[t - 1, k]:
             k -= 1
     return out
+
+
+def find_pause(samples: np.ndarray, rate: int, near: float, reach: float = 1.2, least: float = 0.04) -> int | None:
+    """Centre of the longest quiet stretch around a time; the threshold rises until one is long enough.
+
+    Levels are those of 10 ms frames against the level that 90 % of them stay below.
+    """
+    hop = max(1, rate // 100)
+    n = len(samples) // hop
+    if not n:
+        return None
+    level = np.sqrt((np.asarray(samples[: n * hop], float).reshape(n, hop) ** 2).mean(1))
+    loud = max(float(np.quantile(level, 0.9)), 1e-6)
+    a = max(0, int((near - reach) * rate) // hop)
+    b = min(n, int(np.ceil((near + reach) * rate)) // hop + 1)
+    for share in (0.12, 0.20, 0.30):
+        edge = np.diff((level[a:b] < share * loud).astype(np.int8), prepend=0, append=0)
+        starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        if len(starts):
+            k = int(np.argmax(ends - starts))
+            if (ends[k] - starts[k]) * hop >= int(least * rate):
+                return int((2 * a + starts[k] + ends[k]) / 2 * hop)
+    return None
+
+
+class Continuity:
+    """Keeps the level of successive parts together: a bounded gain towards a slowly moving anchor, and gaps."""
+
+    def __init__(self, keep: float = 0.85, low: float = 0.7, high: float = 1.4, gap: int = 0):
+        self.keep, self.low, self.high, self.gap, self.anchor = keep, low, high, gap, None
+
+    def push(self, part: np.ndarray) -> np.ndarray:
+        level = float(np.sqrt(np.mean(np.asarray(part, float) ** 2))) if len(part) else 0.0
+        if self.anchor is None:
+            self.anchor = level or None
+            return limit_peak(part)
+        gain = float(np.clip(self.anchor / level, self.low, self.high)) if level else 1.0
+        self.anchor = self.keep * self.anchor + (1 - self.keep) * level * gain
+        return np.concatenate([np.zeros(self.gap), limit_peak(part * gain)])
