@@ -109,3 +109,18 @@ def normalize_mark_order(text: Column) -> Column:
 def vocalization_mode(density: Column, asked: Column) -> Column:
     """auto decides by mark density: texts under 0.30 are to be vocalised."""
     return F.when(asked != "auto", asked).when(density < 0.30, "on").otherwise("off")
+
+
+def prepare_text(text: Column, style: str = "egy", mode: str = "auto") -> Column:
+    """The normalised text with what was done to it: (normalized, density, vocalize, numbers, latin, markers)."""
+    from corpusloom.functions.keys import marks_per_letter
+
+    density = marks_per_letter(text)
+    return F.struct(
+        normalize_text(text, style).alias("normalized"),
+        density.alias("density"),
+        (vocalization_mode(density, F.lit(mode)) == "on").alias("vocalize"),
+        text.rlike(r"(?U)\d").alias("numbers"),
+        text.rlike("[A-Za-z]").alias("latin"),
+        F.regexp_count(text, F.lit(r"\{[^{}]{1,2}\}")).alias("markers"),
+    )

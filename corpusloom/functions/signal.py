@@ -230,3 +230,22 @@ class Continuity:
         gain = float(np.clip(self.anchor / level, self.low, self.high)) if level else 1.0
         self.anchor = self.keep * self.anchor + (1 - self.keep) * level * gain
         return np.concatenate([np.zeros(self.gap), limit_peak(part * gain)])
+
+
+def band_energies(samples: np.ndarray, rate: int, bands: list[tuple[float, float]], size: int = 512) -> np.ndarray:
+    """Share of the energy that lies in each frequency band; zeros for silence."""
+    power = (spectrum(np.asarray(samples, float), size, size // 4) ** 2).sum(0)
+    freq = np.fft.rfftfreq(size, 1 / rate)
+    total = power.sum()
+    return np.array([power[(freq >= a) & (freq < b)].sum() / total if total > 0 else 0.0 for a, b in bands])
+
+
+def burst_onset(samples: np.ndarray, rate: int, rise_db: float = 12.0) -> float | None:
+    """Time of the first sharp rise of level between neighbouring 5 ms frames, None without one."""
+    hop = max(1, rate // 200)
+    n = len(samples) // hop
+    if n < 2:
+        return None
+    level = 10 * np.log10((np.asarray(samples[: n * hop], float).reshape(n, hop) ** 2).mean(1) + 1e-10)
+    rises = np.flatnonzero(np.diff(level) >= rise_db)
+    return float((rises[0] + 1) * hop / rate) if len(rises) else None

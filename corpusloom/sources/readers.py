@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import ast
 import json
+import os
 import re
+import shutil
+import time
 import urllib.request
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -109,6 +113,37 @@ def probe_audio(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", probe("content").alias("h")).select("path", "h.*")
 
 
+def fetch(url: str, path: str, tries: int = 5, first: float = 1.0, sleep=time.sleep) -> int:
+    """Download to a .part file and rename it when complete; failed tries wait twice as long each time. Returns the bytes."""
+    for k in range(tries):
+        try:
+            with urllib.request.urlopen(url, timeout=60) as reply, open(f"{path}.part", "wb") as f:
+                shutil.copyfileobj(reply, f)
+            os.replace(f"{path}.part", path)
+            return os.path.getsize(path)
+        except OSError:
+            if k == tries - 1:
+                raise
+            sleep(first * 2**k)
+    raise AssertionError("not reached")
+
+
+def fetch_all(urls: DataFrame, folder: str, url: str = "url", name: str = "name") -> DataFrame:
+    """Download every URL to a shared folder, a task at a time; never raises: (name, bytes, error)."""
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for u, n in zip(b[url], b[name], strict=True):
+                try:
+                    rows.append((n, fetch(u, os.path.join(folder, n)), None))
+                except (OSError, ValueError) as e:
+                    rows.append((n, None, str(e)))
+            yield pd.DataFrame(rows, columns=["name", "bytes", "error"])
+
+    return urls.mapInPandas(run, "name string, bytes long, error string")
+
+
 _NEXT = re.compile(r'<([^>]+)>;\s*rel="next"')
 
 

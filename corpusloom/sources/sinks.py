@@ -51,3 +51,8 @@ def source_literal(df: DataFrame, name: str, key: str, value: str) -> DataFrame:
     return df.agg(
         F.concat(F.lit(f"{name} = {{\n"), F.array_join(F.transform(rows, lambda r: r["line"]), "\n"), F.lit("\n}\n")).alias("source")
     )
+
+
+def append_log(stream: DataFrame, path: str, checkpoint: str):
+    """A streaming DataFrame appended to CSV files, resumable; returns the query."""
+    return stream.writeStream.format("csv").option("header", True).option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

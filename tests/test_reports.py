@@ -65,3 +65,50 @@ def test_small_parts(spark):
     loads = []
     get = reports.cached_models(lambda n: loads.append(n) or n, 2)
     assert [get(x) for x in "abab"] == list("abab") and loads == ["a", "b"]
+
+
+def test_bands_and_bursts():
+    rate = 8000
+    x = np.concatenate([np.zeros(800), np.sin(2 * np.pi * 1000 * np.arange(1600) / rate)])
+    share = signal.band_energies(x, rate, [(0, 500), (500, 1500), (1500, 4000)])
+    assert share.argmax() == 1 and share[1] > 0.9
+    assert abs(signal.burst_onset(x, rate) - 0.1) < 0.01
+    assert signal.burst_onset(np.zeros(100), rate) is None and signal.band_energies(np.zeros(600), rate, [(0, 1)])[0] == 0
+
+
+def test_soft_ends_and_prepared_text(spark):
+    from corpusloom.functions import punctuation, segment
+
+    c = segment.StreamChunker(segment.word_size, 2, 9, re.compile(r"\w"), segment.CLAUSE_END)
+    assert c.feed("a b, c d. e") == ["a b,", "c d."] and c.finish() == ["e"]
+    p = spark.createDataFrame([("عندي 5 {ق}",)], "t string").select(punctuation.prepare_text(F.col("t")).alias("p")).first()["p"]
+    assert p["normalized"].startswith("عندي خمسة") and p["numbers"] and not p["latin"] and p["markers"] == 1 and p["vocalize"]
+
+
+def test_downloads_leave_no_parts(spark, tmp_path):
+    import http.server
+    import threading
+
+    from corpusloom.sources import readers
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            self.send_response(200 if self.path == "/a" else 404)
+            self.end_headers()
+            if self.path == "/a":
+                self.wfile.write(b"data")
+
+        def log_message(self, *args):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_port}"
+    assert readers.fetch(f"{base}/a", str(tmp_path / "x")) == 4
+    waits = []
+    with pytest.raises(OSError):
+        readers.fetch(f"{base}/b", str(tmp_path / "y"), tries=3, sleep=waits.append)
+    assert waits == [1.0, 2.0] and sorted(p.name for p in tmp_path.iterdir()) == ["x"]
+    out = readers.fetch_all(spark.createDataFrame([(f"{base}/a", "z")], "url string, name string"), str(tmp_path)).first()
+    server.shutdown()
+    assert tuple(out) == ("z", 4, None)
