@@ -29,35 +29,60 @@ def summary(value: str) -> list[Column]:
     ]
 
 
-def ranked_values(df: DataFrame, group: list[str], value: str) -> DataFrame:
-    """rank and n of each value in its group: quantiles of any size come from it without an array a group.
+def values_at(df: DataFrame, group: list[str], value: str, ranks: dict[str, Column], cells: int = 1024) -> DataFrame:
+    """The values of given ranks in each group, exactly, however large the group.
 
-    The window is per group; a single huge group is sorted by Spark's external sort.
+    ranks: name to a Column over n (the group's values that are not null), from 1;
+    a rank outside 1 to n gives null. Equal values are counted before they move, a
+    group's range is cut into cells, and only the cells that hold a wanted rank
+    are put in order. A null group is a group.
     """
-    w = Window.partitionBy(*group).orderBy(value)
-    whole = Window.partitionBy(*group)
-    return df.where(F.col(value).isNotNull()).select(
-        *group, F.col(value).alias("value"), F.row_number().over(w).alias("rank"), F.count("*").over(whole).alias("n")
+    rows = df.where(F.col(value).isNotNull()).select(*group, F.col(value).cast("double").alias("__v"))
+    per_value = rows.groupBy(*group, "__v").agg(F.count("*").alias("__c"))
+    bounds = per_value.groupBy(*(F.col(g).alias(f"__{g}") for g in group)).agg(
+        F.min("__v").alias("__lo"), F.max("__v").alias("__hi"), F.sum("__c").alias("n")
     )
+    same = F.lit(True)
+    for g in group:
+        same = same & F.col(g).eqNullSafe(F.col(f"__{g}"))
+    width = F.greatest(F.col("__hi") - F.col("__lo"), F.lit(1e-300))
+    cell = F.least(F.floor((F.col("__v") - F.col("__lo")) / width * cells), F.lit(cells - 1)).alias("__cell")
+    counted = per_value.join(bounds, same).select(*group, "__v", "__c", "n", cell)
+    # At most `cells` rows a group from here on.
+    upto = Window.partitionBy(*group).orderBy("__cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = counted.groupBy(*group, "n", "__cell").agg(F.sum("__c").alias("__s")).withColumn("__to", F.sum("__s").over(upto))
+    wanted = F.array(*(F.struct(F.lit(k).alias("name"), r.cast("long").alias("rank")) for k, r in ranks.items()))
+    found = sums.select("*", F.inline(wanted)).where((F.col("rank") <= F.col("__to")) & (F.col("rank") > F.col("__to") - F.col("__s")))
+    key = found.select(
+        *(F.col(g).alias(f"__{g}") for g in group), F.col("__cell").alias("__k"), "name", (F.col("rank") - F.col("__to") + F.col("__s")).alias("__r")
+    )
+    inside = Window.partitionBy(*group, "__cell", "name").orderBy("__v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    hits = counted.join(key, same & (F.col("__cell") == F.col("__k"))).withColumn("__run", F.sum("__c").over(inside))
+    picked = hits.where((F.col("__run") >= F.col("__r")) & (F.col("__run") - F.col("__c") < F.col("__r")))
+    named = picked.groupBy(*group).agg(*(F.max(F.when(F.col("name") == k, F.col("__v"))).alias(k) for k in ranks))
+    return bounds.select(*(F.col(f"__{g}").alias(g) for g in group), "n").join(
+        named.select(*(F.col(g).alias(f"__{g}") for g in group), *ranks), same, "left"
+    ).drop(*(f"__{g}" for g in group))
 
 
 def exclusive_quantiles(df: DataFrame, group: list[str], value: str, ps: list[float]) -> DataFrame:
-    """Exclusive quantiles of each group, from ranks."""
-    r = ranked_values(df, group, value)
-    out = []
+    """Exclusive quantiles of each group, from the values of two ranks each; a single value is its own quantile."""
+    n = F.col("n")
+    place = lambda p: F.lit(p) * (n + 1)
+    low_rank = lambda p: F.least(F.greatest(F.floor(place(p)), F.lit(1)), F.greatest(n - 1, F.lit(1)))
+    ranks = {}
     for p in ps:
-        j = F.least(F.greatest(F.floor(p * (F.col("n") + 1)), F.lit(1)), F.col("n") - 1)
-        low = F.max(F.when(F.col("rank") == F.greatest(j, F.lit(1)), F.col("value")))
-        high = F.max(F.when(F.col("rank") == j + 1, F.col("value")))
-        delta = F.max(p * (F.col("n") + 1) - j)
-        out.append(F.coalesce(low + (high - low) * delta, low).alias(f"p{round(p * 100)}"))
-    return r.groupBy(*group).agg(*out)
+        ranks[f"a{round(p * 100)}"] = low_rank(p)
+        ranks[f"b{round(p * 100)}"] = F.least(low_rank(p) + 1, n)
+    found = values_at(df, group, value, ranks)
+    quantile = lambda p: F.col(f"a{round(p * 100)}") + (F.col(f"b{round(p * 100)}") - F.col(f"a{round(p * 100)}")) * (place(p) - low_rank(p))
+    return found.select(*group, *(quantile(p).alias(f"p{round(p * 100)}") for p in ps))
 
 
 def upper_median(df: DataFrame, group: list[str], value: str) -> DataFrame:
     """The element at n div 2 of the sorted values."""
-    r = ranked_values(df, group, value)
-    return r.where(F.col("rank") == F.floor(F.col("n") / 2) + 1).select(*group, F.col("value").alias("median_upper"))
+    found = values_at(df, group, value, {"median_upper": F.floor(F.col("n") / 2) + 1})
+    return found.select(*group, F.col("median_upper").cast(df.schema[value].dataType).alias("median_upper"))
 
 
 def population_moments(value: Column, floor: float = 1e-3) -> list[Column]:

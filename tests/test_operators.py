@@ -167,3 +167,19 @@ def test_resumed_stream_repeats_nothing(spark, tmp_path):
     spark.createDataFrame([(1, 1, "feed", "d e f. "), (1, 2, "finish", None)], chunks.MESSAGE).write.mode("append").parquet(src)
     out = chunks.run_to_end(spark, stream(), f"{tmp_path}/out", f"{tmp_path}/state").orderBy("chunk").collect()
     assert [r["text"] for r in out] == ["a b c.", "d e f.", None]
+
+
+def test_values_at_any_rank(spark):
+    import random
+
+    random.seed(3)
+    rows = [(random.choice(["a", "b", None]), random.choice([1.0, 2.0, 2.0, 2.0, random.random() * 1e6, -5.0])) for _ in range(500)]
+    rows += [("one", 7.0), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    ranks = {"first": F.lit(1), "third": F.lit(3), "middle": F.floor(F.col("n") / 2) + 1, "last": F.col("n")}
+    got = {r["g"]: r for r in stats.values_at(df, ["g"], "v", ranks, cells=8).collect()}
+    assert set(got) == {"a", "b", None, "one"}
+    for g, r in got.items():
+        v = sorted(x for k, x in rows if k == g and x is not None)
+        assert (r["n"], r["first"], r["middle"], r["last"]) == (len(v), v[0], v[len(v) // 2], v[-1])
+        assert r["third"] == (v[2] if len(v) > 2 else None)
