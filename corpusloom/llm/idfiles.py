@@ -53,15 +53,14 @@ def _writer(path: str, keep_space: bool, end_id: int | None, segment_ids: int):
             return pa.RecordBatch.from_pylist([row], schema=_SCHEMA)
 
         for batch in batches:
-            texts = batch.column(1).to_pylist()
             names = batch.column(0).to_pylist()
-            for i, j in tokens.slices(texts):
-                flat, n = encode(texts[i:j])
+            for i, texts in tokens.text_runs(batch, 1):
+                flat, n = encode(texts)
                 if end_id is not None:
                     # One end id behind each document's ids.
                     flat = np.insert(flat, np.cumsum(n), end_id)
                     n = n + 1
-                docs += names[i:j]
+                docs += names[i : i + len(texts)]
                 lengths.append(n)
                 ids.append(flat)
                 held += len(flat)

@@ -96,9 +96,8 @@ def _each(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.R
     """Shingle sets of the texts, chunk by chunk: (batch, first row, sets)."""
     with np.errstate(over="ignore"):
         for batch in batches:
-            texts = batch.column(column).to_pylist()
-            for i, j in tokens.slices(texts, CHUNK_CHARS):
-                yield batch, i, shingle_sets(texts[i:j])
+            for i, texts in tokens.text_runs(batch, column, CHUNK_CHARS):
+                yield batch, i, shingle_sets(texts)
 
 
 @task("jaccard")

@@ -40,9 +40,8 @@ def _tokenize(path: str, keep_space: bool, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokens.encoder(path, keep_space).encode
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for i, j in tokens.slices(texts):
-                flat, n = encode(texts[i:j])
+            for i, texts in tokens.text_runs(batch, 1):
+                flat, n = encode(texts)
                 flat = np.insert(flat, np.cumsum(n), end_id).astype(np.uint32)
                 n = n + 1
                 ends = np.cumsum(n)
@@ -56,7 +55,7 @@ def _tokenize(path: str, keep_space: bool, end_id: int):
                 offsets = pa.array(np.concatenate([[0], ends * width]).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0)[i:j].cast(pa.int64()),
+                        batch.column(0)[i : i + len(texts)].cast(pa.int64()),
                         pa.array(n),
                         pa.array(np.full(len(n), width, np.int32)),
                         pa.array((sig[0].astype(np.int64) << 31) ^ sig[1].astype(np.int64)),
@@ -74,7 +73,7 @@ def _arrays(batch: pa.RecordBatch, ids: str, width: str) -> tuple[np.ndarray, np
         np.frombuffer(x.as_buffer(), "<u2" if w == 2 else "<u4")
         for x, w in zip(batch.column(ids), batch.column(width).to_pylist(), strict=True)
     ]
-    return (np.concatenate(parts).astype(np.int64) if parts else np.zeros(0, np.int64)), np.array(list(map(len, parts)), np.int64)
+    return (np.concatenate(parts).astype(np.uint32) if parts else np.zeros(0, np.uint32)), np.array(list(map(len, parts)), np.int64)
 
 
 @task("packing")
@@ -84,8 +83,8 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 512):
             flat, n = _arrays(batch.slice(at, 512), "ids", "width")
-            doc = np.repeat(np.arange(len(n)), n)
-            term = np.unique((doc << 32) | flat) & 0xFFFFFFFF
+            key, bits = _pair_keys(flat, n)
+            term = np.unique(key) & key.dtype.type((1 << bits) - 1)
             count = np.bincount(term)
             if len(count) > len(seen):
                 seen = np.concatenate([seen, np.zeros(len(count) - len(seen), np.int64)])
@@ -94,6 +93,13 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(term), pa.array(seen[term])], names=["term", "n"])
 
 
+def _pair_keys(flat: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, int]:
+    """(document, id) pairs as sortable keys and the bits of the id; 32-bit keys where they suffice."""
+    if len(n) < 1 << 16 and (not len(flat) or flat.max() < 1 << 16):
+        return np.repeat(np.arange(len(n), dtype=np.uint32) << np.uint32(16), n) | flat, 16
+    return np.repeat(np.arange(len(n), dtype=np.uint64) << np.uint64(32), n) | flat, 32
+
+
 def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """starts[0], starts[0] + 1, ... for each range, in a row."""
     total = np.cumsum(sizes)
@@ -104,13 +110,14 @@ class ShardIndex:
     """BM25 inverted index of a shard's documents."""
 
     def __init__(self, flat: np.ndarray, n: np.ndarray, idf: np.ndarray, mean_length: float):
-        doc = np.repeat(np.arange(len(n)), n)
-        key, tf = np.unique((doc << 32) | flat, return_counts=True)
-        self.doc, self.term = key >> 32, key & 0xFFFFFFFF
+        key, bits = _pair_keys(flat, n)
+        key, tf = np.unique(key, return_counts=True)
+        self.doc = (key >> key.dtype.type(bits)).astype(np.int64)
+        self.term = (key & key.dtype.type((1 << bits) - 1)).astype(np.int64)
         norm = K1 * (1 - B + B * n[self.doc] / max(mean_length, 1e-9))
         self.weight = (idf[self.term] * tf * (K1 + 1) / (tf + norm)).astype(np.float32)
         self.first = np.searchsorted(self.doc, np.arange(len(n) + 1))
-        order = np.argsort(self.term, kind="stable")
+        order = np.argsort(self.term.astype(np.uint16) if bits == 16 else self.term, kind="stable")
         self.by_term_doc, self.by_term_weight = self.doc[order], self.weight[order]
         terms, start = np.unique(self.term[order], return_index=True)
         size = np.diff(np.append(start, len(order)))
@@ -193,7 +200,7 @@ def _packer(idf: np.ndarray, mean_length: float, window: int, shard_docs: int, w
             pieces = np.array(pack_shard(flat, n, idf, mean_length, window), np.int64)
             doc, start, length, number, offset = pieces.T
             begin = (np.cumsum(n) - n)[doc] + start
-            data = memoryview(flat.astype("<u4").tobytes())
+            data = memoryview(np.ascontiguousarray(flat, "<u4")).cast("B")
             crc = [zlib.crc32(data[4 * b : 4 * (b + k)]) for b, k in zip(begin.tolist(), length.tolist(), strict=True)]
             out = [
                 table.column("id").take(pa.array(doc)),
@@ -207,7 +214,8 @@ def _packer(idf: np.ndarray, mean_length: float, window: int, shard_docs: int, w
             names = ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
             if with_ids:
                 bounds = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
-                out.append(pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat[_ranges(begin, length)].astype(np.int32))))
+                ids = np.concatenate([flat[b : b + k] for b, k in zip(begin.tolist(), length.tolist(), strict=True)])
+                out.append(pa.ListArray.from_arrays(pa.array(bounds), pa.array(ids.view(np.int32))))
                 names.append("ids")
             first += int(number.max()) + 1
             return pa.RecordBatch.from_arrays(out, names=names)

@@ -216,3 +216,18 @@ def slices(texts: list[str], chars: int = 2_000_000):
         size += len(t)
     if start < len(texts):
         yield start, len(texts)
+
+
+def text_runs(batch, column: int | str, chars: int = 2_000_000, rows: int = 256):
+    """(first row, texts) of a batch in runs of about so many characters; only a run is in Python's memory."""
+    held: list[str] = []
+    size = first = 0
+    for at in range(0, batch.num_rows, rows):
+        for i, t in enumerate(batch.column(column).slice(at, rows).to_pylist(), at):
+            if held and size + len(t) > chars:
+                yield first, held
+                held, size, first = [], 0, i
+            held.append(t)
+            size += len(t)
+    if held:
+        yield first, held

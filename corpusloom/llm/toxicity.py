@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm import gru, tokens
-from corpusloom.llm.worker import kept, task
+from corpusloom.llm.worker import give_back, kept, task
 
 THRESHOLD = 0.3
 
@@ -84,8 +84,8 @@ def _scorer(shared, name: str):
             ready[name] = (shared.value, shared.value.tables())
         model, tables = ready[name]
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
-            scores = [gru.score_texts(model, tables, texts[i:j]) for i, j in tokens.slices(texts, 1_000_000)]
+            runs = tokens.text_runs(batch, batch.num_columns - 1, 1_000_000)
+            scores = [gru.score_texts(model, tables, texts) for _, texts in runs]
             out = pa.array(np.concatenate(scores) if scores else np.zeros(0))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], out], names=[*batch.schema.names[:-1], "score"])
 
@@ -106,8 +106,9 @@ def fit(
     labels and labels other than 0 and 1 are ignored; without both labels the
     model stays untrained and its scores are low.
     """
-    texts, y = training_sample(docs, labels, sample, id_col, text_col, label_col)
-    return gru.train(texts, y)
+    model = gru.train(*training_sample(docs, labels, sample, id_col, text_col, label_col))
+    give_back()
+    return model
 
 
 def score(df: DataFrame, model: gru.Model, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -24,7 +24,8 @@ def kept(operator: str) -> dict:
     return _KEPT.setdefault(operator, {})
 
 
-def _give_back() -> None:
+def give_back() -> None:
+    """Return freed memory to the machine."""
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
@@ -43,9 +44,9 @@ def task(operator: str) -> Callable:
                 _KEPT[k].clear()
             if others:
                 gc.collect()
-                _give_back()
+                give_back()
             yield from run(batches)
-            _give_back()
+            give_back()
 
         return claimed
 

@@ -297,7 +297,7 @@ def test_neighbours_follow_bm25():
     n = rng.integers(5, 60, 40)
     flat = rng.zipf(1.5, int(n.sum())) % 300
     idf = rng.random(300).astype(np.float32) + 0.1
-    index = ShardIndex(flat.astype(np.int64), n, idf, float(n.mean()))
+    index = ShardIndex(flat.astype(np.uint32), n, idf, float(n.mean()))
     docs = np.split(flat, np.cumsum(n)[:-1])
     weight = lambda d, t: idf[t] * (tf := int((d == t).sum())) * (K1 + 1) / (tf + K1 * (1 - B + B * len(d) / n.mean()))
     free = np.ones(40, bool)
