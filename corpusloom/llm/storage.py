@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 #: A side of a join is broadcast only up to so many rows of narrow columns.
 BROADCAST_ROWS = 500_000
 
+#: Folders of applications whose setting is missing.
+_OWN: dict[str, str] = {}
+
 #: Ends every table path made here, so that clear() touches nothing else.
 _MARK = "corpusloom-scratch"
 
@@ -24,8 +27,10 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; a temporary one only where the setting is missing (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="corpusloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        app = spark.sparkContext.applicationId
+        if app not in _OWN:
+            _OWN[app] = "file://" + tempfile.mkdtemp(prefix="corpusloom-")
+        found = _OWN[app]
     return found.rstrip("/")
 
 
