@@ -29,7 +29,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 #: Bytes whose running sums are held at once.
-_BLOCK = 1 << 20
+_BLOCK = 1 << 17
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:

@@ -28,14 +28,14 @@ _HEAD = struct.Struct("<4sIIIIIII")
 MAX_LANES = 4096
 STEPS = 256
 MAX_IDS = MAX_LANES * STEPS
-MAX_ALPHABET = 1 << 19
+MAX_ALPHABET = 1 << 18
 
 _U = np.uint64
 _TOP, _BOT = _U(1 << 48), _U(1 << 32)
 _LOW_MASK, _S16, _S48 = _U((1 << 32) - 1), _U(16), _U(48)
-#: Outcome shares are parts of 2**10, order-0 shares parts of 2**20: together they
+#: Outcome shares are parts of 2**10, order-0 shares parts of 2**19: together they
 #: stay below the least range of 2**32, so one division-free step codes an id.
-_FLAG_BITS, _ZERO_BITS = 10, 20
+_FLAG_BITS, _ZERO_BITS = 10, 19
 _ORDER2_BITS = 18
 _CONF = 4
 _UNIT = _U(_FLAG_BITS + _ZERO_BITS)
@@ -67,9 +67,10 @@ class _Models:
             self.pending = []
         cum = np.concatenate([[0], np.cumsum(self.seen * 32 + 1)])
         self.cum = cum * ((1 << _ZERO_BITS) - self.alphabet) // cum[-1] + np.arange(self.alphabet + 1)
+        self.width = np.diff(self.cum)
         if self.symbols:
             kind = np.uint16 if self.alphabet <= 1 << 16 else np.uint32
-            self.symbol = np.repeat(np.arange(self.alphabet, dtype=kind), np.diff(self.cum))
+            self.symbol = np.repeat(np.arange(self.alphabet, dtype=kind), self.width)
         total = self.hits.sum(1, keepdims=True)
         share = self.hits * ((1 << _FLAG_BITS) - 3) // total + 1
         share[:, 2] = (1 << _FLAG_BITS) - share[:, 0] - share[:, 1]
@@ -87,14 +88,13 @@ class _Models:
         c2, c1 = e2 & (_CONF - 1), e1 & (_CONF - 1)
         return h, e2, e1, c2, c1, c2 * _CONF + c1
 
-    def learn(self, step: int, x, a, h, e2, e1, c2, c1, flagged) -> None:
+    def learn(self, step: int, x, y, a, h, e2, e1, c2, c1, right2, right1, flagged) -> None:
         self.hits += np.bincount(flagged, minlength=_CONF * _CONF * 3).reshape(-1, 3)
-        y = x * _CONF
         # Lanes that share a context write one after the other; the last one stays.
-        for table, slot, e, c in ((self.order2, h, e2, c2), (self.order1, a, e1, c1)):
-            table[slot] = np.where(e - c == y, e + (c < _CONF - 1), np.where(c > 0, e - 1, y))
+        self.order2[h] = np.where(right2, e2 + (c2 < _CONF - 1), np.where(c2 > 0, e2 - 1, y))
+        self.order1[a] = np.where(right1, e1 + (c1 < _CONF - 1), np.where(c1 > 0, e1 - 1, y))
         self.pending.append(x)
-        if step & (step + 1) == 0 or step % 16 == 15:
+        if step & (step + 1) == 0 or step % 32 == 31:
             self.refresh()
 
 
@@ -150,12 +150,12 @@ def encode_block(ids: np.ndarray) -> bytes:
         x, a, b, low, rng = grid[t, :k], a[:k], b[:k], low_all[:k], rng_all[:k]
         h, e2, e1, c2, c1, conf = m.predict(a, b)
         y = x * _CONF
-        flag = np.where(e2 - c2 == y, 0, np.where(e1 - c1 == y, 1, 2))
-        flagged = conf * 3 + flag
+        right2, right1 = e2 - c2 == y, e1 - c1 == y
+        miss = ~(right2 | right1)
+        flagged = conf * 3 + miss + ~right2
         start, size = m.flag_start[flagged], m.flag_size[flagged]
-        miss = flag == 2
         below = m.cum[x]
-        share = np.where(miss, m.cum[x + 1] - below, 1 << _ZERO_BITS) * size
+        share = np.where(miss, m.width[x], 1 << _ZERO_BITS) * size
         start = (start << _ZERO_BITS) + np.where(miss, below, 0) * size
         rng >>= _UNIT
         low += rng * start.view(_U)
@@ -163,7 +163,7 @@ def encode_block(ids: np.ndarray) -> bytes:
         for i, word in _renormalise(low, rng):
             words[i, count[i]] = word
             count[i] += 1
-        m.learn(t, x, a, h, e2, e1, c2, c1, flagged)
+        m.learn(t, x, y, a, h, e2, e1, c2, c1, right2, right1, flagged)
         a, b = x, a
     every = np.arange(lanes)
     for _ in range(4):
@@ -215,7 +215,7 @@ def decode_block(block: bytes) -> np.ndarray:
         rest = (v - (start << _ZERO_BITS)) // size
         x = np.where(miss, m.symbol[np.where(miss, rest, 0)], np.where(flag == 0, e2, e1) >> 2).astype(np.int32)
         below = m.cum[x]
-        share = np.where(miss, m.cum[x + 1] - below, 1 << _ZERO_BITS) * size
+        share = np.where(miss, m.width[x], 1 << _ZERO_BITS) * size
         start = (start << _ZERO_BITS) + np.where(miss, below, 0) * size
         low += rng * start.view(_U)
         rng *= share.view(_U)
@@ -223,7 +223,8 @@ def decode_block(block: bytes) -> np.ndarray:
             code[i] = (code[i] << _S16) | words[at[i]]
             at[i] += 1
         grid[t, :k] = x
-        m.learn(t, x, a, h, e2, e1, c2, c1, flagged)
+        y = x * _CONF
+        m.learn(t, x, y, a, h, e2, e1, c2, c1, e2 - c2 == y, e1 - c1 == y, flagged)
         a, b = x, a
     ids = np.ascontiguousarray(grid.T).reshape(-1)[:n].astype("<u4")
     if zlib.crc32(ids.tobytes()) != ids_crc:

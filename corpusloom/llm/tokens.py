@@ -1,7 +1,8 @@
 """Token ids of whole texts by the tokenizers library, each distinct piece encoded once.
 
-Both vocabularies split a text into words before any merge, and no word spans a
-space or line feed that has no other white space beside it. So a text's ids are
+Both vocabularies split a text into words before any merge. No word spans a space
+or line feed that has no other white space beside it, and none spans a letter and
+a sign (but for apostrophes). So a text's ids are
 those of its pieces, and a piece that was met before costs a look-up. Pieces are
 cut and hashed (64 bits) for many texts at once, without a Python string for
 each. A text for which the rule does not hold is encoded whole.
@@ -23,7 +24,7 @@ _SLOT_BITS, _PROBES = 22, 32
 #: A special token of both vocabularies: what stands on either side of it is encoded apart.
 APART = "<|endoftext|>"
 #: Text that is cut and hashed at once.
-CHUNK_CHARS = 500_000
+CHUNK_CHARS = 250_000
 
 
 class _Table:
@@ -73,6 +74,22 @@ def _append(old: np.ndarray, used: int, new: np.ndarray) -> np.ndarray:
     return old
 
 
+#: 1 for ASCII letters, 2 for ASCII signs; the apostrophe is neither, since it may begin a word's ending.
+_KIND = np.zeros(256, np.uint8)
+_KIND[[*range(65, 91), *range(97, 123)]] = 1
+_KIND[[*range(33, 39), *range(40, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = 2
+
+
+def _at_signs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Cut pieces also between letters and signs: both vocabularies do so before any merge."""
+    kind = _KIND[data]
+    cut = np.flatnonzero(kind[:-1] + kind[1:] == 3)
+    cut = cut[kind[cut] > 0] + 1
+    if not len(cut):
+        return starts, ends
+    return np.sort(np.concatenate([starts, cut])), np.sort(np.concatenate([ends, cut]))
+
+
 class Encoder:
     """Encodes lists of texts into one flat array of ids and their lengths."""
 
@@ -85,6 +102,10 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.apart = self.tokenizer.token_to_id(APART)
         self.keep_space = keep_space
+        vocabulary = self.tokenizer.get_vocab()
+        self.mark = np.zeros(max(vocabulary.values()) + 1, bool)
+        ends = lambda t: t.startswith("\u0120") if keep_space else t.endswith("</w>")
+        self.mark[[i for t, i in vocabulary.items() if ends(t)]] = True
         self.limit = memory
         self._reset()
 
@@ -99,32 +120,59 @@ class Encoder:
     def _learn(self, pieces: list[str]) -> None:
         """Add pieces. With spaces kept, a piece with other white space at an end
         marks its text for encoding as a whole; so does one that may hold a special token."""
-        if self.keep_space:
-            bare = [p[1:] if p[0] == " " else p for p in pieces]
-            odd = [(w != w.strip() or "<|" in w) and p != "\n" for w, p in zip(bare, pieces, strict=True)]
-        else:
-            odd = ["<|" in p for p in pieces]
-        safe = ["" if o else p for p, o in zip(pieces, odd, strict=True)] if any(odd) else pieces
-        rows = [APART.join(safe[i : i + 512]) for i in range(0, len(safe), 512)]
-        ids = []
-        for code in self.tokenizer.encode_batch_fast(rows, add_special_tokens=False):
-            ids += code.ids
-            ids.append(self.apart)
-        ids = np.array(ids, np.int32)
-        sizes = np.diff(np.flatnonzero(ids == self.apart), prepend=-1) - 1
-        ids = ids[ids != self.apart]
-        self.flat = _append(self.flat, self.n_ids, ids)
-        self.starts = _append(self.starts, self.n, self.n_ids + np.cumsum(sizes) - sizes)
+        n = len(pieces)
+        odd = np.zeros(n, bool)
+        plain, rest = [], []
+        for i, p in enumerate(pieces):
+            w = p[1:] if self.keep_space and p[0] == " " else p
+            if w.isalpha() and (w.isascii() or max(w) < "\u0250") and (w is not p or not self.keep_space):
+                plain.append(i)
+            elif "<|" in w or self.keep_space and w != w.strip() and p != "\n":
+                odd[i] = True
+            else:
+                rest.append(i)
+        starts, sizes = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        for which, encode in ((plain, self._words), (rest, self._apart)):
+            for i in range(0, len(which), 512):
+                part = which[i : i + 512]
+                ids, size = encode([pieces[k] for k in part])
+                sizes[part] = size
+                starts[part] = self.n_ids + np.cumsum(size) - size
+                self.flat = _append(self.flat, self.n_ids, ids)
+                self.n_ids += len(ids)
+        self.starts = _append(self.starts, self.n, starts)
         self.sizes = _append(self.sizes, self.n, sizes)
-        self.whole = _append(self.whole, self.n, np.array(odd, bool))
-        self.n += len(pieces)
-        self.n_ids += len(ids)
+        self.whole = _append(self.whole, self.n, odd)
+        self.n += n
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
+
+    def _words(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids in a row, ids of each) of pieces that are one word each, encoded as
+        running text: the words' own marks (a space in front, an end of word) part them."""
+        ids = self._ids("".join(pieces) if self.keep_space else " ".join(pieces))
+        at = np.flatnonzero(self.mark[ids])
+        if len(at) != len(pieces) or (at[0] != 0 if self.keep_space else at[-1] != len(ids) - 1):
+            return self._apart(pieces)
+        return ids, np.diff(at, append=len(ids)) if self.keep_space else np.diff(at, prepend=-1)
+
+    def _apart(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for any pieces, with a special token between them."""
+        ids = self._ids(APART.join(pieces))
+        apart = ids == self.apart
+        return ids[~apart], np.diff(np.flatnonzero(apart), prepend=-1, append=len(ids)) - 1
 
     def _cut(self, data: np.ndarray, bounds: np.ndarray):
         """Starts and ends of all pieces, and the texts to be encoded whole."""
-        starts, ends = spans_of((data != 32) & (data != 10))
+        inside = (data != 32) & (data != 10)
         if not self.keep_space:
-            return starts, ends, np.zeros(len(bounds) - 1, bool)
+            kind = _KIND[data]
+            # A border inside a run is as good as one beside it.
+            open_at = np.concatenate([[True], ~inside[:-1] | (kind[:-1] + kind[1:] == 3)])
+            close_at = np.concatenate([open_at[1:] | ~inside[1:], [True]])
+            return np.flatnonzero(inside & open_at), np.flatnonzero(inside & close_at) + 1, np.zeros(len(bounds) - 1, bool)
+        starts, ends = spans_of(inside)
         # A single space goes to the word behind it, a single line feed is a piece of
         # its own; any other white space between, before or after words is not cut.
         text = np.searchsorted(bounds, starts, "right") - 1
@@ -143,6 +191,7 @@ class Encoder:
         if len(feed):
             at = ends[feed - 1]
             starts, ends = np.insert(starts, feed, at), np.insert(ends, feed, at + 1)
+        starts, ends = _at_signs(data, starts, ends)
         return starts, ends, bad
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -160,17 +209,17 @@ class Encoder:
         h = span_hashes(data, starts, ends)
         at = self.table.get(h)
         if len(new := np.flatnonzero(at < 0)):
-            known, first = np.unique(h[new], return_index=True)
+            known, first, number = np.unique(h[new], return_index=True, return_inverse=True)
             if self.n + len(known) > self.limit or not self.table.add(known, self.n):
                 self._reset()
-                known, first = np.unique(h, return_index=True)
+                new = np.arange(len(h))
+                known, first, number = np.unique(h, return_index=True, return_inverse=True)
                 if not self.table.add(known, 0):
                     raise RuntimeError("the look-up table is too small")
-                new = np.arange(len(h))
+            at[new] = number + self.n
             raw = data.tobytes()
             place = new[first]
             self._learn([raw[a:b].decode() for a, b in zip(starts[place].tolist(), ends[place].tolist(), strict=True)])
-            at = self.table.get(h)
         sizes = self.sizes[at]
         counts = np.searchsorted(starts, bounds)
         total = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
