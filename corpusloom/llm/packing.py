@@ -2,9 +2,12 @@
 
 Texts are encoded once into a scratch table. Document frequencies of all token
 ids are counted over the whole corpus (at most one row per id of the vocabulary).
-The documents are then ordered by a lexical signature, so that documents which
-share rare ids come to lie together, and cut into shards of a fixed number of
-documents. Each shard has a BM25 inverted index. A seed document opens a window;
+Each document has several bands of weighted min-hashes; a band's value that two
+documents share is a bucket, and buckets are counted over the whole corpus. A
+document goes to the largest of its buckets that hash pairs make, failing those
+to the largest that single hashes make. Documents are ordered by bucket, wherever
+in the corpus they stand, and cut into shards of a fixed number of documents.
+Each shard has a BM25 inverted index. A seed document opens a window;
 the index returns its unused neighbours by score, and they fill the window
 greedily. The one that does not fit is cut, and its rest is the next seed.
 """
@@ -21,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm import tokens
-from corpusloom.llm.storage import materialize
+from corpusloom.llm.storage import bounded, materialize
 from corpusloom.llm.worker import task
 
 WINDOW = 1024
@@ -33,35 +36,77 @@ K1, B = 1.2, 0.75
 QUERY_TERMS = 16
 #: Neighbours that a look-up returns; when they are used up the next one follows.
 NEIGHBOURS = 8
+#: Min-hashes of a document; each two of them make a band, and so does the first of the two.
+HASHES = 6
+
+
+class Signer:
+    """Bands of weighted min-hashes of documents' ids.
+
+    Later ids of a merged vocabulary are rarer, so an id's weight grows with the
+    logarithm of its number: two documents agree in a hash with about the share of
+    weight that they have in common.
+    """
+
+    def __init__(self):
+        self.rank = np.zeros((HASHES, 0), np.uint32)
+
+    def _grow(self, size: int) -> None:
+        ids = np.arange(size, dtype=np.uint64)
+        weight = np.log(np.maximum(ids, 257) / 256.0)
+        rows = []
+        for h in range(HASHES):
+            u = (_mixed(ids + np.uint64((h + 1) << 40)) >> np.uint64(11)).astype(np.float64)
+            # Positive floats have the order of their bits; the last value is left for empty texts.
+            rows.append((-np.log((u + 0.5) / 2.0**53) / weight).astype(np.float32).view(np.uint32))
+        self.rank = np.stack(rows)
+
+    def bands(self, flat: np.ndarray, ends: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """A row per document: the bands of hash pairs, then those of single hashes. The last id of each document is its end id, which has no part."""
+        if int(flat.max()) >= self.rank.shape[1]:
+            self._grow(max(1 << 16, 2 * int(flat.max())))
+        low = []
+        for rank in self.rank:
+            value = rank[flat]
+            value[ends - 1] = np.uint32(0xFFFFFFFF)
+            low.append(np.minimum.reduceat(value, ends - n).astype(np.uint64))
+        pairs = [(a << np.uint64(32)) | b for a, b in zip(low[::2], low[1::2], strict=True)]
+        found = [_mixed(_mixed(x) + np.uint64(i + 1)) for i, x in enumerate([*pairs, *low[::2]])]
+        return np.stack(found, axis=1).view(np.int64)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """64-bit mix of each value (splitmix64)."""
+    x = x + np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
 def _tokenize(path: str, keep_space: bool, end_id: int):
     @task("tokens")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokens.encoder(path, keep_space).encode
+        signer = Signer()
         for batch in batches:
             for i, texts in tokens.text_runs(batch, 1):
                 flat, n = encode(texts)
                 flat = np.insert(flat, np.cumsum(n), end_id).astype(np.uint32)
                 n = n + 1
                 ends = np.cumsum(n)
-                # Two min-hashes of the ids: likely equal for documents that share most.
-                sig = [
-                    np.minimum.reduceat((flat * np.uint32(odd)) ^ ((flat * np.uint32(odd)) >> np.uint32(15)), ends - n)
-                    for odd in (0x9E3779B1, 0x85EBCA6B)
-                ]
                 small = flat.astype("<u2") if flat.max() < 1 << 16 else flat.astype("<u4")
                 width = small.dtype.itemsize
                 offsets = pa.array(np.concatenate([[0], ends * width]).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0)[i : i + len(texts)].cast(pa.int64()),
+                        batch.column(2)[i : i + len(texts)],
                         pa.array(n),
                         pa.array(np.full(len(n), width, np.int32)),
-                        pa.array((sig[0].astype(np.int64) << 31) ^ sig[1].astype(np.int64)),
+                        pa.FixedSizeListArray.from_arrays(pa.array(signer.bands(flat, ends, n).ravel()), HASHES).cast(pa.list_(pa.int64())),
                         pa.Array.from_buffers(pa.binary(), len(n), [None, offsets.buffers()[1], pa.py_buffer(small.tobytes())]),
                     ],
-                    names=["id", "n", "width", "sig", "ids"],
+                    names=["id", "row", "n", "width", "bands", "ids"],
                 )
 
     return run
@@ -186,6 +231,21 @@ def pack_shard(flat: np.ndarray, n: np.ndarray, idf: np.ndarray, mean_length: fl
             return pieces
 
 
+def buckets(coded: DataFrame) -> DataFrame:
+    """(row, bucket) of the documents that share a band with another one, anywhere in the corpus.
+
+    A bucket is a number whose highest bits tell hash pairs from single hashes,
+    the next ones the documents of the bucket and the lowest ones the band's value,
+    so that the largest number is the bucket to go to.
+    """
+    each = coded.select("row", F.posexplode("bands").alias("band", "key"))
+    shared = materialize(each.groupBy("key").agg(F.count("*").alias("docs")).where("docs > 1"), "packing-shared")
+    pair = F.shiftleft((F.col("band") < HASHES // 2).cast("long"), 62)
+    size = F.shiftleft(F.least("docs", F.lit((1 << 22) - 1)), 40)
+    value = F.col("key").bitwiseAND(F.lit((1 << 40) - 1))
+    return each.join(bounded(shared), "key").groupBy("row").agg(F.max(pair + size + value).alias("bucket"))
+
+
 def _packer(idf: np.ndarray, mean_length: float, window: int, shard_docs: int, with_ids: bool):
     @task("packing")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,15 +315,15 @@ def pack(
 
     Null text counts as empty (a document of end_id only); null ids stay null;
     repeated rows are packed each; documents that tie in score are taken in
-    signature order; an empty table gives an empty result; a document longer
+    bucket order; an empty table gives an empty result; a document longer
     than the window is cut. Other columns are ignored.
     """
     spark = df.sparkSession
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = df.select(F.col(id_col).cast("long").alias("id"), text.alias("text"))
+    rows = df.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.monotonically_increasing_id().alias("row"))
     coded = materialize(
         rows.mapInArrow(
-            _tokenize(tokenizer_path, keep_space, end_id), "id long, n long, width int, sig long, ids binary"
+            _tokenize(tokenizer_path, keep_space, end_id), "id long, row long, n long, width int, bands array<long>, ids binary"
         ),
         "packing-ids",
     )
@@ -282,9 +342,12 @@ def pack(
     mean = total / docs if docs else 0.0
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     schema = "id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+    placed = materialize(buckets(coded), "packing-buckets")
     packed = (
-        coded.repartitionByRange(n, "sig", "id", "n")
-        .sortWithinPartitions("sig", "id", "n")
+        coded.join(bounded(placed), "row", "left")
+        .select("id", "n", "width", "ids", F.coalesce("bucket", F.lit(0)).alias("bucket"), F.col("bands")[0].alias("sig"))
+        .repartitionByRange(n, "bucket", "sig", "id", "n")
+        .sortWithinPartitions("bucket", "sig", "id", "n")
         .mapInArrow(
             _packer(idf, mean, window, shard_docs, with_ids), schema + (", ids array<int>" if with_ids else "")
         )

@@ -290,6 +290,26 @@ def test_packing(spark, odd, empty, docs):
     assert pack(empty, path).count() == 0
 
 
+def test_copies_with_distant_ids_share_a_sequence(spark):
+    from corpusloom.llm.packing import pack
+
+    rng = np.random.default_rng(3)
+    words = np.array(["".join(rng.choice(list("abcdefghijklmnoprstuvw"), rng.integers(3, 9))) for _ in range(4000)])
+    first = [(i, " ".join(rng.choice(words, 40))) for i in range(300)]
+    filler = [(10_000 + i, " ".join(rng.choice(words, 40))) for i in range(1500)]
+    # Exact copies, and copies in which four words in forty differ.
+    exact = [(90_000 + i, t) for i, t in first[:150]]
+    near = [(90_000 + i, " ".join([*t.split()[:36], *rng.choice(words, 4)])) for i, t in first[150:]]
+    df = spark.createDataFrame([*first, *filler, *exact, *near, (95_000, ""), (95_001, None)], "doc_id long, text string")
+    rows = pack(df, tokens.vocabulary_path("byte_bpe_50k.json"), shard_docs=64, with_ids=False).collect()
+    at = collections.defaultdict(set)
+    for r in rows:
+        at[r["doc_id"]].add(r["sequence_id"])
+    together = [bool(at[i] & at[90_000 + i]) for i, _ in first]
+    assert len(at) == df.count()
+    assert sum(together[:150]) >= 140 and sum(together[150:]) >= 75
+
+
 def test_neighbours_follow_bm25():
     from corpusloom.llm.packing import B, K1, QUERY_TERMS, ShardIndex
 
