@@ -33,6 +33,18 @@ ADDED_KINDS = (
     ("vendor", r"(?:gh[pousr]_|glpat-|xox[abprs]-|sk_live_|AIza)[A-Za-z0-9_-]{16,}", 0, 1),
     ("bearer", r"(?i:bearer)\x20+([A-Za-z0-9+/_.=-]{20,})", 1, 20),
 )
+#: Where a key block starts at a pem header: all up to its END line or, where that is
+#: missing, the header with its fields and the base64 lines that follow. Possessive, lest
+#: a long block be read by recursion. The kind's own pattern is the header only.
+_PEM_EDGE = r"-----(?:BEGIN|END) [A-Z ]{0,40}PRIVATE KEY-----"
+_PEM_BREAK = r"(?:\s|\\[nr])"
+_PEM_BLOCK = (
+    r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?:"
+    r"[^-]*+(?:-(?!----)[^-]*+)*+-----END [A-Z ]{0,40}PRIVATE KEY-----"
+    rf"|(?:{_PEM_BREAK}*+[A-Za-z][A-Za-z0-9-]{{0,40}}: [^\n\\]*+)*+"
+    rf"(?:{_PEM_BREAK}*+[A-Za-z0-9+/=]{{16,}}+)++(?:{_PEM_BREAK}++[A-Za-z0-9+/]{{1,15}}+(?:={{1,2}}|\z))?"
+    r"|)"
+)
 #: Cheap tests that must hold before a kind's pattern is applied to a text.
 _NEEDS = {
     "assign": r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]",
@@ -57,8 +69,10 @@ def _spans(text: Column, rank: int, kind: str, pattern: str, group: int, least:
     The pieces between matches and the matches themselves alternate, so running
     sums of their lengths give the offsets.
     """
+    if kind == "pem":
+        pattern = _PEM_BLOCK
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+    values = F.transform(found, _pem_value) if kind == "pem" else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     gaps = F.split(text, pattern, -1)
     pairs = F.arrays_zip(
         F.slice(gaps, F.lit(1), F.size(found)).alias("gap"),
@@ -91,6 +105,12 @@ def _spans(text: Column, rank: int, kind: str, pattern: str, group: int, least:
     ).otherwise(none)
 
 
+def _pem_value(block: Column) -> Column:
+    """What lies between a block's edges, however its lines are broken; of a header alone the header."""
+    body = F.regexp_replace(F.regexp_replace(block, _PEM_EDGE, ""), _PEM_BREAK, "")
+    return F.when(body != "", body).otherwise(F.regexp_extract(block, _PEM_EDGE, 0))
+
+
 def secret_candidates(text: Column) -> Column:
     """All candidate spans of a text, base and added kinds, by start and then kind."""
     kinds = [*BASE_KINDS, *ADDED_KINDS]
