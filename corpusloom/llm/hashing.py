@@ -1,25 +1,19 @@
-"""Hashes of many words at once, from running sums over their bytes."""
+"""Hashes of many byte spans at once, and the spans themselves as 8-byte lanes.
+
+A span is cut into lanes of eight bytes, the last one filled with zeros. Each lane
+is mixed with the key of its place before the lanes are added up, so no shift or
+exchange of bytes cancels out; the length enters last. Equal lanes and equal
+lengths mean equal bytes, which lets a caller check what a hash found.
+"""
 
 from __future__ import annotations
 
 import numpy as np
 
-_R = 0x9E3779B97F4A7C15 | 1
-_R_INV = pow(_R, -1, 1 << 64)
-_BYTE = np.random.default_rng(20240601).integers(1, 1 << 63, 256, dtype=np.uint64)
-_POWERS: dict[int, np.ndarray] = {}
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    """base ** 0 .. base ** n modulo 2 ** 64; kept for the next batch."""
-    known = _POWERS.get(base)
-    if known is None or len(known) <= n:
-        size = max(n + 1, _BLOCK + 1)
-        grown = np.cumprod(np.concatenate([[np.uint64(1)], np.full(size, base, np.uint64)]))
-        if size > 1 << 22:  # one huge text must not stay in memory
-            return grown
-        _POWERS[base] = known = grown
-    return known
+_GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+_SIZE = np.uint64(0xD6E8FEB86659FD93)
+#: By bytes in a last lane: what of it belongs to the span; 0 stands for a full one.
+_MASK = np.array([(1 << 64) - 1, *((1 << 8 * k) - 1 for k in range(1, 8))], np.uint64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -28,29 +22,35 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-#: Bytes whose running sums are held at once.
-_BLOCK = 1 << 17
-
-
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each byte span: a polynomial of randomly renamed bytes, mixed.
-
-    Spans are in order and do not overlap. They are hashed in blocks, so that only
-    a block's running sums (or those of one longer span) are in memory.
-    """
-    out = np.empty(len(starts), np.uint64)
-    i = 0
-    while i < len(starts):
-        first = int(starts[i])
-        j = max(i + 1, int(np.searchsorted(ends, first + _BLOCK, "right")))
-        part = data[first : int(ends[j - 1])]
-        run = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum(_BYTE[part] * _powers(_R, len(part))[: len(part)], dtype=np.uint64, out=run[1:])
-        # The inverse power at a start brings every span to the same origin.
-        a, b = starts[i:j] - first, ends[i:j] - first
-        out[i:j] = mix((run[b] - run[a]) * _powers(_R_INV, len(part))[a])
-        i = j
-    return out
+def span_lanes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(lanes of all spans in a row, number of lanes of each). Spans are not empty."""
+    size = ends - starts
+    n = (size + 7) >> 3
+    upto = np.cumsum(n)
+    at = np.repeat(starts - 8 * (upto - n), n) + 8 * np.arange(int(upto[-1]) if len(upto) else 0)
+    words = np.zeros((len(data) >> 3) + 2, np.uint64)
+    words.view(np.uint8)[: len(data)] = data
+    word, shift = at >> 3, ((at & 7) << 3).astype(np.uint64)
+    # A shift by 64 gives 0.
+    lanes = (words[word] >> shift) | (words[word + 1] << (np.uint64(64) - shift))
+    lanes[upto - 1] &= _MASK[size & 7]
+    return lanes, n
+
+
+def lane_hashes(lanes: np.ndarray, n: np.ndarray, size: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hash of each span from its lanes and its bytes."""
+    if not len(n):
+        return np.zeros(0, np.uint64)
+    first = np.cumsum(n) - n
+    place = (np.arange(len(lanes)) - np.repeat(first, n) + (seed + 1)).astype(np.uint64)
+    keyed = mix(lanes ^ (place * _GOLDEN))
+    total = np.add.reduceat(keyed, first) if len(lanes) > len(n) else keyed
+    return mix(total + size.astype(np.uint64) * _SIZE)
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hash of each byte span."""
+    return lane_hashes(*span_lanes(data, starts, ends), ends - starts, seed)
 
 
 def join_texts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:

@@ -5,7 +5,9 @@ or line feed that has no other white space beside it, and none spans a letter an
 a sign (but for apostrophes). So a text's ids are
 those of its pieces, and a piece that was met before costs a look-up. Pieces are
 cut and hashed (64 bits) for many texts at once, without a Python string for
-each. A text for which the rule does not hold is encoded whole.
+each; the bytes of every piece are compared with those that the look-up found.
+A text for which the rule does not hold, or one with a piece whose hash stands for
+other bytes, is encoded whole.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ import os
 
 import numpy as np
 
-from corpusloom.llm.hashing import join_texts, span_hashes, spans_of
+from corpusloom.llm.hashing import join_texts, lane_hashes, span_lanes, spans_of
 from corpusloom.llm.worker import kept
 
 #: Pieces that a worker remembers; past it the memory is emptied and refilled.
@@ -116,6 +118,30 @@ class Encoder:
         self.starts = np.zeros(0, np.int64)
         self.sizes = np.zeros(0, np.int32)
         self.whole = np.zeros(0, bool)
+        #: The bytes of the pieces, as lanes.
+        self.lanes, self.n_lanes = np.zeros(0, np.uint64), 0
+        self.lane_at, self.bytes = np.zeros(0, np.int32), np.zeros(0, np.int32)
+
+    def _remember(self, lanes: np.ndarray, n: np.ndarray, size: np.ndarray, which: np.ndarray) -> None:
+        """Keep the bytes of the spans `which`, which are about to be learned in this order."""
+        n_of = n[which]
+        ends = np.cumsum(n_of)
+        at = np.repeat((np.cumsum(n) - n)[which] - (ends - n_of), n_of) + np.arange(int(ends[-1]))
+        self.lane_at = _append(self.lane_at, self.n, self.n_lanes + ends - n_of)
+        self.bytes = _append(self.bytes, self.n, size[which])
+        self.lanes = _append(self.lanes, self.n_lanes, lanes[at])
+        self.n_lanes += len(at)
+
+    def _same(self, lanes: np.ndarray, n: np.ndarray, size: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Whether each span's bytes are those of the piece that it was looked up as."""
+        same = self.bytes[at] == size
+        if len(lanes) == len(n):  # a lane each; of pieces of other sizes only the first lane is compared
+            return same & (self.lanes[self.lane_at[at]] == lanes)
+        ends = np.cumsum(n)
+        # Sizes that differ are settled: their lanes are compared with the first one, lest they read beyond the end.
+        step = np.arange(len(lanes)) - np.repeat(ends - n, n)
+        place = np.repeat(self.lane_at[at].astype(np.int64), n) + np.where(np.repeat(same, n), step, 0)
+        return same & np.logical_and.reduceat(self.lanes[place] == lanes, ends - n)
 
     def _learn(self, pieces: list[str]) -> None:
         """Add pieces. With spaces kept, a piece with other white space at an end
@@ -206,7 +232,9 @@ class Encoder:
         if not self.keep_space:
             data = np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
         starts, ends, bad = self._cut(data, bounds)
-        h = span_hashes(data, starts, ends)
+        size = ends - starts
+        lanes, n_lanes = span_lanes(data, starts, ends)
+        h = lane_hashes(lanes, n_lanes, size)
         at = self.table.get(h)
         if len(new := np.flatnonzero(at < 0)):
             known, first, number = np.unique(h[new], return_index=True, return_inverse=True)
@@ -219,6 +247,7 @@ class Encoder:
             at[new] = number + self.n
             raw = data.tobytes()
             place = new[first]
+            self._remember(lanes, n_lanes, size, place)
             self._learn([raw[a:b].decode() for a, b in zip(starts[place].tolist(), ends[place].tolist(), strict=True)])
         sizes = self.sizes[at]
         counts = np.searchsorted(starts, bounds)
@@ -226,7 +255,7 @@ class Encoder:
         lengths = np.diff(total[counts])
         # Gather: position within a piece plus the piece's start in the memory.
         out = self.flat[np.repeat(self.starts[at] - total[:-1], sizes) + np.arange(int(total[-1]))]
-        odd = self.whole[at]
+        odd = self.whole[at] | ~self._same(lanes, n_lanes, size, at)
         if odd.any():
             bad[np.searchsorted(bounds, starts[odd], "right") - 1] = True
         if bad.any():
