@@ -7,15 +7,21 @@ group:
 
 1. Column blocks count in how many rows each shingle stands. A row can link only
    if 80 % of its shingles stand in another row too; the rest are discarded.
-   Blocks travel as packed 5-byte hashes, and only counts travel back.
-2. Column blocks of the rows that are left give exact frequencies. With shingles
-   ordered by them, two linked rows share one of their first n - ceil(0.8 n) + 1
-   shingles; those that do form candidate clusters (a star for each shingle, its
-   local part before the shuffle).
-3. Row blocks: a cluster is cut into blocks of rows, every pair of blocks is one
-   unit of work, and there exact overlaps are accumulated over the shingles of
-   one row at a time against all others. A row whose component is known and
-   holds all others that are left need not be multiplied.
+   Blocks travel as packed 5-byte hashes, and only counts travel back. A shingle
+   that two rows of a chunk share is settled there and travels once a chunk, so
+   a passage on a third of all rows is no hot column.
+2. Column blocks of the rows that are left give exact frequencies; a chunk sends
+   each of its shingles once, with a count. With shingles ordered by frequency,
+   two linked rows share one of their first n - ceil(0.8 n) + 1 shingles; those
+   that do form candidate clusters (a star for each shingle, its local part
+   before the shuffle).
+3. Row blocks: exact overlaps are accumulated over the shingles of one row at a
+   time against all others of a unit of work. A row whose component is known and
+   holds all others that are left need not be multiplied. A small cluster is one
+   unit. The rows of a large one are dealt twice into blocks, each row to one
+   block a deal, which joins a large group of near copies in time linear in the
+   group. Only where several components are left, the rows outside the largest
+   one meet each other and all rest, by pairs of blocks.
 
 Only spanning edges leave step 3. Components of those edges are the result.
 """
@@ -23,9 +29,11 @@ Only spanning edges leave step 3. Components of those edges are the result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,6 +49,8 @@ SHINGLE = 5
 PERCENT = 80
 #: Bits of the row filter of step 2: a fixed 8 MB, however many rows are left.
 FILTER_BITS = 26
+#: Entries of a column block; their number sets the number of blocks.
+BLOCK_ENTRIES = 4_000_000
 #: Rows of a block and blocks of a cluster in step 3; bytes of a block's hashes.
 BLOCK_ROWS, MAX_BLOCKS, BLOCK_BYTES = 64, 16, 32 << 20
 #: Text that is hashed at once.
@@ -74,17 +84,37 @@ def shingle_sets(texts: list[str]) -> list[np.ndarray]:
             h = np.sort(five[i : j - SHINGLE + 1])
             out.append(h[np.concatenate([[True], h[1:] != h[:-1]])])
         elif j > i:
-            total = sum(((word[i + k] ^ _ODD[j - i]) * _ODD[k] for k in range(j - i)), np.uint64(j - i))
-            out.append(mix(np.array([total], np.uint64)))
+            few = ((word[i:j] ^ _ODD[j - i]) * np.array(_ODD[: j - i], np.uint64)).sum(dtype=np.uint64, keepdims=True)
+            out.append(mix(few + np.uint64(j - i)))
         else:
             out.append(np.zeros(0, np.uint64))
     return out
 
 
-def set_digest(h: np.ndarray) -> int:
-    """Names a set; equal sets have equal names. Signed 64 bits."""
-    total = mix(h ^ np.uint64(0x27D4EB2F165667C5)).sum(dtype=np.uint64) + np.uint64(len(h)) * _ODD[4]
-    return int(mix(np.array([total], np.uint64)).view(np.int64)[0])
+def set_digest(h: np.ndarray) -> tuple[int, int]:
+    """Two independent 64-bit digests of a set, signed."""
+    both = []
+    for salt, odd in ((0x27D4EB2F165667C5, _ODD[4]), (0x94D049BB133111EB, _ODD[3])):
+        total = mix(h ^ np.uint64(salt)).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(h) * int(odd) & (1 << 64) - 1)
+        both.append(int(mix(total).view(np.int64)[0]))
+    return both[0], both[1]
+
+
+@dataclass(frozen=True)
+class Naming:
+    """A set's name is its first digest, or the second one where different sets share the first."""
+
+    clashes: frozenset[int] = frozenset()
+    #: Bits of the first digest (fewer in tests, to make sets clash).
+    bits: int = 64
+
+    def first(self, digest: int) -> int:
+        return digest if self.bits == 64 else digest & ((1 << self.bits) - 1)
+
+    def of(self, h: np.ndarray) -> int:
+        first, second = set_digest(h)
+        first = self.first(first)
+        return second if first in self.clashes else first
 
 
 def _needed(n):
@@ -100,27 +130,34 @@ def _each(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.R
                 yield batch, i, shingle_sets(texts)
 
 
-@task("jaccard")
-def _name_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """id, n, digest of every text."""
-    for batch, i, sets in _each(batches, 1):
-        with np.errstate(over="ignore"):
-            names = [set_digest(h) if len(h) else None for h in sets]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0)[i : i + len(sets)].cast(pa.int64()), pa.array([len(h) for h in sets], pa.int64()), pa.array(names, pa.int64())],
-            names=["id", "n", "digest"],
-        )
-
-
-def _new_sets(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[list[int], list[np.ndarray]]]:
-    """Sets and their digests, each distinct set once a task."""
+def _name_sets(naming: Naming):
+    """id, n and both digests of every text."""
+
+    @task("jaccard")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, i, sets in _each(batches, 1):
+            names = [set_digest(h) if len(h) else (None, None) for h in sets]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0)[i : i + len(sets)].cast(pa.int64()),
+                    pa.array([len(h) for h in sets], pa.int64()),
+                    pa.array([a if a is None else naming.first(a) for a, _ in names], pa.int64()),
+                    pa.array([b for _, b in names], pa.int64()),
+                ],
+                names=["id", "n", "digest", "other"],
+            )
+
+    return run
+
+
+def _new_sets(batches: Iterator[pa.RecordBatch], column: int, naming: Naming) -> Iterator[tuple[list[int], list[np.ndarray]]]:
+    """Sets and their names, each distinct set once a task."""
     seen: set[int] = set()
     for _, _, sets in _each(batches, column):
         names, kept = [], []
         for h in sets:
             if len(h):
-                with np.errstate(over="ignore"):
-                    d = set_digest(h)
+                d = naming.of(h)
                 if d not in seen:
                     seen.add(d)
                     names.append(d)
@@ -129,33 +166,74 @@ def _new_sets(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[
             yield names, kept
 
 
-def _scatter(names: list[int], sets: list[np.ndarray], blocks: int, width: int, chunk: int) -> pa.RecordBatch:
-    """A chunk's rows cut into column blocks: for each block the hashes of each set in a row."""
-    size = np.array([len(h) for h in sets], np.int64)
+def _pack(h: np.ndarray, width: int) -> bytes:
+    """The low bytes of hashes in a row."""
+    return np.ascontiguousarray(h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+
+
+def _unpacked(raw: bytes, width: int) -> np.ndarray:
+    wide = np.zeros((len(raw) // width, 8), np.uint8)
+    wide[:, :width] = np.frombuffer(raw, np.uint8).reshape(-1, width)
+    return wide.view("<u8")[:, 0]
+
+
+_BLOCK = "block int, chunk long, counts binary, digests binary, hashes binary, several binary"
+
+
+def _scatter(names: list[int], sets: list[np.ndarray], blocks: int, chunk: int) -> pa.RecordBatch:
+    """A chunk's rows cut into column blocks.
+
+    For each block: the hashes that one set of the chunk has (by set), and those that several have, once each.
+    """
+    m = len(sets)
     h = np.concatenate(sets)
-    row = np.repeat(np.arange(len(sets)), size)
+    row = np.repeat(np.arange(m, dtype=np.int64), [len(x) for x in sets])
+    order = np.argsort(h, kind="stable")
+    h, row = h[order], row[order]
+    first = np.concatenate([[True], h[1:] != h[:-1]])
+    alone = first & np.concatenate([first[1:], [True]])
+    twice = h[first & ~alone]
+    h, row = h[alone], row[alone]
     block = (h % np.uint64(blocks)).astype(np.int64)
-    order = np.argsort(block * len(sets) + row, kind="stable")
-    h = np.ascontiguousarray(h[order]) // np.uint64(blocks)
-    counts = np.bincount(block * len(sets) + row, minlength=blocks * len(sets)).reshape(blocks, len(sets))
+    order = np.argsort(block * m + row, kind="stable")
+    counts = np.bincount(block * m + row, minlength=blocks * m).reshape(blocks, m)
+    h = h[order] // np.uint64(blocks)
     ends = np.cumsum(counts.sum(1))
-    packed = np.ascontiguousarray(h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width])
-    digests = np.array(names, "<i8").tobytes()
-    full = np.flatnonzero(counts.sum(1))
-    hashes = [packed[(ends[b - 1] if b else 0) : ends[b]].tobytes() for b in full.tolist()]
+    of_twice = (twice % np.uint64(blocks)).astype(np.int64)
+    order = np.argsort(of_twice, kind="stable")
+    twice, many = twice[order] // np.uint64(blocks), np.bincount(of_twice, minlength=blocks)
+    many_ends = np.cumsum(many)
+    digests = np.array(names, "<i8")
+    full = np.flatnonzero((counts.sum(1) > 0) | (many > 0))
+    cols: list[list] = [[], [], [], []]
+    for b in full.tolist():
+        have = np.flatnonzero(counts[b])
+        cols[0].append(np.stack([have, counts[b][have]]).astype("<u4").tobytes())
+        cols[1].append(digests[have].tobytes())
+        cols[2].append(_pack(h[(ends[b - 1] if b else 0) : ends[b]], 5))
+        cols[3].append(_pack(twice[(many_ends[b - 1] if b else 0) : many_ends[b]], 5))
     return pa.RecordBatch.from_arrays(
-        [
-            pa.array(full.astype(np.int32)),
-            pa.array(np.full(len(full), chunk, np.int64)),
-            pa.array([counts[b].astype("<u4").tobytes() for b in full.tolist()], pa.binary()),
-            pa.array([digests] * len(full), pa.binary()),
-            pa.array(hashes, pa.binary()),
-        ],
-        names=["block", "chunk", "counts", "digests", "hashes"],
+        [pa.array(full.astype(np.int32)), pa.array(np.full(len(full), chunk, np.int64)), *(pa.array(c, pa.binary()) for c in cols)],
+        names=["block", "chunk", "counts", "digests", "hashes", "several"],
     )
 
 
-_BLOCK = "block int, chunk long, counts binary, digests binary, hashes binary"
+def _own_shared(names: list[int], sets: list[np.ndarray], blocks: int, chunk: int) -> pa.RecordBatch:
+    """What a chunk knows of its sets: their sizes, and how many shingles of each another set of the chunk has. It passes through a block."""
+    size = np.array([len(x) for x in sets], np.int64)
+    _, at, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = np.add.reduceat((n[at] > 1).astype(np.int64), np.cumsum(size) - size)
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array([chunk % blocks], pa.int32()),
+            pa.array([chunk], pa.int64()),
+            pa.array([np.stack([size, shared]).astype("<u4").tobytes()], pa.binary()),
+            pa.array([np.array(names, "<i8").tobytes()], pa.binary()),
+            pa.array([None], pa.binary()),
+            pa.array([None], pa.binary()),
+        ],
+        names=["block", "chunk", "counts", "digests", "hashes", "several"],
+    )
 
 
 def _chunk_ids():
@@ -165,77 +243,76 @@ def _chunk_ids():
         n += 1
 
 
-def _text_blocks(blocks: int):
+def _text_blocks(blocks: int, naming: Naming):
+    """Column blocks of each chunk, and what the chunk itself knows (without hashes)."""
+
     @task("jaccard")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = _chunk_ids()
-        for names, sets in _new_sets(batches, 0):
-            yield _scatter(names, sets, blocks, 5, next(chunk))
+        for names, sets in _new_sets(batches, 0, naming):
+            number = next(chunk)
+            yield _scatter(names, sets, blocks, number)
+            yield _own_shared(names, sets, blocks, number)
 
     return run
 
 
-def _unpack(batch: pa.RecordBatch, width: int):
-    """(chunks, counts, digests, hashes) of block rows."""
-    out = []
-    for c, n, d, h in zip(*(batch.column(k).to_pylist() for k in ("chunk", "counts", "digests", "hashes")), strict=True):
-        raw = np.frombuffer(h, np.uint8).reshape(-1, width)
-        wide = np.zeros((len(raw), 8), np.uint8)
-        wide[:, :width] = raw
-        out.append((c, np.frombuffer(n, "<u4").astype(np.int64), np.frombuffer(d, "<i8"), wide.view("<u8")[:, 0]))
-    return out
-
-
-def _frequencies(rows) -> tuple[np.ndarray, np.ndarray]:
-    """For every entry of a column block, in how many distinct sets its shingle stands; and each entry's set."""
-    digest = np.concatenate([d for _, _, d, _ in rows])
-    count = np.concatenate([n for _, n, _, _ in rows])
-    h = np.concatenate([x for *_, x in rows])
-    owner = np.repeat(np.arange(len(digest), dtype=np.int32), count)
-    # A set that several tasks sent counts once.
-    once = np.zeros(len(digest), bool)
-    have = np.flatnonzero(count)
-    once[have[np.unique(digest[have], return_index=True)[1]]] = True
-    known, n = np.unique(h[once[owner]], return_counts=True)
-    return n.astype(np.int32)[np.searchsorted(known, h)], owner
-
-
 @task("jaccard")
 def _count_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Back to the chunks: shingles of each set in this block, and those that stand in another set too."""
-    rows = [x for batch in batches for x in _unpack(batch, 5)]
-    if not rows:
+    """Back to the chunks: of each set the shingles that only it has in its chunk and that stand in another chunk's set.
+
+    A task gets one block, so hashes of different blocks never mix.
+    """
+    chunk, where, digest, hashes, several = [], [], [], [], []
+    for batch in batches:
+        own = pc.is_null(batch.column("hashes"))
+        yield batch.select(["chunk", "counts", "digests"]).filter(own)
+        batch = batch.filter(pc.invert(own))
+        for c, n, d, h, m in zip(*(batch.column(k).to_pylist() for k in ("chunk", "counts", "digests", "hashes", "several")), strict=True):
+            chunk.append(c)
+            where.append(np.frombuffer(n, "<u4").reshape(2, -1).astype(np.int64))
+            digest.append(np.frombuffer(d, "<i8"))
+            hashes.append(_unpacked(h, 5))
+            several.append(_unpacked(m, 5))
+    if not chunk:
         return
-    # A partition may hold several blocks; hashes of different blocks never mix,
-    # since a task gets one block.
-    n, owner = _frequencies(rows)
-    total = sum(len(d) for _, _, d, _ in rows)
-    shared = np.split(np.bincount(owner[n > 1], minlength=total), np.cumsum([len(d) for _, _, d, _ in rows])[:-1])
+    d = np.concatenate(digest)
+    count = np.concatenate([w[1] for w in where])
+    owner = np.repeat(np.arange(len(d), dtype=np.int32), count)
+    # A set that several tasks sent counts once; what several sets of one chunk have is shared anyhow.
+    once = np.zeros(len(d), bool)
+    once[np.unique(d, return_index=True)[1]] = True
+    h = np.concatenate(hashes)
+    twice = np.concatenate(several)
+    known, n = np.unique(np.concatenate([h[once[owner]], twice, twice]), return_counts=True)
+    found = np.bincount(owner[n[np.searchsorted(known, h)] > 1], minlength=len(d))
+    parts = np.split(found, np.cumsum([len(x) for x in digest])[:-1])
     yield pa.RecordBatch.from_arrays(
         [
-            pa.array([c for c, *_ in rows], pa.int64()),
-            pa.array([x[1].astype("<u4").tobytes() for x in rows], pa.binary()),
-            pa.array([s.astype("<u4").tobytes() for s in shared], pa.binary()),
-            pa.array([x[2].tobytes() for x in rows], pa.binary()),
+            pa.array(chunk, pa.int64()),
+            pa.array([np.stack([w[0], s]).astype("<u4").tobytes() for w, s in zip(where, parts, strict=True)], pa.binary()),
+            pa.array([None] * len(chunk), pa.binary()),
         ],
-        names=["chunk", "counts", "shared", "digests"],
+        names=["chunk", "counts", "digests"],
     )
 
 
 @task("jaccard")
 def _keep_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Digests of the sets that share enough of their shingles to link at all."""
-    sums: dict[int, list] = {}
+    """Names of the sets that share enough of their shingles to link at all; a chunk's rows meet here."""
+    own: dict[int, tuple] = {}
+    found: dict[int, list[np.ndarray]] = {}
     for batch in batches:
-        for c, n, s, d in zip(*(batch.column(k).to_pylist() for k in ("chunk", "counts", "shared", "digests")), strict=True):
-            n, s = np.frombuffer(n, "<u4").astype(np.int64), np.frombuffer(s, "<u4").astype(np.int64)
-            if c in sums:
-                sums[c][0] += n
-                sums[c][1] += s
+        for c, n, d in zip(*(batch.column(k).to_pylist() for k in ("chunk", "counts", "digests")), strict=True):
+            pair = np.frombuffer(n, "<u4").reshape(2, -1).astype(np.int64)
+            if d is None:
+                found.setdefault(c, []).append(pair)
             else:
-                sums[c] = [n, s, np.frombuffer(d, "<i8")]
-    for n, s, d in sums.values():
-        yield pa.RecordBatch.from_arrays([pa.array(d[s >= _needed(n)])], names=["digest"])
+                own[c] = (pair[0], pair[1].copy(), np.frombuffer(d, "<i8"))
+    for c, (size, shared, digest) in own.items():
+        for place, n in found.pop(c, []):
+            shared[place] += n
+        yield pa.RecordBatch.from_arrays([pa.array(digest[shared >= _needed(size)])], names=["digest"])
 
 
 def _row_filter(kept: DataFrame) -> np.ndarray:
@@ -251,11 +328,11 @@ def _row_filter(kept: DataFrame) -> np.ndarray:
     return out
 
 
-def _kept_sets(shared):
+def _kept_sets(shared, naming: Naming):
     @task("jaccard")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
-        for names, sets in _new_sets(batches, 0):
+        for names, sets in _new_sets(batches, 0, naming):
             d = np.array(names, np.int64)
             slot = d & ((1 << FILTER_BITS) - 1)
             keep = np.flatnonzero(bits[slot >> 3] >> (slot & 7).astype(np.uint8) & 1)
@@ -272,52 +349,76 @@ def _kept_sets(shared):
     return run
 
 
+_ENTRIES = "block int, chunk long, counts binary, digests binary, hashes binary"
+
+
+def _by_block(h: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of distinct sorted hashes by block, and where each block ends."""
+    block = (h % np.uint64(blocks)).astype(np.int64)
+    return np.argsort(block, kind="stable"), np.cumsum(np.bincount(block, minlength=blocks))
+
+
 def _set_blocks(blocks: int):
-    """Column blocks of the kept sets, with whole hashes."""
+    """Column blocks of the kept sets, a chunk's hashes once with their counts; block -1 holds the chunk's sets."""
 
     @task("jaccard")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk = _chunk_ids()
         names, sets, size = [], [], 0
+
+        def rows() -> pa.RecordBatch:
+            number = names[0]  # the table has every name once, so this one names the chunk
+            flat = np.concatenate(sets)
+            h, n = np.unique(flat, return_counts=True)
+            order, ends = _by_block(h, blocks)
+            h, n = h[order], n[order]
+            starts = np.concatenate([[0], ends[:-1]])
+            full = np.flatnonzero(ends > starts).tolist()
+            cut = [slice(int(starts[b]), int(ends[b])) for b in full]
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.array([-1, *full], pa.int32()),
+                    pa.array([number] * (len(full) + 1), pa.int64()),
+                    pa.array([np.array([len(x) for x in sets], "<u4").tobytes(), *(n[c].astype("<u4").tobytes() for c in cut)], pa.binary()),
+                    pa.array([np.array(names, "<i8").tobytes(), *[None] * len(full)], pa.binary()),
+                    pa.array([flat.astype("<u8").tobytes(), *(h[c].astype("<u8").tobytes() for c in cut)], pa.binary()),
+                ],
+                names=["block", "chunk", "counts", "digests", "hashes"],
+            )
+
         for batch in batches:
             for d, h in zip(batch.column("digest").to_pylist(), batch.column("hashes").to_pylist(), strict=True):
                 names.append(d)
                 sets.append(np.frombuffer(h, "<u8"))
                 size += len(sets[-1])
                 if size >= CHUNK_CHARS // 4:
-                    yield _scatter(names, sets, blocks, 8, next(chunk))
+                    yield rows()
                     names, sets, size = [], [], 0
         if names:
-            yield _scatter(names, sets, blocks, 8, next(chunk))
+            yield rows()
 
     return run
 
 
-def _rank(blocks: int):
-    """Back to the chunks with every entry's frequency; block numbers give the hashes back."""
-
-    @task("jaccard")
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, rows = [], []
-        for batch in batches:
-            number += batch.column("block").to_pylist()
-            rows += _unpack(batch, 8)
-        if not rows:
-            return
-        n, _ = _frequencies(rows)
-        at = np.cumsum([0, *(len(x[3]) for x in rows)])
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([x[0] for x in rows], pa.int64()),
-                pa.array([x[1].astype("<u4").tobytes() for x in rows], pa.binary()),
-                pa.array([x[2].tobytes() for x in rows], pa.binary()),
-                pa.array([(x[3] * np.uint64(blocks) + np.uint64(b)).astype("<u8").tobytes() for b, x in zip(number, rows, strict=True)], pa.binary()),
-                pa.array([n[i:j].astype("<u4").tobytes() for i, j in zip(at, at[1:], strict=False)], pa.binary()),
-            ],
-            names=["chunk", "counts", "digests", "hashes", "freq"],
-        )
-
-    return run
+@task("jaccard")
+def _rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Back to the chunks: in how many sets each hash of a block stands, in the order in which the chunk sent them."""
+    block, chunk, count, hashes = [], [], [], []
+    for batch in batches:
+        for b, c, n, h in zip(*(batch.column(k).to_pylist() for k in ("block", "chunk", "counts", "hashes")), strict=True):
+            block.append(b)
+            chunk.append(c)
+            count.append(np.frombuffer(n, "<u4"))
+            hashes.append(np.frombuffer(h, "<u8"))
+    if not chunk:
+        return
+    _, at = np.unique(np.concatenate(hashes), return_inverse=True)
+    total = np.bincount(at, np.concatenate(count).astype(np.float64)).astype(np.int64)[at]
+    parts = np.split(total, np.cumsum([len(x) for x in hashes])[:-1])
+    none = pa.array([None] * len(chunk), pa.binary())
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(block, pa.int32()), pa.array(chunk, pa.int64()), pa.array([x.astype("<u4").tobytes() for x in parts], pa.binary()), none, none],
+        names=["block", "chunk", "counts", "digests", "hashes"],
+    )
 
 
 def _stars(hashes: np.ndarray, digest: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -331,33 +432,41 @@ def _stars(hashes: np.ndarray, digest: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return pairs, h[first], d[first]
 
 
-@task("jaccard")
-def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _prefixes(blocks: int):
     """The prefix of each set, combined to one star a shingle: kind 0 edges, kind 1 what meets elsewhere."""
-    chunks: dict[int, list] = {}
-    for batch in batches:
-        cols = [batch.column(k).to_pylist() for k in ("chunk", "counts", "digests", "hashes", "freq")]
-        for c, n, d, h, f in zip(*cols, strict=True):
-            n, d = np.frombuffer(n, "<u4").astype(np.int64), np.frombuffer(d, "<i8")
-            chunks.setdefault(c, []).append((np.repeat(d, n), np.frombuffer(h, "<u8"), np.frombuffer(f, "<u4")))
-    found_h, found_d = [], []
-    for parts in chunks.values():
-        d, h, f = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.lexsort((h, f, d))
-        d, h, f = d[order], h[order], f[order]
-        first = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]]))
-        n = np.diff(np.append(first, len(d)))
-        place = np.arange(len(d)) - np.repeat(first, n)
-        use = (place < np.repeat(n - _needed(n) + 1, n)) & (f > 1)
-        found_h.append(h[use])
-        found_d.append(d[use])
-    if not found_h:
-        return
-    pairs, h, d = _stars(np.concatenate(found_h), np.concatenate(found_d))
-    kind = np.concatenate([np.zeros(len(pairs), np.int32), np.ones(len(h), np.int32)])
-    a = np.concatenate([pairs[:, 0], h.view(np.int64)])
-    b = np.concatenate([pairs[:, 1], d])
-    yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(a), pa.array(b)], names=["kind", "a", "b"])
+
+    @task("jaccard")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: dict[int, tuple] = {}
+        ranks: dict[int, list] = {}
+        for batch in batches:
+            cols = [batch.column(k).to_pylist() for k in ("block", "chunk", "counts", "digests", "hashes")]
+            for b, c, n, d, h in zip(*cols, strict=True):
+                if b < 0:
+                    own[c] = (np.frombuffer(n, "<u4").astype(np.int64), np.frombuffer(d, "<i8"), np.frombuffer(h, "<u8"))
+                else:
+                    ranks.setdefault(c, []).append((b, np.frombuffer(n, "<u4")))
+        found_h, found_d = [], []
+        for c, (n, names, h) in own.items():
+            known, at = np.unique(h, return_inverse=True)
+            order, _ = _by_block(known, blocks)
+            freq = np.empty(len(known), np.int64)
+            freq[order] = np.concatenate([x for _, x in sorted(ranks.pop(c), key=lambda r: r[0])])
+            f, row = freq[at], np.repeat(np.arange(len(n)), n)
+            order = np.lexsort((h, f, row))
+            place = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
+            use = order[(place < np.repeat(n - _needed(n) + 1, n)) & (f[order] > 1)]
+            found_h.append(h[use])
+            found_d.append(names[row[use]])
+        if not found_h:
+            return
+        pairs, h, d = _stars(np.concatenate(found_h), np.concatenate(found_d))
+        kind = np.concatenate([np.zeros(len(pairs), np.int32), np.ones(len(h), np.int32)])
+        a = np.concatenate([pairs[:, 0], h.view(np.int64)])
+        b = np.concatenate([pairs[:, 1], d])
+        yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(a), pa.array(b)], names=["kind", "a", "b"])
+
+    return run
 
 
 @task("jaccard")
@@ -371,10 +480,13 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
 
-def link_components(sets: list[np.ndarray]) -> np.ndarray:
-    """For each set the number of the first set of its component, by exact overlaps."""
+def link_components(sets: list[np.ndarray], known: np.ndarray | None = None) -> np.ndarray:
+    """For each set the number of a set of its component, by exact overlaps.
+
+    known: numbers that are equal for sets of a component that is known already.
+    """
     m = len(sets)
-    label = np.arange(m)
+    label = np.arange(m) if known is None else np.unique(known, return_inverse=True)[1]
     size = np.array([len(h) for h in sets], np.int64)
     flat = np.concatenate(sets)
     _, column = np.unique(flat, return_inverse=True)
@@ -409,65 +521,119 @@ def link_components(sets: list[np.ndarray]) -> np.ndarray:
 
 @task("jaccard")
 def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Spanning edges of each pair of row blocks; rows come sorted by unit."""
+    """Spanning edges of each unit's rows; rows come sorted by unit."""
 
-    def edges(names: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
-        if len(sets) < 2:
+    def edges(names: list[int], known: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
+        if len(sets) < 2 or len(set(known)) < 2:
             return []
-        label = link_components(sets)
-        return [(names[k], names[i]) for i, k in enumerate(label.tolist()) if i != k]
+        # Of each label the first row stands for it; rows that shared a label before need no edge.
+        first: dict[int, int] = {}
+        label = link_components(sets, np.array(known, np.int64)).tolist()
+        return [(names[first[k]], names[i]) for i, k in enumerate(label) if known[first.setdefault(k, i)] != known[i]]
 
-    unit, names, sets, out = None, [], [], []
+    unit, names, known, sets, out = None, [], [], [], []
     for batch in batches:
-        cols = [batch.column(k).to_pylist() for k in ("cluster", "pair", "digest", "hashes")]
-        for c, p, d, h in zip(*cols, strict=True):
+        cols = [batch.column(k).to_pylist() for k in ("cluster", "pair", "digest", "known", "hashes")]
+        for c, p, d, k, h in zip(*cols, strict=True):
             if (c, p) != unit:
-                out += edges(names, sets)
-                unit, names, sets = (c, p), [], []
+                out += edges(names, known, sets)
+                unit, names, known, sets = (c, p), [], [], []
             names.append(d)
+            known.append(k)
             sets.append(np.frombuffer(h, "<u8"))
-    out += edges(names, sets)
+    out += edges(names, known, sets)
     a, b = zip(*out) if out else ((), ())
     yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
+def _linked(units: DataFrame, n: int) -> DataFrame:
+    """Spanning edges (a, b) of units of work: cluster, pair, digest, known, hashes."""
+    # Units of a cluster are numbered in a row, so that neighbours go to different tasks.
+    dealt = units.withColumn("part", F.pmod(F.xxhash64("cluster") + F.col("pair"), F.lit(n)).cast("int"))
+    return (
+        dealt.repartitionById(n, F.col("part"))
+        .sortWithinPartitions("cluster", "pair", "digest")
+        .mapInArrow(_link, "a long, b long")
+    )
+
+
+def _blocks_of(rows, entries):
+    """Blocks of rows: some for the sake of parallel work, more where their bytes demand it."""
+    few = F.least(F.ceil(rows / BLOCK_ROWS), F.lit(MAX_BLOCKS))
+    return F.greatest(few, F.ceil(entries * 8 / BLOCK_BYTES)).cast("int")
+
+
 def _verified_edges(sets: DataFrame, clusters: DataFrame, n: int) -> DataFrame:
-    """Links among the sets of each candidate cluster, as spanning edges of its block pairs."""
-    rows = sets.join(bounded(clusters), F.col("digest") == F.col("node")).select(
-        F.col("component").alias("cluster"), "digest", "n", "hashes"
+    """Links among the sets of each candidate cluster, as spanning edges."""
+    placed = materialize(
+        sets.select("digest", "n").join(bounded(clusters), F.col("digest") == F.col("node")).select(
+            "digest", "n", F.col("component").alias("cluster")
+        ),
+        "clustered",
     )
     sizes = materialize(
-        sets.select("digest", "n")
-        .join(bounded(clusters), F.col("digest") == F.col("node"))
-        .groupBy(F.col("component").alias("c"))
+        placed.groupBy("cluster")
         .agg(F.count("*").alias("rows"), F.sum("n").alias("entries"))
-        .select(
-            "c",
-            F.greatest(
-                F.least(F.ceil(F.col("rows") / BLOCK_ROWS), F.lit(MAX_BLOCKS)), F.ceil(F.col("entries") * 8 / BLOCK_BYTES)
-            )
-            .cast("int")
-            .alias("blocks"),
-        ),
+        .select("cluster", _blocks_of(F.col("rows"), F.col("entries")).alias("blocks")),
         "cluster-sizes",
     )
-    k, i, j = F.col("blocks"), F.col("i"), F.col("j")
-    low, high = F.least(i, j), F.greatest(i, j)
-    units = (
-        rows.join(bounded(sizes), F.col("cluster") == F.col("c"))
-        .withColumn("i", F.pmod(F.xxhash64("digest"), k).cast("int"))
-        .withColumn("j", F.explode(F.sequence(F.lit(0), k - 1)))
-        # Units of a cluster are numbered in a row, so that neighbours go to different tasks.
-        .withColumn("pair", (low * k - F.expr("(least(i, j) * (least(i, j) - 1)) div 2") + high - low).cast("int"))
-        .withColumn("part", F.pmod(F.xxhash64("cluster") + F.col("pair"), F.lit(n)).cast("int"))
-        .select("part", "cluster", "pair", "digest", "hashes")
+
+    def units_of(where: DataFrame) -> DataFrame:
+        """The sets of rows (digest, cluster, known, pair)."""
+        w = where.withColumnRenamed("digest", "d")
+        return sets.join(bounded(w), F.col("digest") == F.col("d")).select("cluster", "pair", "digest", "known", "hashes")
+
+    dealt = placed.join(bounded(sizes), "cluster").withColumn("known", F.col("digest"))
+    zero = F.lit(0).cast("long")
+    small = _linked(units_of(materialize(dealt.where("blocks = 1").select("digest", "cluster", "known", zero.alias("pair")), "units")), n)
+    if not sizes.where("blocks > 1").limit(1).count():
+        return small
+    large = dealt.where("blocks > 1")
+    deals = F.array(*(F.lit(i) * F.col("blocks") + F.pmod(F.xxhash64("digest", F.lit(i)), F.col("blocks")) for i in (0, 1)))
+    first = materialize(
+        _linked(units_of(materialize(large.select("digest", "cluster", "known", F.explode(deals.cast("array<bigint>")).alias("pair")), "units")), n),
+        "dealt-edges",
+    )
+    labels = connected_components(first)
+    labelled = materialize(
+        large.drop("known")
+        .join(bounded(labels), F.col("digest") == F.col("node"), "left")
+        .select("digest", "n", "cluster", F.coalesce("component", "digest").alias("known")),
+        "labelled",
+    )
+    parts = labelled.groupBy("cluster", "known").agg(F.count("*").alias("rows"))
+    # The largest component of each cluster that has several.
+    main = materialize(
+        parts.groupBy("cluster")
+        .agg(F.count("*").alias("labels"), F.max_by("known", F.struct("rows", "known")).alias("main"))
+        .where("labels > 1")
+        .select("cluster", "main"),
+        "main-components",
     )
-    return units.repartitionById(n, F.col("part")).sortWithinPartitions("cluster", "pair", "digest").mapInArrow(
-        _link, "a long, b long"
+    if not main.limit(1).count():
+        return small.unionByName(first)
+    left = labelled.join(bounded(main), "cluster").withColumn("rest", (F.col("known") != F.col("main")).cast("int"))
+    counted = materialize(
+        left.groupBy("cluster")
+        .agg(*(f(F.when(F.col("rest") == r, x)).alias(f"{name}{r}") for r in (0, 1) for name, f, x in (("rows", F.count, F.lit(1)), ("entries", F.sum, F.col("n")))))
+        .select("cluster", *(_blocks_of(F.col(f"rows{r}"), F.coalesce(f"entries{r}", F.lit(0))).alias(f"k{r}") for r in (0, 1))),
+        "pair-sizes",
     )
+    k0, k1, i, j = F.col("k0").cast("long"), F.col("k1").cast("long"), F.col("i"), F.col("j")
+    own = F.pmod(F.xxhash64("digest", F.lit(2)), F.when(F.col("rest") == 1, k1).otherwise(k0))
+    # Blocks 0 to k1 - 1 are the rest, the others the main component; units are pairs of
+    # which one at least is of the rest. A row of the main component meets every block of the rest.
+    paired = (
+        left.join(bounded(counted), "cluster")
+        .withColumn("i", F.when(F.col("rest") == 1, own).otherwise(k1 + own))
+        .withColumn("j", F.explode(F.when(F.col("rest") == 1, F.sequence(zero, k1 + k0 - 1)).otherwise(F.sequence(zero, k1 - 1))))
+        .withColumn("pair", F.least(i, j) * (k0 + k1) + F.greatest(i, j))
+        .select("digest", "cluster", "known", "pair")
+    )
+    return small.unionByName(first).unionByName(_linked(units_of(materialize(paired, "units")), n))
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", name_bits: int = 64) -> DataFrame:
     """Components of texts whose 5-word shingle sets have a Jaccard similarity of at least 0.8.
 
     Returns one row per input row: id, n_shingles, component_id (the smallest id
@@ -476,20 +642,28 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Null text counts as empty; texts without words have no shingles and link with
     nothing; a null id stays null and names no component (it takes the smallest
     other id, if there is one); repeated rows are one set; an empty table gives
-    an empty result. Other columns are ignored. Ids are longs. Sets and shingles
-    are told apart by 64-bit hashes.
+    an empty result. Other columns are ignored. Ids are longs. Shingles are told
+    apart by 64-bit hashes, sets by two of them: name_bits of the first, and the
+    second wherever sets share the first.
     """
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = df.select(F.col(id_col).cast("long").alias("id"), text.alias("text"))
-    docs = materialize(rows.mapInArrow(_name_sets, "id long, n long, digest long"), "sets")
+    naming = Naming(bits=name_bits)
+    docs = materialize(rows.mapInArrow(_name_sets(naming), "id long, n long, digest long, other long"), "sets")
+    # Different sets with one first digest: about (sets ** 2) / 2 ** 65 of them.
+    twins = docs.groupBy("digest").agg(F.min("other").alias("a"), F.max("other").alias("b")).where("a <> b").select("digest")
+    if clashes := [r["digest"] for r in twins.collect()]:
+        naming = Naming(frozenset(clashes), name_bits)
+        docs = docs.withColumn("digest", F.when(F.col("digest").isin(clashes), F.col("other")).otherwise(F.col("digest")))
+    blocks = max(n, -(-docs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] // BLOCK_ENTRIES))
     # Step 1: rows that can link.
     kept = materialize(
         rows.select("text")
-        .mapInArrow(_text_blocks(n), _BLOCK)
-        .repartitionById(n, F.col("block"))
-        .mapInArrow(_count_shared, "chunk long, counts binary, shared binary, digests binary")
+        .mapInArrow(_text_blocks(blocks, naming), _BLOCK)
+        .repartitionById(blocks, F.col("block"))
+        .mapInArrow(_count_shared, "chunk long, counts binary, digests binary")
         .repartition(n, "chunk")
         .mapInArrow(_keep_rows, "digest long")
         .distinct(),
@@ -498,24 +672,23 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     shared = spark.sparkContext.broadcast(_row_filter(kept))
     sets = materialize(
         rows.select("text")
-        .mapInArrow(_kept_sets(shared), "digest long, n long, hashes binary")
+        .mapInArrow(_kept_sets(shared, naming), "digest long, n long, hashes binary")
         .groupBy("digest")
         .agg(F.first("n").alias("n"), F.first("hashes").alias("hashes")),
         "kept-sets",
     )
     # Step 2: candidate clusters.
+    blocks = max(n, -(-sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] // BLOCK_ENTRIES))
+    entries = sets.mapInArrow(_set_blocks(blocks), _ENTRIES)
+    ranked = entries.where("block >= 0").repartitionById(blocks, F.col("block")).mapInArrow(_rank, _ENTRIES)
     stars = materialize(
-        sets.mapInArrow(_set_blocks(n), _BLOCK)
-        .repartitionById(n, F.col("block"))
-        .mapInArrow(_rank(n), "chunk long, counts binary, digests binary, hashes binary, freq binary")
-        .repartition(n, "chunk")
-        .mapInArrow(_prefixes, "kind int, a long, b long"),
-        "stars",
+        entries.where("block < 0").unionByName(ranked).repartition(n, "chunk").mapInArrow(_prefixes(blocks), "kind int, a long, b long"), "stars"
     )
+    meet = max(n, -(-stars.where("kind = 1").count() // BLOCK_ENTRIES))
     met = (
         stars.where("kind = 1")
-        .select("a", "b", F.pmod("a", F.lit(n)).cast("int").alias("part"))
-        .repartitionById(n, F.col("part"))
+        .select("a", "b", F.pmod("a", F.lit(meet)).cast("int").alias("part"))
+        .repartitionById(meet, F.col("part"))
         .mapInArrow(_meet, "a long, b long")
     )
     clusters = connected_components(stars.where("kind = 0").select("a", "b").unionByName(met))

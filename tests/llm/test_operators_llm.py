@@ -377,6 +377,59 @@ def test_jaccard_components(spark, odd, empty, monkeypatch, seed):
     assert got == brute_components(rows)
     if not seed:
         assert jaccard.near_duplicates(empty).count() == 0
+        # Sets that share the first digest take their names from the second one.
+        assert sorted(map(tuple, jaccard.near_duplicates(df, name_bits=3).collect()), key=repr) == got
+
+
+def thue_morse(k, a="a", b="b"):
+    for _ in range(k):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_texts_with_equal_polynomial_hashes_stay_apart(spark):
+    """Thue-Morse words and their mirrors agree under any polynomial hash modulo a power of two."""
+    from corpusloom.llm import hashing, jaccard, tokens
+
+    for k in (10, 12):
+        pair = thue_morse(k)
+        data, bounds = hashing.join_texts(list(pair))
+        h = hashing.span_hashes(data, bounds[:-1], bounds[1:] - 1)
+        assert h[0] != h[1]
+        for name, keep in (("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)):
+            enc = tokens.Encoder(tokens.vocabulary_path(name), keep)
+            flat, n = enc.encode(list(pair))
+            want = [x.ids for x in enc.tokenizer.encode_batch(list(pair), add_special_tokens=False)]
+            assert np.split(flat, [n[0]])[0].tolist() == want[0] and flat[n[0] :].tolist() == want[1]
+    rows = [(1, pair[0]), (2, pair[1]), (3, f"{pair[0]} and more"), (4, f"{pair[1]} and more"), (5, pair[0])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, jaccard.near_duplicates(df).collect())) == brute_components(rows)
+
+
+def test_pieces_are_compared_with_what_the_look_up_found(monkeypatch):
+    """With a hash that nearly always collides the ids are still those of the library."""
+    from corpusloom.llm import tokens
+
+    monkeypatch.setattr(tokens, "lane_hashes", lambda lanes, n, size: (size % 3 + 1).astype(np.uint64))
+    texts = ["one two three four", "six seven", "eight  nine", "", "a considerably-longer-piece here", "a considerably-longer-pieze here"]
+    for name, keep in (("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)):
+        enc = tokens.Encoder(tokens.vocabulary_path(name), keep)
+        for _ in range(2):
+            flat, n = enc.encode(texts)
+            want = [x.ids for x in enc.tokenizer.encode_batch(texts, add_special_tokens=False)]
+            assert [x.tolist() for x in np.split(flat, np.cumsum(n)[:-1])] == want
+
+
+@pytest.mark.parametrize("rows", [4, 64])
+def test_jaccard_of_a_chain_that_no_block_holds(spark, monkeypatch, rows):
+    """Each text links with its neighbours only, so pairs of blocks must be multiplied."""
+    from corpusloom.llm import jaccard
+
+    monkeypatch.setattr(jaccard, "BLOCK_ROWS", rows)
+    words = [f"w{i}" for i in range(200)]
+    docs = [(i, " ".join(words[2 * i : 2 * i + 40])) for i in range(60)] + [(100 + i, " ".join(words[:40]) + f" x{i}") for i in range(30)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert sorted(map(tuple, jaccard.near_duplicates(df).collect()), key=repr) == brute_components(docs)
 
 
 def test_components_of_chains(spark):
