@@ -2,14 +2,22 @@
 
 Texts are encoded once into a scratch table. Document frequencies of all token
 ids are counted over the whole corpus (at most one row per id of the vocabulary).
-Each document has several bands of weighted min-hashes; a band's value that two
-documents share is a bucket, and buckets are counted over the whole corpus. A
-document goes to the largest of its buckets that hash pairs make, failing those
-to the largest that single hashes make. Documents are ordered by bucket, wherever
-in the corpus they stand, and cut into shards of a fixed number of documents.
-Each shard has a BM25 inverted index. A seed document opens a window;
-the index returns its unused neighbours by score, and they fill the window
-greedily. The one that does not fit is cut, and its rest is the next seed.
+
+Seeds of the first kind are the documents whose id is divisible by QUERY_EVERY:
+each is searched for in all shards of the BM25 index (see bm25), whatever their
+number. A document that several seeds found goes to the one that scored it best,
+unless it has copies of its own, and is put behind that seed.
+
+All other documents are brought together by bands of weighted min-hashes; a
+band's value that two documents share is a bucket, and buckets are counted over
+the whole corpus. A document goes to the largest of its buckets that hash pairs
+make, failing those to the largest that single hashes make. Documents are
+ordered by bucket and cut into shards, each with its own BM25 index.
+
+A seed opens a window with all it has left, and the unused neighbours that the
+index returns fill it, best first, among them the documents that were put behind
+it, which no other seed gets before. The one that does not fit is cut, and its
+rest is the next seed.
 """
 
 from __future__ import annotations
@@ -23,19 +31,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm import tokens
+from corpusloom.llm import bm25, tokens
+from corpusloom.llm.bm25 import Corpus, ShardIndex, arrays, pair_keys, ranges
 from corpusloom.llm.storage import bounded, materialize
 from corpusloom.llm.worker import task
 
 WINDOW = 1024
-#: Documents of an index shard: bounds a task's memory, whatever the corpus.
-SHARD_DOCS = 1024
-#: BM25.
-K1, B = 1.2, 0.75
-#: The seed's ids of largest weight that are looked up.
-QUERY_TERMS = 16
-#: Neighbours that a look-up returns; when they are used up the next one follows.
+#: Documents and ids of a shard that is packed: they bound a task's memory, whatever the corpus.
+SHARD_DOCS, SHARD_IDS = 1024, 4_000_000
+#: Neighbours that a shard's index returns at a time; when they are used up the next ones follow.
 NEIGHBOURS = 8
+#: Share of a document's weight that a seed must have to take it out of a bucket.
+CLAIM = 0.5
 #: Min-hashes of a document; each two of them make a band, and so does the first of the two.
 HASHES = 6
 
@@ -112,23 +119,14 @@ def _tokenize(path: str, keep_space: bool, end_id: int):
     return run
 
 
-def _arrays(batch: pa.RecordBatch, ids: str, width: str) -> tuple[np.ndarray, np.ndarray]:
-    """All ids of a batch in a row, and how many each document has."""
-    parts = [
-        np.frombuffer(x.as_buffer(), "<u2" if w == 2 else "<u4")
-        for x, w in zip(batch.column(ids), batch.column(width).to_pylist(), strict=True)
-    ]
-    return (np.concatenate(parts).astype(np.uint32) if parts else np.zeros(0, np.uint32)), np.array(list(map(len, parts)), np.int64)
-
-
 @task("packing")
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents that hold each id, once a partition."""
     seen = np.zeros(0, np.int64)
     for batch in batches:
         for at in range(0, batch.num_rows, 512):
-            flat, n = _arrays(batch.slice(at, 512), "ids", "width")
-            key, bits = _pair_keys(flat, n)
+            flat, n = arrays(batch.slice(at, 512), "ids", "width")
+            key, bits = pair_keys(flat, n)
             term = np.unique(key) & key.dtype.type((1 << bits) - 1)
             count = np.bincount(term)
             if len(count) > len(seen):
@@ -138,97 +136,77 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(term), pa.array(seen[term])], names=["term", "n"])
 
 
-def _pair_keys(flat: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, int]:
-    """(document, id) pairs as sortable keys and the bits of the id; 32-bit keys where they suffice."""
-    if len(n) < 1 << 16 and (not len(flat) or flat.max() < 1 << 16):
-        return np.repeat(np.arange(len(n), dtype=np.uint32) << np.uint32(16), n) | flat, 16
-    return np.repeat(np.arange(len(n), dtype=np.uint64) << np.uint64(32), n) | flat, 32
-
-
-def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """starts[0], starts[0] + 1, ... for each range, in a row."""
-    total = np.cumsum(sizes)
-    return np.repeat(starts - (total - sizes), sizes) + np.arange(int(total[-1]) if len(total) else 0)
-
-
-class ShardIndex:
-    """BM25 inverted index of a shard's documents."""
-
-    def __init__(self, flat: np.ndarray, n: np.ndarray, idf: np.ndarray, mean_length: float):
-        key, bits = _pair_keys(flat, n)
-        key, tf = np.unique(key, return_counts=True)
-        self.doc = (key >> key.dtype.type(bits)).astype(np.int64)
-        self.term = (key & key.dtype.type((1 << bits) - 1)).astype(np.int64)
-        norm = K1 * (1 - B + B * n[self.doc] / max(mean_length, 1e-9))
-        self.weight = (idf[self.term] * tf * (K1 + 1) / (tf + norm)).astype(np.float32)
-        self.first = np.searchsorted(self.doc, np.arange(len(n) + 1))
-        order = np.argsort(self.term.astype(np.uint16) if bits == 16 else self.term, kind="stable")
-        self.by_term_doc, self.by_term_weight = self.doc[order], self.weight[order]
-        terms, start = np.unique(self.term[order], return_index=True)
-        size = np.diff(np.append(start, len(order)))
-        # Posting list of each of a document's ids, next to the document.
-        at = np.searchsorted(terms, self.term)
-        self.start, self.size = start[at], size[at]
-        self.docs = len(n)
-
-    def neighbours(self, seed: int, free: np.ndarray, k: int = NEIGHBOURS) -> np.ndarray:
-        """Free documents by score against the seed, best first, ties by place; those that share nothing are left out."""
-        a, b = self.first[seed], self.first[seed + 1]
-        top = a + np.argsort(-self.weight[a:b], kind="stable")[:QUERY_TERMS]
-        at = _ranges(self.start[top], self.size[top])
-        score = np.bincount(self.by_term_doc[at], self.by_term_weight[at], self.docs)
-        score[~free] = 0
-        best = np.argpartition(-score, min(k, self.docs - 1))[:k] if self.docs > k else np.arange(self.docs)
-        best = best[np.lexsort((best, -score[best]))]
-        return best[score[best] > 0]
-
-
-def pack_shard(flat: np.ndarray, n: np.ndarray, idf: np.ndarray, mean_length: float, window: int):
+def neighbours(score: np.ndarray, free: np.ndarray, k: int = NEIGHBOURS) -> np.ndarray:
+    """Free documents by score, best first, ties by place; those that share nothing are left out."""
+    score = np.where(free, score, 0)
+    best = np.argpartition(-score, k)[:k] if len(score) > k else np.arange(len(score))
+    best = best[np.lexsort((best, -score[best]))]
+    return best[score[best] > 0]
+
+
+def pack_shard(flat: np.ndarray, n: np.ndarray, corpus: Corpus, window: int, leader: np.ndarray | None = None):
     """Pieces (doc, start, length, window number, offset) that hold every id of the shard once.
 
-    Whole windows of a document stand alone; what is left of each document is
-    dealt into shared windows, all of which are full but the last.
+    leader: for each document the one that it was put behind, or itself. Whole
+    windows of a document stand alone; what is left of each document is dealt
+    into shared windows, all of which are full but the last.
     """
     full = n // window
     doc = np.repeat(np.arange(len(n)), full)
-    pieces = [(int(d), int(s) * window, window, w, 0) for w, (d, s) in enumerate(zip(doc, _ranges(np.zeros(len(n), np.int64), full), strict=True))]
+    pieces = [(int(d), int(s) * window, window, w, 0) for w, (d, s) in enumerate(zip(doc, ranges(np.zeros(len(n), np.int64), full), strict=True))]
     number = len(pieces)
     at, left = (full * window).tolist(), (n - full * window).tolist()
     free = np.array([x > 0 for x in left], bool)
-    todo = int(free.sum())
-    if not todo:
+    if not free.any():
         return pieces
-    index = ShardIndex(flat, n, idf, mean_length)
-    seed = int(np.argmax(free))
+    scores = ShardIndex(flat, n, corpus).all_scores(corpus)
+    behind: dict[int, list[int]] = {}
+    # Those behind a seed are kept for it until it is used.
+    open_to_all = np.ones(len(n), bool)
+    if leader is not None:
+        for d in np.flatnonzero((leader != np.arange(len(n))) & free & free[leader]).tolist():
+            behind.setdefault(int(leader[d]), []).append(d)
+            open_to_all[d] = False
+
+    def used(d: int) -> None:
+        free[d] = False
+        open_to_all[behind.pop(d, [])] = True
+
+    first = 0
+    seed: int | None = None
     while True:
+        if seed is None:
+            while first < len(n) and not free[first]:
+                first += 1
+            if first == len(n):
+                return pieces
+            seed = first
         # The seed opens a window with all it has left.
-        free[seed] = False
+        used(seed)
         pieces.append((seed, at[seed], left[seed], number, 0))
-        used, last = left[seed], None
+        size, last = left[seed], None
         queue: list[int] = []
-        nothing = False
-        while used < window and free.any():
+        while size < window:
             if not queue:
-                queue = [] if nothing else index.neighbours(seed, free).tolist()
-                if not queue:  # nobody shares an id with the seed: the next one in order
-                    nothing = True
-                    queue = [int(np.argmax(free))]
+                queue = neighbours(scores[seed], free & open_to_all).tolist()
+                if not queue:  # nobody that is left shares an id with the seed: the next one in order
+                    rest = np.flatnonzero(free)
+                    if not len(rest):
+                        break
+                    queue = [int(rest[0])]
             d = queue.pop(0)
-            take = min(left[d], window - used)
-            pieces.append((d, at[d], take, number, used))
-            used += take
+            if not free[d]:
+                continue
+            take = min(left[d], window - size)
+            pieces.append((d, at[d], take, number, size))
+            size += take
             at[d] += take
             left[d] -= take
-            free[d] = False
+            used(d)
             if left[d]:
                 last = d
         number += 1
-        if last is not None:
-            seed = last
-        elif free.any():
-            seed = int(np.argmax(free))
-        else:
-            return pieces
+        seed = last
 
 
 def buckets(coded: DataFrame) -> DataFrame:
@@ -246,51 +224,81 @@ def buckets(coded: DataFrame) -> DataFrame:
     return each.join(bounded(shared), "key").groupBy("row").agg(F.max(pair + size + value).alias("bucket"))
 
 
-def _packer(idf: np.ndarray, mean_length: float, window: int, shard_docs: int, with_ids: bool):
+def claims(found: DataFrame, coded: DataFrame, placed: DataFrame, every: int) -> DataFrame:
+    """(row, bucket, sig, lead, leader, place): where a document that a seed found is put.
+
+    It goes to the seed of the best score (ties: the smaller row). Seeds stay where
+    they are, and so do documents whose bucket is made by hash pairs (they have
+    copies) and others that have a bucket and less than CLAIM of their weight in
+    common with the seed.
+    """
+    best = found.groupBy("row").agg(F.max(F.struct("score", -F.col("query"), -F.col("place"), "share")).alias("b")).select(
+        "row", (-F.col("b.col2")).alias("leader"), (-F.col("b.col3")).alias("place"), F.col("b.share").alias("share")
+    )
+    own = coded.select("row", "id", F.col("bands")[0].alias("sig")).where(F.col("id") % every == 0)
+    at = placed.withColumnRenamed("row", "r")
+    seeds = own.join(at, F.col("row") == F.col("r"), "left").select(
+        F.col("row").alias("leader"), F.coalesce("bucket", F.lit(0)).alias("bucket"), "sig", F.col("id").alias("lead")
+    )
+    here = placed.select("row", F.col("bucket").alias("mates"))
+    moved = (
+        best.join(own.select("row"), "row", "left_anti")
+        .join(here, "row", "left")
+        .where(F.col("mates").isNull() | ((F.col("mates") < 1 << 62) & (F.col("share") >= CLAIM)))
+    )
+    return moved.join(seeds, "leader").select("row", "bucket", "sig", "lead", "leader", "place")
+
+
+def _families(batches: Iterator[pa.RecordBatch], docs: int, ids: int) -> Iterator[list[pa.RecordBatch]]:
+    """Runs of rows that make a shard.
+
+    A shard takes up to an eighth more than its documents to end with a bucket;
+    a document is never parted from the seed before it.
+    """
+    held: list[pa.RecordBatch] = []
+    rows = size = 0
+    last = (None, None)
+    for batch in batches:
+        first = 0
+        for i, (n, *place) in enumerate(zip(*(batch.column(k).to_pylist() for k in ("n", "leader", "bucket")), strict=True)):
+            due = rows >= docs and place[1] != last[1] or rows >= docs + docs // 8 or size + n > ids
+            if rows and due and place[0] != last[0]:
+                held.append(batch.slice(first, i - first))
+                yield held
+                held, rows, size, first = [], 0, 0, i
+            rows, size, last = rows + 1, size + n, place
+        held.append(batch.slice(first))
+    if rows:
+        yield held
+
+
+def _packer(corpus: Corpus, window: int, shard_docs: int, shard_ids: int, with_ids: bool):
     @task("packing")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 40
-        held: list[pa.RecordBatch] = []
-        rows = 0
-
-        def shard() -> pa.RecordBatch:
-            nonlocal first
-            table = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            flat, n = _arrays(table, "ids", "width")
-            pieces = np.array(pack_shard(flat, n, idf, mean_length, window), np.int64)
+        for held in _families(batches, shard_docs, shard_ids):
+            parts = [arrays(b, "ids", "width") for b in held]
+            flat, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+            table = pa.Table.from_batches([b.select(["id", "row", "leader"]) for b in held])
+            row, leader = (table.column(k).to_numpy() for k in ("row", "leader"))
+            order = np.argsort(row)
+            at = order[np.minimum(np.searchsorted(row, leader, sorter=order), len(row) - 1)]
+            at = np.where(row[at] == leader, at, np.arange(len(row)))
+            pieces = np.array(pack_shard(flat, n, corpus, window, at), np.int64)
             doc, start, length, number, offset = pieces.T
             begin = (np.cumsum(n) - n)[doc] + start
             data = memoryview(np.ascontiguousarray(flat, "<u4")).cast("B")
             crc = [zlib.crc32(data[4 * b : 4 * (b + k)]) for b, k in zip(begin.tolist(), length.tolist(), strict=True)]
-            out = [
-                table.column("id").take(pa.array(doc)),
-                pa.array(start),
-                pa.array(length),
-                pa.array(crc, pa.int64()),
-                pa.array(n[doc]),
-                pa.array(first + number),
-                pa.array(offset),
-            ]
             names = ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+            id_of = table.column("id").take(pa.array(doc)).combine_chunks()
+            out = [id_of, *(pa.array(x, pa.int64()) for x in (start, length, crc, n[doc], first + number, offset))]
             if with_ids:
                 bounds = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
                 ids = np.concatenate([flat[b : b + k] for b, k in zip(begin.tolist(), length.tolist(), strict=True)])
                 out.append(pa.ListArray.from_arrays(pa.array(bounds), pa.array(ids.view(np.int32))))
                 names.append("ids")
             first += int(number.max()) + 1
-            return pa.RecordBatch.from_arrays(out, names=names)
-
-        for batch in batches:
-            while batch.num_rows:
-                part = batch.slice(0, shard_docs - rows)
-                held.append(part)
-                rows += part.num_rows
-                batch = batch.slice(part.num_rows)
-                if rows == shard_docs:
-                    yield shard()
-                    held, rows = [], 0
-        if rows:
-            yield shard()
+            yield pa.RecordBatch.from_arrays(out, names=names)
 
     return run
 
@@ -305,6 +313,7 @@ def pack(
     window: int = WINDOW,
     shard_docs: int = SHARD_DOCS,
     with_ids: bool = True,
+    every: int = bm25.QUERY_EVERY,
 ) -> DataFrame:
     """Pack whole texts into sequences of at most `window` token ids.
 
@@ -316,7 +325,9 @@ def pack(
     Null text counts as empty (a document of end_id only); null ids stay null;
     repeated rows are packed each; documents that tie in score are taken in
     bucket order; an empty table gives an empty result; a document longer
-    than the window is cut. Other columns are ignored.
+    than the window is cut. Other columns are ignored. The ids of one text may
+    take 2 GiB. every: documents whose id it divides are searched for in all
+    shards, which costs their number times the documents.
     """
     spark = df.sparkSession
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -338,18 +349,36 @@ def pack(
     )
     df_of = np.zeros(int(counted["term"].max()) + 1 if len(counted) else 1, np.float64)
     df_of[counted["term"].to_numpy(np.int64)] = counted["n"].to_numpy(np.float64)
-    idf = np.log1p((docs - df_of + 0.5) / (df_of + 0.5)).astype(np.float32)
-    mean = total / docs if docs else 0.0
+    corpus = Corpus.of(df_of, docs, total, end_id)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     schema = "id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     placed = materialize(buckets(coded), "packing-buckets")
+    moved = claims(bm25.search(coded, corpus, every), coded, placed, every)
+    both = materialize(
+        placed.withColumnRenamed("bucket", "own").join(moved, "row", "full").select(
+            "row", F.coalesce("bucket", "own").alias("bucket"), F.col("sig").alias("at_sig"), "lead", "leader", "place"
+        ),
+        "packing-places",
+    )
+    order = ["bucket", "sig", "lead", "leader", "place", "id", "n"]
     packed = (
-        coded.join(bounded(placed), "row", "left")
-        .select("id", "n", "width", "ids", F.coalesce("bucket", F.lit(0)).alias("bucket"), F.col("bands")[0].alias("sig"))
-        .repartitionByRange(n, "bucket", "sig", "id", "n")
-        .sortWithinPartitions("bucket", "sig", "id", "n")
+        coded.join(bounded(both), "row", "left")
+        .select(
+            "id",
+            "row",
+            "n",
+            "width",
+            "ids",
+            F.coalesce("bucket", F.lit(0)).alias("bucket"),
+            F.coalesce("at_sig", F.col("bands")[0]).alias("sig"),
+            F.when(F.col("leader").isNull(), F.col("id")).otherwise(F.col("lead")).alias("lead"),
+            F.coalesce("leader", "row").alias("leader"),
+            F.coalesce("place", F.lit(0)).alias("place"),
+        )
+        .repartitionByRange(n, *order)
+        .sortWithinPartitions(*order)
         .mapInArrow(
-            _packer(idf, mean, window, shard_docs, with_ids), schema + (", ids array<int>" if with_ids else "")
+            _packer(corpus, window, shard_docs, SHARD_IDS, with_ids), schema + (", ids array<int>" if with_ids else "")
         )
     )
     return packed.withColumnRenamed("id", id_col)

@@ -310,23 +310,65 @@ def test_copies_with_distant_ids_share_a_sequence(spark):
     assert sum(together[:150]) >= 140 and sum(together[150:]) >= 75
 
 
-def test_neighbours_follow_bm25():
-    from corpusloom.llm.packing import B, K1, QUERY_TERMS, ShardIndex
+def brute_bm25(flat, n, queries):
+    """Scores of queries against all documents, an id at a time."""
+    from corpusloom.llm.bm25 import K1, B
+
+    docs = [collections.Counter(x.tolist()) for x in np.split(flat, np.cumsum(n)[:-1])]
+    df = collections.Counter(t for d in docs for t in d)
+    mean = float(np.sum(n)) / len(n)
+    out = np.zeros((len(queries), len(docs)))
+    for j, d in enumerate(docs):
+        for i, q in enumerate(queries):
+            for t in docs[q]:
+                if t in d and t != 0:
+                    idf = np.log1p((len(docs) - df[t] + 0.5) / (df[t] + 0.5))
+                    out[i, j] += idf * d[t] * (K1 + 1) / (d[t] + K1 * (1 - B + B * n[j] / mean))
+    return out
+
+
+def test_shard_scores_are_bm25():
+    from corpusloom.llm.bm25 import Corpus, ShardIndex
+    from corpusloom.llm.packing import neighbours
 
     rng = np.random.default_rng(7)
-    n = rng.integers(5, 60, 40)
-    flat = rng.zipf(1.5, int(n.sum())) % 300
-    idf = rng.random(300).astype(np.float32) + 0.1
-    index = ShardIndex(flat.astype(np.uint32), n, idf, float(n.mean()))
-    docs = np.split(flat, np.cumsum(n)[:-1])
-    weight = lambda d, t: idf[t] * (tf := int((d == t).sum())) * (K1 + 1) / (tf + K1 * (1 - B + B * len(d) / n.mean()))
-    free = np.ones(40, bool)
+    n = rng.integers(5, 60, 90)
+    flat = (rng.zipf(1.4, int(n.sum())) % 300 + 1).astype(np.uint32)
+    df = np.bincount(np.concatenate([np.unique(x) for x in np.split(flat, np.cumsum(n)[:-1])]))
+    corpus = Corpus.of(df.astype(float), len(n), int(n.sum()), 0)
+    assert 0 < corpus.columns < len(df)  # both layouts are in use
+    scores = ShardIndex(flat, n, corpus).all_scores(corpus)
+    assert np.allclose(scores, brute_bm25(flat, n, range(90)), rtol=1e-4)
+    free = np.ones(90, bool)
     free[[3, 5]] = False
     for seed in (0, 3, 17):
-        terms = sorted(set(docs[seed].tolist()), key=lambda t: -weight(docs[seed], t))[:QUERY_TERMS]
-        score = np.array([sum(weight(d, t) for t in terms) if free[i] else 0 for i, d in enumerate(docs)])
-        got = index.neighbours(seed, free)
-        assert np.allclose(np.sort(score)[::-1][: len(got)], score[got], rtol=1e-4)
+        want = np.sort(np.where(free, scores[seed], 0))[::-1]
+        got = neighbours(scores[seed], free)
+        assert np.allclose(scores[seed][got], want[:8]) and free[got].all()
+
+
+@pytest.mark.parametrize("block", [16 << 20, 3000])
+def test_search_finds_the_best_of_the_whole_corpus(spark, sf, monkeypatch, block):
+    """Recall at 8 against brute force, for the documents whose id is divisible by 20."""
+    from corpusloom.llm import bm25, packing
+    from corpusloom.llm.storage import materialize
+
+    monkeypatch.setattr(bm25, "BLOCK_BYTES", block)
+    rows = spark.read.parquet(f"{sf}/documents.parquet").repartition(5).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.monotonically_increasing_id().alias("row"))
+    coded = materialize(rows.mapInArrow(packing._tokenize(tokens.vocabulary_path("byte_bpe_50k.json"), True, 0), "id long, row long, n long, width int, bands array<long>, ids binary"), "t")
+    held = coded.orderBy("row").toArrow().combine_chunks()
+    flat, n = bm25.arrays(held.to_batches()[0], "ids", "width")
+    row, ids = held.column("row").to_numpy(), held.column("id").to_numpy()
+    df = np.bincount(np.concatenate([np.unique(x) for x in np.split(flat, np.cumsum(n)[:-1])]))
+    found = collections.defaultdict(set)
+    for r in bm25.search(coded, bm25.Corpus.of(df.astype(float), len(n), int(n.sum()), 0)).collect():
+        found[r["query"]].add(r["row"])
+    queries = np.flatnonzero(ids % 20 == 0)
+    scores = brute_bm25(flat, n, queries)
+    scores[np.arange(len(queries)), queries] = 0
+    best = [set(row[np.argsort(-s, kind="stable")[:8]].tolist()) for s in scores]
+    recall = np.mean([len(found[int(row[q])] & b) / 8 for q, b in zip(queries, best, strict=True)])
+    assert len(queries) >= 10 and recall >= 0.99  # ties and rounding may exchange a few
 
 
 # --- Jaccard ------------------------------------------------------------------
