@@ -21,7 +21,7 @@ from corpusloom.llm.worker import task
 
 K1, B = 1.2, 0.75
 #: Postings of ids that stand in one of so many documents are matrix columns.
-COMMON = 32
+COMMON = 64
 #: Every row whose id is divisible by it is a query of the search over all shards.
 QUERY_EVERY = 20
 #: Neighbours of a query.
@@ -31,7 +31,7 @@ SHARD_DOCS, SHARD_IDS = 4096, 4_000_000
 #: Bytes of the query ids that go to the tasks at once; queries that are multiplied at once.
 BLOCK_BYTES, QUERY_ROWS = 16 << 20, 512
 #: The share of documents that tells each query which scores can be among the best.
-FLOOR_SHARE = 16
+FLOOR_SHARE = 8
 
 
 @dataclass(frozen=True)
@@ -111,20 +111,24 @@ class ShardIndex:
         self.rare_doc, self.rare_term, self.rare_weight = self.doc[~common], self.term[~common], weight[~common]
 
     def rare(self, queries: Queries) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(query, document, weight) of every meeting in the lists, in order of the query."""
+        """(query, document, weight) of every meeting in the lists, in order of the blocks of queries."""
         a = np.searchsorted(queries.rare_term, self.rare_term, "left")
         n = np.searchsorted(queries.rare_term, self.rare_term, "right") - a
         q = queries.rare_doc[ranges(a, n)]
-        order = np.argsort(q, kind="stable")
+        # Short keys are sorted by radix.
+        block = q // QUERY_ROWS
+        order = np.argsort(block.astype(np.uint16) if queries.m < QUERY_ROWS << 16 else block, kind="stable")
         return q[order], np.repeat(self.rare_doc, n)[order], np.repeat(self.rare_weight, n)[order]
 
     def scores(self, queries: Queries) -> Iterator[tuple[int, np.ndarray]]:
         """(first query, scores of a block of queries by document)."""
         q, d, w = self.rare(queries)
+        ends = np.cumsum(np.bincount(q // QUERY_ROWS, minlength=-(-queries.m // QUERY_ROWS)))
         for a in range(0, queries.m, QUERY_ROWS):
             b = min(a + QUERY_ROWS, queries.m)
             out = queries.rows(a, b) @ self.matrix.T
-            i, j = np.searchsorted(q, (a, b))
+            j = int(ends[a // QUERY_ROWS])
+            i = int(ends[a // QUERY_ROWS - 1]) if a else 0
             np.add.at(out.reshape(-1), (q[i:j] - a) * self.docs + d[i:j], w[i:j])
             yield a, out
 
@@ -243,7 +247,9 @@ def search(coded: DataFrame, corpus: Corpus, every: int = QUERY_EVERY, k: int =
     )
     blocks = max(1, -(-queries.agg(F.coalesce(F.sum(F.octet_length("terms")), F.lit(0))).first()[0] // BLOCK_BYTES))
     docs = coded.select("row", "n", "width", "ids")
-    share = docs.where(F.pmod(F.xxhash64("row"), F.lit(FLOOR_SHARE)) == 0)
+    # Written apart, so that it has as few partitions as rows, and each returns k rows a query.
+    share = materialize(docs.where(F.pmod(F.xxhash64("row"), F.lit(FLOOR_SHARE)) == 0), "packing-share")
+    share = share.coalesce(max(1, -(-docs.rdd.getNumPartitions() // FLOOR_SHARE)))
     found = None
     for b in range(blocks):
         # One block of queries at a time reaches the driver, and from there the tasks.
