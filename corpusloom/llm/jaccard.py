@@ -131,7 +131,7 @@ def _each(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.R
 
 
 def _name_sets(naming: Naming):
-    """id, n and both digests of every text."""
+    """id, n, both digests and the key of every text."""
 
     @task("jaccard")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,8 +143,9 @@ def _name_sets(naming: Naming):
                     pa.array([len(h) for h in sets], pa.int64()),
                     pa.array([a if a is None else naming.first(a) for a, _ in names], pa.int64()),
                     pa.array([b for _, b in names], pa.int64()),
+                    batch.column(2)[i : i + len(sets)],
                 ],
-                names=["id", "n", "digest", "other"],
+                names=["id", "n", "digest", "other", "key"],
             )
 
     return run
@@ -633,11 +634,12 @@ def _verified_edges(sets: DataFrame, clusters: DataFrame, n: int) -> DataFrame:
     return small.unionByName(first).unionByName(_linked(units_of(materialize(paired, "units")), n))
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", name_bits: int = 64) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", name_bits: int = 64, keep_key: bool = False) -> DataFrame:
     """Components of texts whose 5-word shingle sets have a Jaccard similarity of at least 0.8.
 
     Returns one row per input row: id, n_shingles, component_id (the smallest id
-    of the row's component).
+    of the row's component); with keep_key also key, a hash of the text, and
+    component, a name of the component (null without words).
 
     Null text counts as empty; texts without words have no shingles and link with
     nothing; a null id stays null and names no component (it takes the smallest
@@ -649,9 +651,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = df.select(F.col(id_col).cast("long").alias("id"), text.alias("text"))
+    rows = df.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("key"))
     naming = Naming(bits=name_bits)
-    docs = materialize(rows.mapInArrow(_name_sets(naming), "id long, n long, digest long, other long"), "sets")
+    docs = materialize(rows.mapInArrow(_name_sets(naming), "id long, n long, digest long, other long, key long"), "sets")
     # Different sets with one first digest: about (sets ** 2) / 2 ** 65 of them.
     twins = docs.groupBy("digest").agg(F.min("other").alias("a"), F.max("other").alias("b")).where("a <> b").select("digest")
     if clashes := [r["digest"] for r in twins.collect()]:
@@ -704,10 +706,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     named = materialize(named, "named")
     smallest = materialize(named.groupBy("component").agg(F.min("least").alias("component_id")), "smallest")
     names = materialize(
-        named.join(bounded(smallest), "component").select(F.col("digest").alias("d"), "component_id"), "component-names"
+        named.join(bounded(smallest), "component").select(F.col("digest").alias("d"), "component", "component_id"), "component-names"
     )
     return docs.join(bounded(names), F.col("digest") == F.col("d"), "left").select(
         F.col("id").alias(id_col),
         F.col("n").alias("n_shingles"),
         F.coalesce("component_id", "id").alias("component_id"),
+        *(["key", F.coalesce("component", "digest").alias("component")] if keep_key else []),
     )

@@ -14,10 +14,12 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.storage import BROADCAST_ROWS, materialize
 
-#: Dropped when on more than this share of the host's pages ...
+#: Dropped when on more than this share of the host's pages.
 MAX_RATIO = 0.10
-#: ... and on at least so many of them, lest a tiny site lose its texts.
-MIN_PAGES = 3
+#: A line of a single page repeats nothing, whatever its share of a tiny site.
+MIN_PAGES = 2
+#: White space at the ends of a line that does not count.
+OUTER = " \t\r"
 #: Salts of the join that stands in for the broadcast of a large line list.
 SALTS = 32
 
@@ -28,9 +30,13 @@ def url_host(url: Column) -> Column:
     return F.nullif(F.regexp_replace(host, r"^www\.", ""), F.lit(""))
 
 
+def bare(line: Column) -> Column:
+    return F.btrim(line, F.lit(OUTER))
+
+
 def line_key(line: Column) -> Column:
-    """128-bit digest of a line without its outer white space."""
-    return F.unhex(F.md5(F.encode(F.trim(line), "UTF-8")))
+    """128-bit digest of a line without its outer spaces, tabs and carriage returns."""
+    return F.unhex(F.md5(F.encode(bare(line), "UTF-8")))
 
 
 def boilerplate_lines(
@@ -43,7 +49,7 @@ def boilerplate_lines(
     """
     keys = F.array_distinct(
         F.transform(
-            F.filter(F.split("text", "\n"), lambda x: F.trim(x) != ""), line_key
+            F.filter(F.split("text", "\n"), lambda x: bare(x) != ""), line_key
         )
     )
     # A null key marks the page itself: one aggregation counts pages and lines.
@@ -76,34 +82,38 @@ def drop_boilerplate(
 ) -> DataFrame:
     """df with the boilerplate lines of each host taken out of text_col.
 
-    A line is compared without its outer spaces; blank lines are neither counted
+    A line is compared without its outer spaces, tabs and carriage returns; blank lines are neither counted
     nor dropped, the others keep their text and order. A line counts once a page.
     Null text stays null and counts as a page without lines; rows of a null host
     form one site; repeated rows are pages of their own; a ratio that equals the
     threshold keeps the line; an empty table gives an empty result. All columns
-    of df stay (clashing names are no matter: own columns are made under fresh
-    names), dropped_col (long) is appended unless None.
+    of df stay, whatever their names, but one named dropped_col gives way to it;
+    dropped_col (long) is appended unless None.
     """
     spark = df.sparkSession
     host = F.col(host) if isinstance(host, str) else host
     text = F.col(text_col)
     pages = df.select(host.alias("host"), F.coalesce(text.cast("string"), F.lit("")).alias("text"))
     bad = materialize(boilerplate_lines(pages, max_ratio, min_pages), "boilerplate")
-    fresh = {c: f"__ld_{c}" for c in ("host", "keys", "salt", "lines", "kept")}
-    bad = bad.select(F.col("host").alias(fresh["host"] + "_b"), F.col("keys").alias(fresh["keys"]))
+    prefix = "__ld"
+    while any(c.lower().startswith(prefix) for c in df.columns):
+        prefix += "_"
+    fresh = {c: f"{prefix}{c}" for c in ("host", "host_b", "keys", "salt", "salt_b", "kept")}
+    bad = bad.select(F.col("host").alias(fresh["host_b"]), F.col("keys").alias(fresh["keys"]))
     rows = df.withColumn(fresh["host"], host)
-    same = F.col(fresh["host"]).eqNullSafe(F.col(fresh["host"] + "_b"))
+    same = F.col(fresh["host"]).eqNullSafe(F.col(fresh["host_b"]))
     lines_listed = bad.agg(F.coalesce(F.sum(F.size(fresh["keys"])), F.lit(0))).first()[0]
     if lines_listed <= BROADCAST_ROWS:
         joined = rows.join(F.broadcast(bad), same, "left")
     else:
         # Too many hosts to broadcast: a shuffle in which a hot host is dealt by salt.
-        rows = rows.withColumn(fresh["salt"], (F.rand(7) * SALTS).cast("int"))
-        bad = bad.withColumn("__ld_salt_b", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = rows.join(bad, same & (F.col(fresh["salt"]) == F.col("__ld_salt_b")), "left")
+        # The salt follows from the row, so that a recomputed partition deals it alike.
+        rows = rows.withColumn(fresh["salt"], F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in df.columns)), F.lit(SALTS)).cast("int"))
+        bad = bad.withColumn(fresh["salt_b"], F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = rows.join(bad, same & (F.col(fresh["salt"]) == F.col(fresh["salt_b"])), "left")
     keys = F.col(fresh["keys"])
     lines = F.split(text.cast("string"), "\n")
-    kept = F.filter(lines, lambda x: (F.trim(x) == "") | ~F.array_contains(keys, line_key(x)))
+    kept = F.filter(lines, lambda x: (bare(x) == "") | ~F.array_contains(keys, line_key(x)))
     out = joined.withColumn(fresh["kept"], F.when(keys.isNotNull() & text.isNotNull(), kept))
     changed = F.col(fresh["kept"])
     cut = F.coalesce(F.array_size(lines) - F.array_size(changed), F.lit(0)).cast("long")
@@ -112,5 +122,6 @@ def drop_boilerplate(
         if c == text_col
         else F.col(f"`{c}`")
         for c in df.columns
+        if c != dropped_col
     ]
     return out.select(*columns, *([cut.alias(dropped_col)] if dropped_col else []))

@@ -36,16 +36,16 @@ WITH l AS (
 ),
 pages AS (SELECT source, count(*) AS pages FROM documents GROUP BY source),
 freq AS (
-  SELECT source, trim(line) AS k, count(DISTINCT doc_id) AS n FROM l WHERE trim(line) <> '' GROUP BY ALL
+  SELECT source, trim(line, ' ' || chr(9) || chr(13)) AS k, count(DISTINCT doc_id) AS n FROM l WHERE trim(line, ' ' || chr(9) || chr(13)) <> '' GROUP BY ALL
 ),
 bad AS (
   SELECT f.source, f.k FROM freq f JOIN pages p ON f.source IS NOT DISTINCT FROM p.source
-  WHERE f.n >= 3 AND f.n > CAST(0.1 AS DOUBLE) * p.pages
+  WHERE f.n >= 2 AND f.n > CAST(0.1 AS DOUBLE) * p.pages
 ),
 kept AS (
   SELECT l.doc_id, string_agg(line, chr(10) ORDER BY i) FILTER (WHERE bad.k IS NULL) AS t,
     count(bad.k) AS lines_dropped
-  FROM l LEFT JOIN bad ON l.source IS NOT DISTINCT FROM bad.source AND trim(l.line) = bad.k
+  FROM l LEFT JOIN bad ON l.source IS NOT DISTINCT FROM bad.source AND trim(l.line, ' ' || chr(9) || chr(13)) = bad.k
   GROUP BY l.doc_id
 )
 SELECT d.doc_id, sha256(coalesce(CASE WHEN lines_dropped > 0 THEN kept.t ELSE d.text END, '')) AS text_sha256,

@@ -134,14 +134,16 @@ class Encoder:
 
     def _same(self, lanes: np.ndarray, n: np.ndarray, size: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Whether each span's bytes are those of the piece that it was looked up as."""
-        same = self.bytes[at] == size
-        if len(lanes) == len(n):  # a lane each; of pieces of other sizes only the first lane is compared
-            return same & (self.lanes[self.lane_at[at]] == lanes)
-        ends = np.cumsum(n)
-        # Sizes that differ are settled: their lanes are compared with the first one, lest they read beyond the end.
-        step = np.arange(len(lanes)) - np.repeat(ends - n, n)
-        place = np.repeat(self.lane_at[at].astype(np.int64), n) + np.where(np.repeat(same, n), step, 0)
-        return same & np.logical_and.reduceat(self.lanes[place] == lanes, ends - n)
+        first = np.cumsum(n) - n
+        same = (self.bytes[at] == size) & (self.lanes[self.lane_at[at]] == lanes[first])
+        if len(lanes) > len(n) and len(longer := np.flatnonzero(same & (n > 1))):
+            # The lanes behind the first one, of both sides.
+            more = n[longer] - 1
+            ends = np.cumsum(more)
+            step = np.arange(int(ends[-1])) - np.repeat(ends - more, more) + 1
+            theirs = self.lanes[np.repeat(self.lane_at[at[longer]], more) + step]
+            same[longer] = np.logical_and.reduceat(theirs == lanes[np.repeat(first[longer], more) + step], ends - more)
+        return same
 
     def _learn(self, pieces: list[str]) -> None:
         """Add pieces. With spaces kept, a piece with other white space at an end

@@ -75,7 +75,7 @@ def training_sample(
     return texts, np.array(found, np.int64)
 
 
-def _scorer(shared, name: str):
+def _scorer(shared, name: str, score_col: str):
     @task("toxicity")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ready = kept("toxicity")
@@ -87,7 +87,7 @@ def _scorer(shared, name: str):
             runs = tokens.text_runs(batch, batch.num_columns - 1, 1_000_000)
             scores = [gru.score_texts(model, tables, texts) for _, texts in runs]
             out = pa.array(np.concatenate(scores) if scores else np.zeros(0))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], out], names=[*batch.schema.names[:-1], "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], out], names=[*batch.schema.names[:-1], score_col])
 
     return run
 
@@ -111,15 +111,21 @@ def fit(
     return model
 
 
-def score(df: DataFrame, model: gru.Model, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns `keep` and a score in 0 to 1 of each row's whole text.
+def score(
+    df: DataFrame, model: gru.Model, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), score_col: str = "score"
+) -> DataFrame:
+    """The columns `keep` and score_col, a score in 0 to 1 of each row's whole text.
 
     All overlapping windows of a text are scored and the highest counts. A null or
     empty text is one empty window; repeated rows get equal scores; an empty table
-    gives an empty result. The text may be among the kept columns.
+    gives an empty result. The text may be among the kept columns; a kept column
+    named score_col gives way to the score.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = df.select(*(F.col(f"`{c}`") for c in keep), text.alias("__text"))
-    schema = rows.drop("__text").schema.add("score", "double")
+    kept_columns = [F.col(f"`{c}`") for c in keep if c != score_col]
+    schema = df.select(*kept_columns).schema.add(score_col, "double")
+    used = {c.lower() for c in df.columns}
+    whole = next(c for i in range(len(used) + 1) if (c := f"text{i}") not in used)
+    rows = df.select(*kept_columns, text.alias(whole))
     shared = df.sparkSession.sparkContext.broadcast(model)
-    return rows.mapInArrow(_scorer(shared, uuid.uuid4().hex), schema)
+    return rows.mapInArrow(_scorer(shared, uuid.uuid4().hex, score_col), schema)

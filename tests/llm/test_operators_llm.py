@@ -660,9 +660,39 @@ def test_untrained_without_labels(spark, odd):
 # --- pipeline -----------------------------------------------------------------
 
 
-def test_pipeline_stages(spark, tmp_path, sf):
-    import shutil
+def folder_of(path, sf):
+    """A folder with links to all tables of sf but `documents`."""
+    from pathlib import Path
+
+    path.mkdir()
+    for t in Path(sf).glob("*.parquet"):
+        if t.name != "documents.parquet":
+            (path / t.name).symlink_to(t)
+    return str(path)
+
+
+def test_pipeline_on_awkward_tables(spark, tmp_path, sf):
+    """Empty tables, clashing names, repeated ids and null texts pass all stages; nothing is lost but copies."""
+    import corpus_pipeline as p
+
+    shape = "doc_id long, text string, lang string, source string, n_chars long"
+    none = folder_of(tmp_path / "none", sf)
+    spark.createDataFrame([], shape).write.parquet(f"{none}/documents.parquet")
+    assert p.run(spark, none).count() == 0
+    text = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    rows = [(1, text, 5, 1), (1, "quite another text under the same id that links with nothing", 5, 2), (2, text, 5, 3), (2, text, 5, 3), (3, None, 5, 4), (4, "", 5, 5), (None, text, 5, 6), (None, None, 5, 7)]
+    odd = spark.createDataFrame([(d, t, "en", "s", 1, x, 0.0, "k", "x", 1, "c", 9) for d, t, _, x in rows], shape + ", tag int, score double, key string, component string, component_id int, lines_dropped string, __ld_host int")
+    keep = {"toxicity": set(range(1, 8)), "line_dedup": set(range(1, 8)), "jaccard_join": {1, 2, 4, 5, 6, 7}, "decontamination": set(range(1, 8))}
+    for name, stage in p.STAGES[:-1]:
+        out = stage(spark, odd, sf)
+        assert out.columns == odd.columns, name
+        got = [r["tag"] for r in out.collect()]
+        assert set(got) == keep[name] and (len(got) == 8 or name == "jaccard_join"), (name, got)
+        assert stage(spark, odd.limit(0), sf).count() == 0, name
+    assert p.STAGES[-1][1](spark, odd, sf).groupBy("doc_id").agg(F.sum("length")).count() == 5
 
+
+def test_pipeline_stages(spark, tmp_path, sf):
     import corpus_pipeline as p
 
     bench = [r["text"] for r in spark.read.parquet(f"{sf}/benchmark.parquet").limit(3).collect()]
@@ -683,8 +713,7 @@ def test_pipeline_stages(spark, tmp_path, sf):
     assert 2002 not in {r["doc_id"] for r in left.collect()} and left.count() == df.count() - 1
     lines = steps["line_dedup"](spark, df, sf)
     assert lines.columns == df.columns and lines.count() == df.count()
-    shutil.copytree(sf, tmp_path / "sf")
-    (tmp_path / "sf/documents.parquet").unlink()
+    folder_of(tmp_path / "sf", sf)
     df.unionByName(spark.read.parquet(f"{sf}/documents.parquet")).coalesce(1).write.parquet(str(tmp_path / "sf/documents.parquet"))
     out = p.run(spark, str(tmp_path / "sf"))
     packed = {r["doc_id"] for r in out.select("doc_id").distinct().collect()}
