@@ -17,30 +17,62 @@ from corpusloom.llm.storage import bounded, materialize, scratch_path
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def _fresh(docs: DataFrame, name: str) -> str:
+    """A column name that docs does not have."""
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    return name
+
+
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below the threshold; the network learns from the labels in sf_dir."""
+    """Documents that score below the threshold; the network learns from the labels in sf_dir.
+
+    Null and empty texts are scored as one empty window; repeated rows are judged
+    alike; very long texts are scored whole; without labels nothing goes; an empty
+    table stays empty. All columns stay, whatever their names.
+    """
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = toxicity.score(docs, model, keep=tuple(docs.columns))
-    return scored.where(F.col("score") < toxicity.THRESHOLD).drop("score")
+    score = _fresh(docs, "__toxicity")
+    scored = toxicity.score(docs, model, keep=tuple(docs.columns), score_col=score)
+    return scored.where(F.col(score) < toxicity.THRESHOLD).drop(score)
 
 
 def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the boilerplate lines of their source; n_chars follows the text."""
-    cut = line_dedup.drop_boilerplate(docs, "source", dropped_col="__cut")
+    """Documents without the boilerplate lines of their source; n_chars follows the text.
+
+    A line must be on three pages at least: a pair of copies is the next stage's matter.
+    Null texts stay null, a null source is one site, repeated rows are pages of their
+    own, an empty table stays empty. All rows and columns stay, whatever their names.
+    """
+    dropped = _fresh(docs, "__cut")
+    cut = line_dedup.drop_boilerplate(docs, "source", min_pages=3, dropped_col=dropped)
     return cut.withColumn(
-        "n_chars", F.when(F.col("__cut") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    ).drop("__cut")
+        "n_chars", F.when(F.col(dropped) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    ).drop(dropped)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies the document with the smallest id.
+    """Of each component of near copies one document: the smallest id, then the smallest hash of the text.
 
-    Rows without an id stay. Repeated rows of the document that stays are one document.
+    Rows are judged by id and text together, so rows that share an id but no text
+    are documents of their own. Rows without an id stay, and so do texts without
+    words. Repeated rows of the document that stays are one document. An empty
+    table stays empty. All columns stay, whatever their names.
     """
-    found = materialize(jaccard.near_duplicates(docs).select("doc_id", "component_id"), "near-copies")
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(bounded(gone), "doc_id", "left_anti").select(*docs.columns)
-    if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
+    own = docs.select(F.col("doc_id"), F.col("text"))
+    found = materialize(jaccard.near_duplicates(own, keep_key=True).where("component is not null and doc_id is not null"), "near-copies")
+    first = found.groupBy("component").agg(F.min(F.struct("doc_id", "key")).alias("first"))
+    # Components of a single row need no decision.
+    several = materialize(
+        found.join(bounded(materialize(first, "first-of-component")), "component")
+        .where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("key") != F.col("first.key")))
+        .select(F.col("doc_id").alias("gone_id"), F.col("key").alias("gone_key"))
+        .distinct(),
+        "near-copies-gone",
+    )
+    key = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
+    kept = docs.join(bounded(several), (docs["doc_id"] == F.col("gone_id")) & (key == F.col("gone_key")), "left_anti")
+    if found.groupBy("doc_id", "key").count().where("count > 1").limit(1).count():
         kept = kept.where("doc_id is null").unionByName(
             kept.where("doc_id is not null").dropDuplicates(["doc_id", "text"])
         )
@@ -48,13 +80,23 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no window of a benchmark item occurs."""
+    """Documents in which no window of a benchmark item occurs.
+
+    Null and empty texts have no words and stay; rows are judged by id and text
+    together; repeated rows are judged alike; an empty table stays empty. All
+    columns stay, whatever their names.
+    """
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return decontaminate.without_contaminated(docs, benchmark)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of packed sequences with their token ids."""
+    """Pieces of packed sequences with their token ids.
+
+    Null texts count as empty (a piece of the end id), repeated rows are packed
+    each, long texts are cut into pieces, an empty table gives no pieces. Other
+    columns are ignored.
+    """
     return packing.pack(docs, tokens.vocabulary_path("byte_bpe_50k.json"))
 
 
