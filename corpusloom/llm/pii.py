@@ -1,10 +1,13 @@
 """Personal data by weak supervision.
 
-Candidate spans are proposed by patterns. Regex, gazetteer and context labelers
-vote on each one (yes, no, abstain); the votes of the whole corpus are counted by
-pattern, expectation-maximisation estimates how reliable each labeler is, and its
-posterior trains a logistic span classifier over votes and span features. Spans
-of the four base kinds are always reported; the classifier decides on the rest.
+Patterns propose candidate spans, many of which are none of the kind: ordinary
+capitals beside names, dates and versions beside telephone numbers, part numbers
+beside accounts. Regex, checksum, gazetteer, context and surroundings labelers
+vote on each one (yes, no, abstain). The votes of the whole corpus are counted by
+pattern; expectation-maximisation estimates for every kind how often each labeler
+says what of true and of false candidates; its posterior trains a logistic span
+classifier over votes and span features. Spans of the four base kinds are always
+reported; the classifier decides on the rest.
 
 The counts are exact and cover every candidate. Only they reach the driver: a
 pattern is a kind, a vote of each labeler and a few binary features, so their
@@ -39,42 +42,89 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 
-# Gazetteers (invented for this module; short on purpose).
-_TITLES = "Mr Mrs Ms Dr Prof Herr Frau Monsieur Madame Mme Señor Señora Sr Sra".split()
-_NAMES = (
-    "Anna Maria John James Mary Robert Linda David Susan Peter Paul Laura Karl Hans Jürgen Greta "
-    "Sophie Pierre Claire Jean Marie Luc José Carmen Pablo Lucía Diego Elena"
-).split()
-_STREETS = "Street St Road Rd Avenue Ave Lane Ln Drive Boulevard Straße Strasse Weg Platz".split()
-_DOMAINS = frozenset("com org net edu gov io de fr es uk eu info".split())
-
+# Gazetteers: common first names of several languages, titles, streets, suffixes of domains,
+# and capitalised words that are no names.
+_TITLES = frozenset("Mr Mrs Ms Miss Dr Prof Sir Lady Herr Frau Monsieur Madame Mme Mlle Señor Señora Sr Sra Don Doña".split())
+_NAMES = frozenset(
+    (
+        "Adam Agnes Alan Albert Alexander Alice Amelia Amy Andrea Andreas Andrew Angela Anna Anne Anthony Antonio "
+        "Barbara Beatrice Benjamin Bernard Brian Bruno Camille Carla Carlos Carmen Carol Caroline Catherine Cecilia "
+        "Charles Charlotte Chloé Christian Christine Claire Clara Claude Claudia Daniel David Deborah Diana Diego "
+        "Dieter Dominique Donald Donna Dorothy Edward Elena Elisabeth Elizabeth Emily Emma Eric Erik Eva Felix Fernando "
+        "Florian Francisco Frank Franz François Frédéric Gabriel George Gerhard Gisela Grace Greta Guillaume Hannah Hans "
+        "Heidi Heinrich Helen Helga Henri Henry Hugo Inés Isabel Jack Jacques James Jane Javier Jean Jennifer Jessica "
+        "Joan Johann John Jorge José Joseph Juan Julia Julie Jürgen Karen Karl Katharina Kevin Klaus Laura Lena Leon "
+        "Linda Lisa Louis Louise Luc Lucas Lucía Luis Manuel Marc Margaret Maria Marie Mario Mark Markus Marta Martin "
+        "Mary Matthew Michael Michel Miguel Monika Nancy Nathalie Nicole Olivia Oscar Pablo Patricia Paul Pedro Peter "
+        "Philip Pierre Rachel Raúl Richard Robert Roland Sabine Sandra Sarah Simon Sofia Sophie Stefan Susan Teresa Thomas "
+        "Ursula Walter William Wolfgang"
+    ).split()
+)
+_NO_NAMES = frozenset(
+    (
+        "The This That These Those And But For With From Not All New North South East West United Apache License Version "
+        "Public Copyright University Institute College School Bank Street Road Avenue Park City River Lake Mount County "
+        "State National International General Central Royal Inc Ltd Corp Company Group Press Software Foundation Project "
+        "Monday Tuesday Wednesday Thursday Friday Saturday Sunday January February March April May June July August "
+        "September October November December Chapter Section Figure Table Part Page Appendix Act"
+    ).split()
+)
+_STREETS = frozenset(
+    "Street St Road Rd Avenue Ave Lane Ln Drive Dr Boulevard Blvd Court Ct Square Sq Terrace Place Way Close Crescent "
+    "Straße Strasse Weg Platz Allee Gasse Ufer Ring Rue Quai Calle Plaza Paseo Camino".split()
+)
+_DOMAINS = frozenset("com org net edu gov mil int io co de fr es it nl be ch at uk us ca eu info biz dev app me".split())
+# Lengths of account numbers by country.
+_IBAN_LENGTHS = {
+    "AT": 20, "BE": 16, "CH": 21, "CZ": 24, "DE": 22, "DK": 18, "ES": 24, "FI": 18, "FR": 27, "GB": 22, "GR": 27,
+    "IE": 22, "IT": 27, "LU": 20, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "SE": 24,
+}
+
+_UPPER, _LOWER = "A-ZÀ-ÖØ-Þ", "a-zß-öø-ÿ"
+_CAP = rf"[{_UPPER}][{_LOWER}]+(?:['-][{_UPPER}]?[{_LOWER}]+)*+"
+#: Words that introduce a name or open a sentence and are no part of it.
+_CUES = "Contact|Call|Dear|From|Name|Named|Write|Ask|Meet|Patient|The|This|That|And|But|For|With|In|On|At|To|Of"
 _ADDED = {
     "person": re.compile(
-        rf"\b(?:(?:{'|'.join(_TITLES)})\.?|{'|'.join(_NAMES)})\x20[A-ZÀ-Þ][a-zà-ÿ]{{2,20}}(?:\x20[A-ZÀ-Þ][a-zà-ÿ]{{2,20}})?"
+        rf"(?<![{_UPPER}{_LOWER}'-])(?!(?:{_CUES})\b)(?:(?:{'|'.join(sorted(_TITLES))})\.?\x20{_CAP}(?:\x20{_CAP}){{0,2}}|{_CAP}(?:\x20{_CAP}){{1,2}})(?![{_UPPER}{_LOWER}])"
     ),
-    "address": re.compile(rf"\b[0-9]{{1,5}}\x20(?:[A-ZÀ-Þ][a-zà-ÿ]{{1,20}}\x20){{1,3}}(?:{'|'.join(_STREETS)})\b"),
+    "address": re.compile(rf"(?<![0-9A-Za-z.,-])[0-9]+[a-z]?\x20{_CAP}(?:\x20{_CAP}){{0,3}}"),
     "mail_words": re.compile(
-        r"\b[A-Za-z0-9._%+-]{1,64}(?:\x20at\x20|\x20?[\[(]at[\])]\x20?)[A-Za-z0-9-]{1,63}(?:(?:\x20dot\x20|\x20?[\[(]dot[\])]\x20?)[A-Za-z]{2,12})+\b"
+        r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?:\x20at\x20|\x20?[\[(]at[\])]\x20?)[A-Za-z0-9-]++(?:(?:\x20dot\x20|\x20?[\[(]dot[\])]\x20?)[A-Za-z0-9-]++)+(?![A-Za-z0-9])"
     ),
-    "phone_local": re.compile(r"(?<![0-9+.-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9.-])"),
-    "national_id": re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
-    "iban": re.compile(r"(?<![A-Z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Z0-9])"),
+    "phone_local": re.compile(r"(?<![0-9A-Za-z.])(?![0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-]))(?:\([0-9]{2,5}\)\x20?|[0-9]{2,5}[\x20./-])[0-9]{2,4}(?:[\x20./-][0-9]{2,4}){1,3}(?![0-9A-Za-z])"),
+    "national_id": re.compile(r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])"),
+    "iban": re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
 }
 _NEEDS_DIGIT = {"address", "phone_local", "national_id", "iban"}
 _NEEDS_WORD = {"mail_words": ("at ", "(at)", "[at]")}
-
-_FOR = re.compile(
-    r"(?i)\b(?:e-?mail|mail|contact|write|call|phone|tel|telephone|mobile|fax|name|named|lives?|address|resident|ssn|"
-    r"id|passport|account|iban|card|visa|patient|born|ip|host|login|kontakt|adresse|nom|nombre|correo|teléfono|téléphone)\b"
+_TWO_CAPS = re.compile(rf"[{_LOWER}.]\x20[{_UPPER}][{_LOWER}]")
+
+_CUE = {
+    "mail": r"e-?mail|mail|contact|write|reach|kontakt|correo|courriel",
+    "number": r"phone|tel|telephone|mobile|cell|fax|call|ring|dial|kontakt|teléfono|téléphone|telefon",
+    "person": r"name|named|contact|patient|resident|signed|dear|call|ask|met|author|written\x20by|born|nom|nombre",
+    "place": r"lives?|address|resident|visit|office|ship|deliver|wohnt|adresse|dirección|habite|at",
+    "id": r"ssn|social|security|id|identity|passport|taxpayer|insurance",
+    "money": r"account|iban|bank|transfer|pay|card|visa|konto|cuenta|compte",
+    "host": r"ip|host|login|server|address|client|from",
+}
+_CUE_OF = {
+    "email": "mail", "ip": "host", "card": "money", "phone": "number", "person": "person", "address": "place",
+    "mail_words": "mail", "phone_local": "number", "national_id": "id", "iban": "money",
+}
+_FOR = {k: re.compile(rf"(?i)\b(?:{_CUE[c]})\b") for k, c in _CUE_OF.items()}
+_AGAINST = re.compile(
+    r"(?i)\b(?:version|release|isbn|issn|issue|order|page|pages|chapter|example|section|build|port|price|invoice|item|dummy|test|"
+    r"part|serial|model|catalogue|article|date|dated|on|since|until|room|figure|table|ticket|code|sku)\b"
 )
-_AGAINST = re.compile(r"(?i)\b(?:version|isbn|issue|order|page|chapter|example|section|build|port|price|invoice|item|dummy|test)\b")
+_DATE = re.compile(r"(?:[0-9]{4}[./-][0-9]{1,2}[./-][0-9]{1,2}|[0-9]{1,2}[./-][0-9]{1,2}[./-][0-9]{2,4})\Z")
 #: Characters left of a span that the context labelers read.
 CONTEXT = 40
 
 #: Labelers in the order of their votes.
-LABELERS = ("shape", "checksum", "gazetteer", "context", "counter_context")
+LABELERS = ("shape", "checksum", "gazetteer", "context", "counter_context", "surroundings")
 FEATURES = ("left_edge", "right_edge", "long", "digits")
-_STATES = 3 ** len(LABELERS) * 2 ** len(FEATURES)
 
 
 def _luhn(digits: str) -> bool:
@@ -136,34 +186,52 @@ def _votes(kind: str, text: str, start: int, end: int) -> tuple[int, ...]:
     """A vote of each labeler: 1 yes, 0 abstains, -1 no."""
     span = text[start:end]
     before = text[max(0, start - CONTEXT) : start]
+    left, right = text[max(0, start - 2) : start], text[end : end + 2]
     digits = sum(c.isdigit() for c in span)
-    shape = checksum = gazetteer = 0
+    shape = checksum = gazetteer = surroundings = 0
     if kind in ("email", "mail_words"):
-        tail = re.split(r"[^A-Za-z]+", span)[-1].lower()
-        shape = 1 if kind == "email" or "(" in span or "[" in span else 0
+        tail = re.split(r"[^A-Za-z0-9]+", span)[-1].lower()
+        shape = 1 if "(" in span or "[" in span else 0
+        if kind == "email":
+            shape = 1 if tail.isalpha() and 2 <= len(tail) <= 10 else -1
         gazetteer = 1 if tail in _DOMAINS else -1
     elif kind == "ip":
-        shape = 1
-        checksum = -1 if span.startswith(("0.", "255.")) else 1
+        shape = 1 if all(p == "0" or not p.startswith("0") for p in span.split(".")) else -1
+        checksum = -1 if span.startswith(("0.", "255.")) or span.endswith(".0") else 1
+        surroundings = -1 if left[-1:] in ("v", "V", "-", ".") or right[:1] == "-" else 0
     elif kind == "card":
-        shape, checksum = 1, 1
+        shape = 1 if re.fullmatch(r"[0-9]{16,19}|[0-9]{4}(?:[\x20-][0-9]{4}){3}(?:[\x20-]?[0-9]{1,3})?", span) else -1
+        checksum = 1 if span[0] in "3456" else -1
     elif kind in ("phone", "phone_local"):
-        shape = 1 if kind == "phone" or "(" in span or span.count("-") == 2 else 0
-        checksum = 1 if 10 <= digits <= 13 else -1
+        shape = 1 if "(" in span or kind == "phone" else -1 if _DATE.match(span) else 0
+        checksum = 1 if 9 <= digits <= 13 else -1
+        surroundings = -1 if left[-1:] in tuple("$€£#.,/-") or right[:1] in tuple("%$€£/") else 0
     elif kind == "person":
-        first, _, rest = span.partition(" ")
-        shape = 1 if rest.count(" ") else 0
-        gazetteer = 1 if first.rstrip(".") in _TITLES or rest.split(" ")[0] in _NAMES else 0
+        words = span.replace(".", "").split(" ")
+        shape = 1 if words[0] in _TITLES else 0
+        if words[0] in _TITLES:
+            words = words[1:]
+        gazetteer = -1 if any(w in _NO_NAMES for w in words) else 1 if words[0] in _NAMES else 0
+        # A capital at the start of a sentence tells nothing, which here speaks against a name.
+        surroundings = 0 if left[:1].isalnum() and left[1:] == " " or left == ", " else -1
     elif kind == "address":
-        shape, gazetteer = 1, 1
+        words = span.split(" ")
+        shape = 1 if len(words[0].rstrip("abcdefgh")) <= 4 and len(words) > 2 else -1
+        gazetteer = 1 if words[-1] in _STREETS or words[-1].lower().endswith(("straße", "strasse", "weg", "platz", "gasse")) or words[1] in ("Rue", "Calle") else -1
+        surroundings = 1 if right[:1] in (",", "\n") else -1 if left[-1:] in tuple("$€£#%") else 0
     elif kind == "national_id":
         shape = 1
-        checksum = -1 if span[:3] in ("000", "666") or span[4:6] == "00" or span[7:] == "0000" else 1
+        checksum = -1 if span[:3] in ("000", "666") or span[0] == "9" or span[4:6] == "00" or span[7:] == "0000" else 1
+        surroundings = -1 if left[-1:] in tuple("#/$") else 0
     elif kind == "iban":
-        shape, checksum = 1, 1 if _iban_ok(span) else -1
-    context = 1 if _FOR.search(before) else 0
+        known = _IBAN_LENGTHS.get(span[:2])
+        gazetteer = 1 if known else -1
+        shape = 1 if known == len(span.replace(" ", "")) else -1
+        checksum = 1 if _iban_ok(span) else -1
+        surroundings = -1 if left[-1:] in tuple("#/-") else 0
+    context = 1 if _FOR[kind].search(before) else 0
     counter = -1 if _AGAINST.search(before) else 0
-    return shape, checksum, gazetteer, context, counter
+    return shape, checksum, gazetteer, context, counter, surroundings
 
 
 def _features(text: str, start: int, end: int) -> tuple[int, ...]:
@@ -205,6 +273,8 @@ def candidates(text: str, base: dict[str, list[tuple[int, int]]]) -> list[tuple[
             continue
         if kind in _NEEDS_WORD and not any(w in text for w in _NEEDS_WORD[kind]):
             continue
+        if kind == "person" and not _TWO_CAPS.search(text):
+            continue
         out += [(kind, *m.span()) for m in pattern.finditer(text)]
     if not out:
         return out
@@ -255,50 +325,74 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def estimate_reliability(votes: np.ndarray, n: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.ndarray, float]:
+#: What a labeler is held to say before anything is counted: votes of no, abstention, yes of false and of true candidates.
+_START = np.array([[1.5, 1.0, 0.5], [0.5, 1.0, 1.5]])
+#: How many candidates the estimate over all kinds counts for in that of one kind.
+POOLED = 3.0
+
+
+def estimate_reliability(
+    votes: np.ndarray, n: np.ndarray, rounds: int = 80, prior: np.ndarray | None = None, share: float = 0.5
+) -> tuple[np.ndarray, np.ndarray, float]:
     """EM for labelers that are independent given the truth.
 
-    votes: pattern by labeler in -1, 0, 1; n: how often each pattern occurs.
+    votes: pattern by labeler in -1, 0, 1; n: how often each pattern occurs;
+    prior: counts [truth, labeler, vote] that are added to those of the corpus. A
+    pattern without a yes is none: nothing but a yes can say what the truth is.
     Returns the probability that a pattern is personal data, the vote
     distributions [truth, labeler, vote], and the share of personal data.
     """
     one_hot = (votes[:, :, None] == np.array([-1, 0, 1])).astype(float)
+    prior = np.repeat(_START[:, None, :], votes.shape[1], 1) if prior is None else prior
     # Starts from labelers that are right in three of four votes.
-    score = votes.sum(1)
-    post = np.clip(0.5 + 0.25 * score, 0.05, 0.95)
-    table, share = np.full((2, votes.shape[1], 3), 1 / 3), 0.5
+    vouched = (votes == 1).any(1)
+    post = np.where(vouched, np.clip(0.5 + 0.25 * votes.sum(1), 0.05, 0.95), 0)
+    table = prior / prior.sum(2, keepdims=True)
     for _ in range(rounds):
         for truth, w in ((1, post * n), (0, (1 - post) * n)):
-            counts = np.einsum("p,plv->lv", w, one_hot) + 1.0
+            counts = np.einsum("p,plv->lv", w, one_hot) + prior[truth]
             table[truth] = counts / counts.sum(1, keepdims=True)
         share = ((post * n).sum() + 1) / (n.sum() + 2)
         log = [np.log(w) + np.einsum("plv,lv->p", one_hot, np.log(table[t])) for t, w in ((0, 1 - share), (1, share))]
-        post = 1 / (1 + np.exp(np.clip(log[0] - log[1], -50, 50)))
+        post = np.where(vouched, 1 / (1 + np.exp(np.clip(log[0] - log[1], -50, 50))), 0)
     return post, table, share
 
 
-def train_span_classifier(codes: np.ndarray, n: np.ndarray, steps: int = 400) -> dict[int, float]:
+def reliability_by_kind(kind: np.ndarray, votes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, dict[int, tuple[np.ndarray, float]]]:
+    """Posterior of every pattern, and each kind's vote distributions and share.
+
+    A labeler means something else for each kind, so each has its own estimate; that
+    over all kinds stands in for POOLED candidates of it.
+    """
+    _, pooled, _ = estimate_reliability(votes, n)
+    post, found = np.zeros(len(n)), {}
+    for k in np.unique(kind).tolist():
+        mine = kind == k
+        post[mine], table, share = estimate_reliability(votes[mine], n[mine], prior=POOLED * pooled)
+        found[k] = (table, share)
+    return post, found
+
+
+def train_span_classifier(codes: np.ndarray, n: np.ndarray, steps: int = 600) -> dict[int, float]:
     """Probability of personal data for each pattern: EM labels, logistic regression.
 
-    The rows are the corpus's patterns weighted by their counts (their logarithm,
-    so that one copied text does not outvote the rest).
+    The rows are the corpus's patterns weighted by their counts; every kind weighs
+    the same, so that a frequent one does not decide for a rare one.
     """
     if len(codes) == 0:
         return {}
     kind, votes, feats = decode(codes)
-    weight = np.log1p(n.astype(float))
-    labels, _, _ = estimate_reliability(votes, weight)
-    # The base patterns are known to be personal data: they anchor the labels.
-    labels = np.where(kind < len(BASE_KINDS), 1.0, labels)
-    family = np.eye(len(KINDS))[kind] * 0.5
-    x = np.hstack([votes, feats, family, np.ones((len(codes), 1))]).astype(float)
-    # Priors that hold where the corpus has no candidates to learn from.
-    prior = np.concatenate([[1.0, 1.0, 1.0, 1.0, 1.5], [0.2, 0.2, 0.0, 0.0], np.zeros(len(KINDS)), [-1.5]])
-    w = prior.copy()
+    n = n.astype(float)
+    labels, _ = reliability_by_kind(kind, votes, n)
+    weight = n / np.bincount(kind, n, len(KINDS))[kind]
+    family = np.eye(len(KINDS))[kind]
+    said = np.hstack([votes == 1, votes == -1]).astype(float)
+    by_kind = (family[:, :, None] * said[:, None, :]).reshape(len(codes), -1)
+    x = np.hstack([said, by_kind, feats, family, np.ones((len(codes), 1))])
+    w = np.zeros(x.shape[1])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (weight * (p - labels)) / weight.sum() + 0.02 * (w - prior)
-        w -= 0.5 * grad
+        w -= 0.3 * (x.T @ (weight * (p - labels)) + 0.002 * w)
     p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
     return {int(c): float(v) for c, v in zip(codes, p, strict=True)}
 
