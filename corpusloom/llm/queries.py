@@ -113,7 +113,7 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Secrets of every document, with how many owners share each."""
+    """Secrets of every document, judged by how many owners and repositories share each."""
     from corpusloom.llm.secrets import BASE_KINDS, scan_secrets
 
     out = scan_secrets(_table(spark, sf_dir, "documents"))
@@ -134,6 +134,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         joined(F.col("spans")).alias("spans"),
         verdict("live").alias("n_live"),
         verdict("example").alias("n_example"),
+        F.coalesce(F.array_max(F.transform("spans", lambda s: s["repositories"])), F.lit(0)).alias("most_repositories"),
     )
 
 

@@ -2,9 +2,9 @@
 
 Candidates are found by patterns in each text. A candidate's value is hashed and
 the hashes are counted over the corpus: in how many repositories and at how many
-owners each one stands. A value that many owners share is a documentation example
-or a copied sample; one that stays with a single owner and looks random is
-treated as a live credential.
+owners each one stands. A value that many owners share, or that stands in many
+repositories even of one owner, is a documentation example or a copied sample;
+one that stays with few and looks random is treated as a live credential.
 """
 
 from __future__ import annotations
@@ -23,8 +23,9 @@ BASE_KINDS = (
         1,
         8,
     ),
-    ("access", r"AKIA[A-Z0-9]+", 0, 16),
-    ("hex", r"[0-9a-f]+", 0, 32),
+    # Runs are matched whole, so that a least length in the pattern changes no span that stays.
+    ("access", r"AKIA[A-Z0-9]{12,}", 0, 16),
+    ("hex", r"[0-9a-f]{32,}", 0, 32),
 )
 #: Shapes that the method adds when a value is owner-specific and looks random.
 ADDED_KINDS = (
@@ -55,8 +56,8 @@ _NEEDS = {
     "vendor": r"(?:gh[pousr]_|glpat-|xox[abprs]-|sk_live_|AIza)",
     "bearer": r"(?i:bearer)\x20",
 }
-#: From so many owners on, a value is a widely copied example.
-EXAMPLE_OWNERS = 3
+#: From so many owners on, or so many repositories, a value is a widely copied example.
+EXAMPLE_OWNERS, EXAMPLE_REPOSITORIES = 3, 10
 #: Distinct characters that a live-looking value has at least.
 LIVE_CHARS = 8
 
@@ -129,12 +130,13 @@ def scan_secrets(
     owner_col: str = "source",
     repository_col: str | None = None,
     example_owners: int = EXAMPLE_OWNERS,
+    example_repositories: int = EXAMPLE_REPOSITORIES,
 ) -> DataFrame:
     """One row per input row with its candidate spans and their corpus-wide verdicts.
 
     Returns id, spans: array<struct<kind, start, end, value_sha256, owners,
     repositories, verdict, base>>. verdict is "example" (at least example_owners
-    owners), "live" (fewer owners, random-looking) or "weak". Base kinds are
+    owners or example_repositories repositories), "live" (fewer, random-looking) or "weak". Base kinds are
     always reported; added kinds only when live.
 
     repository_col defaults to id_col: every row is its own repository. Null text
@@ -183,7 +185,7 @@ def scan_secrets(
         .join(bounded(freq), "sha")
         .withColumn(
             "verdict",
-            F.when(F.col("owners") >= example_owners, "example")
+            F.when((F.col("owners") >= example_owners) | (F.col("repositories") >= example_repositories), "example")
             .when(F.col("s.random"), "live")
             .otherwise("weak"),
         )

@@ -63,7 +63,7 @@ FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 
 def _op10() -> str:
     """The spans of every kind, the owners of each value, and what follows from them."""
-    from corpusloom.llm.secrets import ADDED_KINDS, BASE_KINDS, EXAMPLE_OWNERS, LIVE_CHARS
+    from corpusloom.llm.secrets import ADDED_KINDS, BASE_KINDS, EXAMPLE_OWNERS, EXAMPLE_REPOSITORIES, LIVE_CHARS
 
     kinds = []
     for rank, (kind, pattern, group, least) in enumerate([*BASE_KINDS, *ADDED_KINDS]):
@@ -82,16 +82,20 @@ WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
 m AS ({" UNION ALL ".join(kinds)}),
 s AS (SELECT *, sum(length(gap) + length(hit)) OVER (PARTITION BY doc_id, rank ORDER BY i)::BIGINT AS stop FROM m),
 f AS (SELECT doc_id, source, rank, kind, stop - length(hit) AS start, stop, v FROM s WHERE length(v) >= least),
-o AS (SELECT v, count(*) AS owners FROM (SELECT DISTINCT v, source FROM f) GROUP BY v),
-j AS (SELECT f.*, CASE WHEN owners >= {EXAMPLE_OWNERS} THEN 'example' WHEN len(list_distinct(string_split(f.v, ''))) >= {LIVE_CHARS} THEN 'live' ELSE 'weak' END AS verdict
+o AS (SELECT v, sum(first_owner) AS owners, sum(first_repository) AS repositories FROM (
+  SELECT v, CASE WHEN row_number() OVER (PARTITION BY v, source) = 1 THEN 1 ELSE 0 END AS first_owner,
+    CASE WHEN row_number() OVER (PARTITION BY v, source, doc_id) = 1 THEN 1 ELSE 0 END AS first_repository FROM f) GROUP BY v),
+j AS (SELECT f.*, repositories, CASE WHEN owners >= {EXAMPLE_OWNERS} OR repositories >= {EXAMPLE_REPOSITORIES} THEN 'example' WHEN len(list_distinct(string_split(f.v, ''))) >= {LIVE_CHARS} THEN 'live' ELSE 'weak' END AS verdict
   FROM f JOIN o ON f.v = o.v),
 k AS (SELECT * FROM j WHERE rank < {base} OR verdict = 'live'),
 a AS (SELECT doc_id, {counts},
   string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) FILTER (WHERE rank < {base}) AS base,
   string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) AS spans,
-  count(*) FILTER (WHERE verdict = 'live') AS n_live, count(*) FILTER (WHERE verdict = 'example') AS n_example FROM k GROUP BY doc_id)
+  count(*) FILTER (WHERE verdict = 'live') AS n_live, count(*) FILTER (WHERE verdict = 'example') AS n_example,
+  CAST(max(repositories) AS BIGINT) AS most FROM k GROUP BY doc_id)
 SELECT d.doc_id, {", ".join(f"coalesce(n_{k[0]}, 0) AS n_{k[0]}" for k in BASE_KINDS)}, sha256(coalesce(base, '')) AS base_sha256,
-  coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example
+  coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example,
+  coalesce(most, 0) AS most_repositories
 FROM d LEFT JOIN a USING (doc_id)
 """
 

@@ -608,6 +608,11 @@ def test_secrets(spark, odd, empty):
     assert out[2] == [("access", 0, 20, "example")] and out[5] == []
     assert out[6] == [("bearer", 38, 67, "live")]
     assert scan_secrets(odd).count() == odd.count() and scan_secrets(empty).count() == 0
+    # One owner, many repositories: a copied sample; in a few: still live.
+    copied, own = "0123456789abcdef" * 2, "fedcba9876543210" * 2
+    many = spark.createDataFrame([(i, f"{copied} {own if i < 9 else ''}", "a") for i in range(10)], "doc_id long, text string, source string")
+    for r in scan_secrets(many).collect():
+        assert [(s["repositories"], s["verdict"]) for s in r["spans"]] == [(10, "example"), (9, "live")][: 2 if r["doc_id"] < 9 else 1]
 
 
 def test_private_keys_are_told_apart_by_their_bodies(spark):
