@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -36,8 +38,23 @@ def transliterate_word(word: Column) -> Column:
     return F.coalesce(F.try_element_at(known, low), spelled)
 
 
+#: Whole words that are runs of letters, as a pattern and one by one.
+_RUNS = [w for w in WORDS if w.isalpha()]
+_ALONE = "(?<![a-z])(?:{})(?![a-z])"
+
+
 def transliterate(text: Column) -> Column:
-    """Every run of ASCII letters in Arabic letters, the rest as it is."""
-    border = "(?<=[A-Za-z])(?=[^A-Za-z])|(?<=[^A-Za-z])(?=[A-Za-z])"
-    runs = F.transform(F.split(text, border), lambda r: F.when(r.rlike("^[A-Za-z]+$"), transliterate_word(r)).otherwise(r))
-    return F.when(text.rlike("[A-Za-z]"), F.array_join(runs, "")).otherwise(text)
+    """Every run of ASCII letters in Arabic letters, the rest as it is.
+
+    Whole words go first, where there is one; pairs and letters are then exchanged
+    in the whole text at once, since no pair reaches over the end of a run.
+    """
+    low = F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
+    known = low
+    for w in _RUNS:
+        known = F.regexp_replace(known, _ALONE.format(w), WORDS[w])
+    spelled = F.when(low.rlike(_ALONE.format("|".join(_RUNS))), known).otherwise(low)
+    for pair in _pair_order():
+        spelled = F.replace(spelled, F.lit(pair), F.lit(PAIRS[pair]))
+    spelled = F.replace(F.translate(spelled, SINGLE_FROM, SINGLE_TO), F.lit("x"), F.lit(X))
+    return F.when(text.rlike("[A-Za-z]"), spelled).otherwise(text)

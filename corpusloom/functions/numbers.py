@@ -170,19 +170,31 @@ def _percent(number: str, style: str) -> str:
     return _say_below_thousand(int(number), style) or ZERO
 
 
+_DIGIT = re.compile(r"\d")
+#: Digits of numbers that have no reading, until all others are read.
+_HELD = str.maketrans("0123456789", "".join(chr(0xE000 + i) for i in range(10)))
+_RELEASED = str.maketrans("".join(chr(0xE000 + i) for i in range(10)), "0123456789")
+
+
 def speak_numbers(text: str | None, style: str = "egy") -> str | None:
     """All numbers of a text in words: grouped thousands, percents, dotted runs, decimals, whole numbers.
 
-    None where a percentage or a decimal of 1000 or more has no reading.
+    A percentage or a decimal of 1000 or more and a number of thousands of digits
+    have no reading and stay as they are written.
     """
     if text is None:
         return None
-    try:
+
+    def spoken(m: re.Match, say) -> str:
+        try:
+            return say(m.group(), style)
+        except (ValueError, IndexError):
+            return m.group().translate(_HELD)
+
+    if _DIGIT.search(text):
         for pattern, say in _STEPS:
-            text = pattern.sub(lambda m, say=say: say(m.group(), style), text)
-    except (ValueError, IndexError):
-        return None
-    return " ".join(text.split())
+            text = pattern.sub(lambda m, say=say: spoken(m, say), text)
+    return " ".join(text.translate(_RELEASED).split())
 
 
 def speak_numbers_udf(style: str = "egy"):

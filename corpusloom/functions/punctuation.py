@@ -26,14 +26,7 @@ def normalize_punctuation(text: Column) -> Column:
 
 def attach_punctuation(text: Column) -> Column:
     """Signs that stand alone move to the word before them; the first word has none before it."""
-    parts = words(text)
-    sign = lambda w: w.rlike(f"^[{STICKY}]+$")
-    glued = F.aggregate(
-        parts,
-        F.lit(""),
-        lambda acc, w: F.when(acc == "", w).when(sign(w), F.concat(acc, w)).otherwise(F.concat(acc, F.lit(" "), w)),
-    )
-    return F.when(text.isNotNull(), glued)
+    return F.regexp_replace(F.array_join(words(text), " "), f" ([{STICKY}]+)(?= |$)", "$1")
 
 
 def bind_markers(text: Column) -> Column:

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def precedence_merge(df: DataFrame, key: str, status: str, order: str, ranks: dict[str, int]) -> DataFrame:
@@ -80,25 +86,34 @@ def stride_sample(df: DataFrame, group: list[str], order: str, n: int) -> DataFr
     return rows.where(hit | (F.col("__l") <= n)).drop("__i", "__l")
 
 
-def positions(df: DataFrame, order: str, cells: int = 1024) -> DataFrame:
-    """df with `position`, the 0-based place of each row in order of a whole-number column.
+def _cell(value: Column, bounds: list[float], low: int = 0) -> Column:
+    """How many of the sorted bounds are not above the value, by halving."""
+    if not bounds:
+        return F.lit(low)
+    half = len(bounds) // 2
+    return F.when(value < bounds[half], _cell(value, bounds[:half], low)).otherwise(_cell(value, bounds[half + 1 :], low + half + 1))
+
+
+def positions(df: DataFrame, order: str, cells: int = 64) -> DataFrame:
+    """df with `position`, the 0-based place of each row in order of a number column.
 
-    Rows are ranked inside equal slices of the column's range and the sizes of the
-    slices are added up: at most `cells` rows meet in one task. Ties are ordered
-    arbitrarily.
+    Rows are ranked inside cells between sampled quantiles of the column, and the sizes
+    of the cells are added up: a task ranks about one in `cells` of the rows, however
+    the values lie, and all rows of one value. Ties are ordered arbitrarily; rows without a value have no place.
     """
-    low, high = df.agg(F.min(order), F.max(order)).first()
-    if low is None:
-        return df.withColumn("position", F.lit(None).cast("long"))
-    width = max(1, -(-(high - low + 1) // cells))
-    rows = df.withColumn("__cell", F.floor((F.col(order) - low) / width))
-    sizes = rows.groupBy("__cell").agg(F.count("*").alias("__n"))
+    bounds = sorted(set(df.approxQuantile(order, [i / cells for i in range(1, cells)], 0.5 / cells)))
+    rows = df.withColumn("__cell", F.when(F.col(order).isNotNull(), _cell(F.col(order), bounds)))
+    sizes = rows.where("__cell is not null").groupBy("__cell").agg(F.count("*").alias("__n"))
     before = Window.orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
-    base = sizes.select("__cell", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
+    # One row a cell.
+    base = sizes.select(F.col("__cell").alias("__at"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
     place = F.row_number().over(Window.partitionBy("__cell").orderBy(order))
-    return rows.withColumn("__r", place).join(F.broadcast(base), "__cell").withColumn(
-        "position", F.col("__base") + F.col("__r") - 1
-    ).drop("__cell", "__r", "__base")
+    return (
+        rows.withColumn("__r", place)
+        .join(F.broadcast(base), F.col("__cell") == F.col("__at"), "left")
+        .withColumn("position", F.col("__base") + F.col("__r") - 1)
+        .drop("__cell", "__at", "__r", "__base")
+    )
 
 
 def contiguous_shards(df: DataFrame, order: str, n: int) -> DataFrame:
@@ -121,25 +136,53 @@ def keyed_split(key: Column, percent: int) -> Column:
     return F.when(F.pmod(F.xxhash64(key), F.lit(100)) < percent, "train").otherwise("val")
 
 
+def _batches(groups: int, cap: int):
+    """Numbers the batches of rows that come sorted by group; carries the open batch over Arrow batches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, number, held = None, 0, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            size = batch.column(groups + 1).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            columns = [batch.column(i) for i in range(groups)]
+            same = np.ones(len(size) - 1, bool)
+            for c in columns:
+                equal = pc.fill_null(pc.equal(c[1:], c[:-1]), False).to_numpy(zero_copy_only=False)
+                both = pc.and_(pc.is_null(c[1:]), pc.is_null(c[:-1])).to_numpy(zero_copy_only=False)
+                same &= equal | both
+            out = np.empty(len(size), np.int32)
+            upto = np.cumsum(size)
+            starts = np.concatenate([[0], np.flatnonzero(~same) + 1, [len(size)]])
+            for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                key = tuple(c[a].as_py() for c in columns)
+                if key != group:
+                    group, number, held = key, 0, 0
+                while a < b:
+                    # Rows up to the first one that would exceed the cap; an empty batch takes any row.
+                    before = int(upto[a] - size[a])
+                    end = int(np.searchsorted(upto[a:b], before + cap - held, "right")) + a
+                    if end == a and held:
+                        number, held = number + 1, 0
+                        continue
+                    end = max(end, a + 1)
+                    out[a:end] = number
+                    held += int(upto[end - 1]) - before
+                    a = end
+            yield pa.RecordBatch.from_arrays([*columns, batch.column(groups), pa.array(out)], names=[*batch.schema.names[: groups + 1], "batch"])
+
+    return run
+
+
 def byte_batches(df: DataFrame, group: list[str], order: str, size: str, cap: int) -> DataFrame:
     """Greedy batches in order: a batch is closed when the next row would exceed the cap.
 
-    The fold over a group's rows runs on one array a group.
+    Each batch depends on where the one before it ended, so a group is read in order by
+    one task, as a stream: only its open batch is held. Null sizes count as 0.
     """
-    rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(size).cast("long").alias("s"))))
-    zero = F.struct(
-        F.lit(0).alias("batch"), F.lit(0).cast("long").alias("held"), F.array().cast("array<struct<o:long,batch:int>>").alias("out")
-    )
-
-    def step(acc: Column, x: Column) -> Column:
-        new = (acc["held"] > 0) & (acc["held"] + x["s"] > cap)
-        batch = (acc["batch"] + new.cast("int")).alias("batch")
-        held = F.when(new, x["s"]).otherwise(acc["held"] + x["s"]).alias("held")
-        out = F.concat(acc["out"], F.array(F.struct(x["o"].cast("long").alias("o"), batch)))
-        return F.struct(batch, held, out.alias("out"))
-
-    folded = df.groupBy(*group).agg(rows.alias("r")).withColumn("b", F.aggregate("r", zero, step, lambda a: a["out"]))
-    return folded.select(*group, F.inline("b")).withColumnRenamed("o", order)
+    rows = df.select(*group, order, F.col(size).cast("long").alias("__size"))
+    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("batch", T.IntegerType())])
+    return rows.repartition(*group).sortWithinPartitions(*group, order).mapInArrow(_batches(len(group), cap), schema)
 
 
 def quota_epoch(df: DataFrame, side: str, order: str, duration: str, quotas: dict[str, float], epoch: int = 0) -> DataFrame:

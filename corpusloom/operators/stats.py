@@ -98,30 +98,28 @@ def most_common(df: DataFrame, key: list[str], ordinal: str, k: int) -> DataFram
 
 
 def form_consistency(df: DataFrame, key: str, form: str, ordinal: str, unit: str, samples: int = 5) -> DataFrame:
-    """Per key and form: count, share of the key's top form, and the first sample units."""
-    place = Window.partitionBy(key, form).orderBy(ordinal)
-    forms = (
-        df.withColumn("__r", F.row_number().over(place))
-        .groupBy(key, form)
-        .agg(
-            F.count("*").alias("n"),
-            F.min(ordinal).alias("first"),
-            F.array_sort(F.collect_list(F.when(F.col("__r") <= samples, F.struct(ordinal, unit)))).alias("s"),
-        )
-        .withColumn("samples", F.transform("s", lambda x: x[unit]))
-    )
-    return forms.groupBy(key).agg(
+    """Per key: count, forms, share of the top form, and the first sample units of it.
+
+    Counts are combined before they move. The samples are the first rows of each top
+    form, which Spark limits on both sides of the shuffle: no form's rows meet in one task.
+    """
+    counts = df.groupBy(key, form).agg(F.count("*").alias("n"), F.min(ordinal).alias("first"))
+    tops = counts.groupBy(key).agg(
         F.sum("n").alias("total"),
         F.count("*").alias("forms"),
-        F.max(F.struct(F.col("n"), (-F.col("first")).alias("f"), F.col(form).alias("form"), "samples")).alias("top"),
-    ).select(
+        F.max(F.struct(F.col("n"), (-F.col("first")).alias("f"), F.col(form).alias("form"))).alias("top"),
+    )
+    place = F.row_number().over(Window.partitionBy(key, form).orderBy(ordinal))
+    first = df.select(key, form, ordinal, unit).withColumn("__r", place).where(F.col("__r") <= samples)
+    rows = first.groupBy(F.col(key).alias("__k"), F.col(form).alias("__f")).agg(F.array_sort(F.collect_list(F.struct(ordinal, unit))).alias("s"))
+    return tops.join(rows, (F.col(key) == F.col("__k")) & (F.col("top.form") == F.col("__f"))).select(
         key,
         "total",
         "forms",
         F.col("top.form").alias("majority"),
         F.col("top.n").alias("majority_n"),
         (F.col("top.n") / F.col("total")).alias("consistency"),
-        F.col("top.samples").alias("samples"),
+        F.transform("s", lambda x: x[unit]).alias("samples"),
     )
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import segment
 from corpusloom.operators import joins, sequence
-from corpusloom.plans.registry import Registry, table
+from corpusloom.plans.registry import Registry, table, texts
 from corpusloom.streaming import chunks
 
 Q = Registry()
@@ -98,7 +98,7 @@ SELECT doc_id, lang, source FROM b WHERE k <= 10
 """)
 def capped_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten documents a language, at most two of a source, in a fixed shuffled order."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
+    docs = texts(spark, sf_dir).select("doc_id", "lang", "source")
     order = [F.col("doc_id") * 7919 % 1009, F.col("doc_id")]
     return sequence.capped_selection(docs, "lang", "source", order, 2, 10)
 
@@ -139,21 +139,21 @@ def byte_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 @Q.add()
 def quota_epoch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The second epoch of a 65/35 mix of two languages by length; rings go round."""
-    docs = table(spark, sf_dir, "documents").where("lang in ('en', 'de')").select("doc_id", "lang", F.col("n_chars").cast("double").alias("n_chars"))
+    docs = texts(spark, sf_dir).where("lang in ('en', 'de')").select("doc_id", "lang", F.col("n_chars").cast("double").alias("n_chars"))
     return sequence.quota_epoch(docs, "lang", "doc_id", "n_chars", {"en": 650000.0, "de": 350000.0}, 1)
 
 
 @Q.add()
 def sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences of every document as offsets."""
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir)
     return docs.select("doc_id", F.posexplode(segment.sentence_spans_udf("text")).alias("k", "s")).select("doc_id", "k", "s.start", "s.stop")
 
 
 @Q.add()
 def chunks_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of 12 to 144 words of every document."""
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir)
     return docs.select("doc_id", F.posexplode(segment.batch_chunks_udf(144, speech_only=False)("text")).alias("k", "chunk"))
 
 

@@ -247,12 +247,13 @@ def three_run_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @Q.add("""
-WITH k AS (SELECT lower(left(p_name, 3)) AS k, p_partkey, p_name FROM part), a AS (SELECT x.p_partkey, y.p_name AS other, row_number() OVER (PARTITION BY x.p_partkey ORDER BY y.p_partkey) AS r
-  FROM k x JOIN k y ON x.k = y.k AND x.p_name <> y.p_name WHERE x.p_partkey <= 200)
-SELECT p_partkey, other FROM a WHERE r = 1
+WITH k AS (SELECT lower(left(p_name, 3)) AS k, p_partkey, p_name FROM part), f AS (SELECT k, p_name, min(p_partkey) AS f FROM k GROUP BY ALL),
+r AS (SELECT k, p_name, row_number() OVER (PARTITION BY k ORDER BY f) AS r FROM f)
+SELECT p_partkey, CASE WHEN a.p_name <> k.p_name THEN a.p_name ELSE b.p_name END AS other FROM k JOIN r a ON a.k = k.k AND a.r = 1 LEFT JOIN r b ON b.k = k.k AND b.r = 2
+WHERE a.p_name <> k.p_name OR b.p_name IS NOT NULL
 """)
 def same_key_other_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For 200 parts the first one with the same sound key and another name: no pairs are made.
+    """For each part the first one with the same sound key and another name: no pairs are made.
 
     Of a key the first part and the first part of another name are all that is needed.
     """
@@ -263,7 +264,7 @@ def same_key_other_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.max(F.when(F.col("r") == 1, F.col("p_name"))).alias("n1"), F.max(F.when(F.col("r") == 2, F.col("p_name"))).alias("n2")
     )
     other = F.when(F.col("n1") != F.col("p_name"), F.col("n1")).otherwise(F.col("n2"))
-    return k.where("p_partkey <= 200").join(two, "k").select("p_partkey", other.alias("other")).where("other is not null")
+    return k.join(two, "k").select("p_partkey", other.alias("other")).where("other is not null")
 
 
 @Q.add("""
@@ -355,25 +356,25 @@ def segment_average(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @Q.add("""
-WITH x AS (SELECT vec_id, embedding[1:4]::DOUBLE[] AS e FROM embeddings),
-y AS (SELECT vec_id, list_concat([e[1]], [e[2], e[2]], [e[3], e[3], e[3]], [e[4], e[4]]) AS v FROM x)
+WITH x AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+y AS (SELECT vec_id, flatten(list_transform(range(1, len(e) + 1), lambda i: list_transform(range((i - 1) % 3 + 1), lambda _: e[i]))) AS v FROM x)
 SELECT vec_id, len(v) AS n, round(list_sum(v), 5) AS total FROM y
 """)
 def length_regulate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first four values repeated by their durations."""
-    four = F.transform(F.slice("embedding", 1, 4), lambda x: x.cast("double"))
-    v = signal.length_regulate(four, F.array(*(F.lit(float(x)) for x in (1, 2, 3, 2))))
+    """All values repeated by their durations (one, two and three by turns)."""
+    values = F.transform("embedding", lambda x: x.cast("double"))
+    v = signal.length_regulate(values, F.transform("embedding", lambda _, i: (i % 3 + 1).cast("double")))
     return table(spark, sf_dir, "embeddings").select("vec_id", F.size(v).cast("long").alias("n"), F.round(F.aggregate(v, F.lit(0.0), lambda a, x: a + x), 5).alias("total"))
 
 
 @Q.add("""
-WITH x AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), f AS (SELECT vec_id, unnest(range(1, 6)) AS k, e FROM x),
+WITH x AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), f AS (SELECT vec_id, unnest(range(1, len(e) // 4 + 1)) AS k, e FROM x),
 l AS (SELECT vec_id, k, sqrt(list_sum(list_transform(e[(k - 1) * 4 + 1:(k - 1) * 4 + 8], lambda v: v * v)) / 8) AS level FROM f WHERE (k - 1) * 4 + 8 <= len(e))
-SELECT vec_id, CAST(k - 1 AS INT) AS frame, round(level, 5) AS level FROM l WHERE k <= 5
+SELECT vec_id, CAST(k - 1 AS INT) AS frame, round(level, 5) AS level FROM l
 """)
 def frame_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Levels of the first five frames of each vector (8 values, every 4)."""
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(F.slice(signal.frame_levels(F.col("embedding"), 8, 4), 1, 5)).alias("frame", "level"))
+    """Levels of all frames of each vector (8 values, every 4)."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(signal.frame_levels(F.col("embedding"), 8, 4)).alias("frame", "level"))
     return rows.withColumn("level", F.round("level", 5))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import latin
 from corpusloom.operators import joins, stats
-from corpusloom.plans.registry import Registry, table
+from corpusloom.plans.registry import Registry, table, texts
 
 Q = Registry()
 
@@ -18,7 +18,7 @@ WORD = "[a-z]+"
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
+    return texts(spark, sf_dir)
 
 
 def _action(c):
@@ -307,16 +307,13 @@ def word_class_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
 @Q.add(f"""
 WITH d AS (SELECT doc_id, {_SPLIT_SQL.format('text')} AS a, {_SPLIT_SQL.format(_COPY)} AS b FROM documents),
 z AS (SELECT doc_id, unnest(a) AS a, unnest(b) AS b, generate_subscripts(a, 1) - 1 AS position FROM d WHERE len(a) = len(b)),
-e AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY position) AS r FROM z WHERE lower(a) <> lower(b))
-SELECT doc_id, CAST(position AS INT) AS position, a, b FROM e WHERE r <= 5
+e AS (SELECT * FROM z WHERE lower(a) <> lower(b))
+SELECT doc_id, CAST(position AS INT) AS position, a, b FROM e
 """)
 def word_zip_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first five words of each text that differ from its changed copy."""
-    from pyspark.sql import Window
-
+    """All words of each text that differ from its changed copy, with their places."""
     docs = _docs(spark, sf_dir).withColumn("copy", F.expr(_COPY))
-    z = joins.zip_words(docs, "text", "copy", ["doc_id"]).where("lower(a) <> lower(b)")
-    return z.withColumn("r", F.row_number().over(Window.partitionBy("doc_id").orderBy("position"))).where("r <= 5").drop("r")
+    return joins.zip_words(docs, "text", "copy", ["doc_id"]).where("lower(a) <> lower(b)")
 
 
 _CHECKS_SQL = """CASE WHEN length(text) < 60 THEN 'short_text' END AS r1, CASE WHEN regexp_matches(text, '[0-9]') THEN 'has_digit' END AS r2,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import keys, latin, numbers, phonetics, punctuation, repair
 from corpusloom.operators import gates, retry, stats
-from corpusloom.plans.registry import Registry, table
+from corpusloom.plans.registry import Registry, table, texts
 
 Q = Registry()
 
@@ -250,7 +250,7 @@ def retry_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
 @Q.add()
 def normalize_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document normalised: numbers spoken, Latin words in Arabic letters, punctuation settled."""
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir)
     return docs.select("doc_id", punctuation.normalize_text(F.col("text"), "egy").alias("normal"))
 
 
@@ -258,7 +258,7 @@ def normalize_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
 def word_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens and ids of every distinct word of the corpus: each word is read once, however often it stands."""
     found = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))
-    words = table(spark, sf_dir, "documents").select(F.explode(found).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    words = texts(spark, sf_dir).select(F.explode(found).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
     read = phonetics.with_tokens(words.withColumn("arabic", latin.transliterate_word(F.col("w"))), "arabic", "egy")
     ids = phonetics.token_ids(F.col("tokens"))
     return read.select("w", "n", F.array_join("tokens", " ").alias("tokens"), F.array_join(F.transform(ids, lambda i: i.cast("string")), " ").alias("ids"))
@@ -267,7 +267,7 @@ def word_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 @Q.add()
 def repair_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The repair layer over every sentence-sized unit of the corpus in Arabic letters, by language."""
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir)
     lines = docs.select("lang", F.explode(F.split("text", "\n")).alias("line")).where("trim(line) <> ''")
     units = lines.select("lang", latin.transliterate(F.lower("line")).alias("raw"))
     done = units.select("lang", repair.repair_udf(LEXICON)("raw", "raw").alias("r"))

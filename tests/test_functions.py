@@ -31,7 +31,9 @@ def test_number_words_agree_with_running_text(spark, n):
 def test_numbers_without_a_reading(spark):
     assert one(spark, numbers.number_words(F.lit(10**12))) is None
     assert one(spark, numbers.number_words(F.lit(-1))) is None
-    assert numbers.speak_numbers("1000%") is None
+    # A number without a reading keeps its digits, and the rest of the text is read all the same.
+    assert numbers.speak_numbers("1000%") == "1000%"
+    assert numbers.speak_numbers("5 1234.5 " + "7" * 5000) == f"{numbers.speak_numbers('5')} 1234.5 " + "7" * 5000
     assert numbers.speak_numbers(None) is None
 
 
