@@ -229,31 +229,41 @@ def definite_spaced(form: Column) -> Column:
     return F.array_join(F.transform(words(form), definite), " ")
 
 
-#: Families of suffixes that a stem may carry, by name.
-SUFFIX_FAMILIES = {
-    "none": "",
-    "taa": "[ةه]",
-    "plural_f": "ات",
-    "plural_m": "ين|ون",
-    "dual": "ان|تين",
-    "nisba": "ي|ية",
-    "poss_1": "ي|نا",
-    "poss_2": "ك|كم|كي",
-    "poss_3": "ه|ها|هم|هن",
-    "adverb": "ا",
-    "verb_past": "ت|تم|وا",
-    "verb_neg": "ش",
-    "verb_obj": "ني|ها|هم",
+# Pronouns that a stem may carry; stems by name with what a candidate is and which candidates are the stem itself.
+_PRONOUNS = "ه|ها|ك|كي|كم|هم|هن|نا|ي|يه|يها"
+STEMS = {
+    "دين": ("^دين", f"^دين(?:{_PRONOUNS})?$"),
+    "حساب": ("^حساب", f"^حساب(?:{_PRONOUNS})?$|^حسابات"),
+    "نار": ("^نار", f"^نار(?:{_PRONOUNS})?$"),
+    "بركة": ("^برك", "^بركه|^بركات"),
+    "عقاب": ("^عقاب", f"^عقاب(?:{_PRONOUNS})?$"),
+    "عقبة": ("^عقب", "^عقبه"),
+    "وحي": ("^وحي", f"^وحي(?:{_PRONOUNS})?$"),
+    "آخرة": ("اخره", "اخره"),
+    "نبي": ("نبي", "نبي"),
+    "قضاء": ("^قضاء", f"^قضاء(?:.(?:{_PRONOUNS}))?$"),
+    "قدر": ("^قدر", f"^قدر(?:{_PRONOUNS})?$"),
+    "رب": ("^رب", "^(?:رب|ربي)$|^ربنا"),
+    "صلاة": ("^صلا", "^صلا"),
 }
 
 
-def suffix_family(skel: Column, stem: str) -> Column:
-    """First suffix family in which a skeleton is the stem with that suffix, null if none."""
-    out = None
-    for name, suffix in SUFFIX_FAMILIES.items():
-        hit = skel.rlike(f"^{_quoted(stem)}(?:{suffix})$")
-        out = F.when(hit, name) if out is None else out.when(hit, name)
-    return out
+def stem_candidates(key: Column) -> Column:
+    """Every stem that a folded key is a candidate of: array of (stem, genuine)."""
+    each = F.array(
+        *(
+            F.when(key.rlike(near), F.struct(F.lit(name).alias("stem"), key.rlike(true).alias("genuine")))
+            for name, (near, true) in STEMS.items()
+        )
+    )
+    return F.array_compact(each)
+
+
+def valid_list_form(form: Column) -> Column:
+    """Whether a form may enter a list: Arabic letters, marks and single spaces, and letters that remain without marks."""
+    return F.coalesce(
+        form.rlike("^[\u0621-\u0655\u0670 ]+$") & (skeleton(form) != "") & ~form.contains("  "), F.lit(False)
+    )
 
 
 def decision_trace(word: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.keys import LETTERS_TATWEEL, MARKS, strip_marks, words
@@ -34,6 +34,34 @@ def tanween_gate(out: Column, closed: list[str]) -> Column:
     return ~out.rlike("[ٌٍ]") & F.forall(marked, ok)
 
 
+def measured(out: Column, raw: Column, closed: list[str], least: float = 1.2) -> Column:
+    """The four gates as they are reported: each as a boolean, with the marks for each word.
+
+    Stricter than the gates of a run: a ة at the end of a word carries no mark at all,
+    and a text is dense enough from `least` marks a word on.
+    """
+    arabic = F.size(F.filter(words(out), lambda w: w.rlike("[ء-ي]")))
+    marks = F.regexp_count(out, F.lit(f"[{MARKS}]"))
+    density = F.round(F.when(arabic > 0, marks / arabic).otherwise(0.0), 2)
+    return F.struct(
+        skeleton_gate(out, raw).alias("skeleton"),
+        tanween_gate(out, closed).alias("tanween"),
+        (~out.rlike(r"ة[ً-ْ]+(?:\s|$)")).alias("taa"),
+        (density >= least).alias("dense"),
+        density.alias("density"),
+    )
+
+
+def before_and_after(df: DataFrame, raw: str, before: str, after: str, closed: list[str]) -> DataFrame:
+    """How many texts pass each gate before and after a layer: one row a gate."""
+    names = ("skeleton", "tanween", "taa", "dense")
+    rows = df.select(*(measured(F.col(c), F.col(raw), closed).alias(k) for k, c in (("b", before), ("a", after))))
+    sums = rows.agg(F.count("*").alias("units"), *(F.count_if(F.col(f"{k}.{g}")).alias(f"{k}_{g}") for k in "ba" for g in names)).select(
+        F.explode(F.array(*(F.struct(F.lit(g).alias("gate"), "units", F.col(f"b_{g}").alias("before"), F.col(f"a_{g}").alias("after")) for g in names))).alias("g")
+    )
+    return sums.select("g.*")
+
+
 def density_gate(out: Column) -> Column:
     """At least five marks and 1.2 marks for each word with an Arabic letter."""
     arabic = F.size(F.filter(words(out), lambda w: w.rlike("[ء-ي]")))

@@ -131,3 +131,33 @@ def two_sided_difference(left: DataFrame, right: DataFrame, key: str) -> DataFra
     return a.join(b, key, "left_anti").withColumn("side", F.lit("left")).unionByName(
         b.join(a, key, "left_anti").withColumn("side", F.lit("right"))
     )
+
+
+def phrase_spans(df: DataFrame, row: list[str], found: Column, phrases: DataFrame) -> DataFrame:
+    """Where phrases stand in texts: row, phrase, start (the number of the first word).
+
+    found: the words of a text; phrases: phrase (a name) and pattern (array of words). Spans
+    of one phrase do not overlap, from left to right; those of different phrases may. The
+    phrases are looked up by their first word and verified on the words behind it.
+    """
+    texts = df.select(*row, found.alias("__w"))
+    first = small(phrases.where(F.size("pattern") > 0).select("phrase", "pattern", F.col("pattern")[0].alias("__first")).distinct())
+    at = texts.select(*row, "__w", F.posexplode("__w").alias("__at", "__word")).join(first, F.col("__word") == F.col("__first"))
+    hits = at.where(F.slice("__w", F.col("__at") + 1, F.size("pattern")) == F.col("pattern"))
+    grouped = hits.groupBy(*row, "phrase").agg(F.max(F.size("pattern")).alias("__k"), F.array_sort(F.collect_list("__at")).alias("__p"))
+    none = F.array().cast("array<int>")
+    kept = F.aggregate(
+        "__p", none, lambda acc, p: F.when((F.size(acc) == 0) | (p >= F.element_at(acc, -1) + F.col("__k")), F.concat(acc, F.array(p))).otherwise(acc)
+    )
+    # A single span needs no fold.
+    return grouped.select(*row, "phrase", F.explode(F.when(F.size("__p") == 1, F.col("__p")).otherwise(kept)).alias("start"))
+
+
+def rows_not_in(df: DataFrame, other: DataFrame) -> DataFrame:
+    """Rows of df that equal no row of `other` in all columns, nulls equal to nulls; repeats stay."""
+    right = other.select(*(F.col(c).alias(f"__r_{c}") for c in df.columns)).distinct()
+    same = [F.col(c).eqNullSafe(F.col(f"__r_{c}")) for c in df.columns]
+    on = same[0]
+    for s in same[1:]:
+        on &= s
+    return df.join(right, on, "left_anti")

@@ -132,8 +132,37 @@ def keyed_sample(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
 
 
 def keyed_split(key: Column, percent: int) -> Column:
-    """train or val by a stable hash of the key."""
-    return F.when(F.pmod(F.xxhash64(key), F.lit(100)) < percent, "train").otherwise("val")
+    """train or val by a hash of the key that any engine can take again (the first 32 bits of its MD5)."""
+    part = F.conv(F.substring(F.md5(key.cast("string").cast("binary")), 1, 8), 16, 10).cast("long")
+    return F.when(part % 100 < percent, "train").otherwise("val")
+
+
+def number_on(df: DataFrame, order: str, known: DataFrame, column: str) -> DataFrame:
+    """df with `seq`: numbers that go on from the largest one of `known` (0 where there is none)."""
+    last = known.agg(F.coalesce(F.max(column), F.lit(-1))).first()[0]
+    return positions(df, order).withColumn("seq", F.col("position") + (last + 1)).drop("position")
+
+
+def largest_first(df: DataFrame, size: str, key: str) -> DataFrame:
+    """Work in the order in which it is to be started: the largest first, ties by key."""
+    return df.orderBy(F.desc(size), key)
+
+
+def by_length(df: DataFrame, batch: str, length: str, key: str) -> DataFrame:
+    """Rows of each batch by descending length, with their place in it."""
+    return df.withColumn("place", F.row_number().over(Window.partitionBy(batch).orderBy(F.desc(length), key)) - 1)
+
+
+def head_without(df: DataFrame, key: str, excluded: DataFrame, n: int) -> DataFrame:
+    """The first n rows by key that are not excluded."""
+    return df.join(excluded.select(key).distinct(), key, "left_anti").orderBy(key).limit(n)
+
+
+def fixed_subset(df: DataFrame, key: str, keys: list) -> DataFrame:
+    """The rows of a fixed list of keys, with their place in the list."""
+    spark = df.sparkSession
+    listed = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], T.StructType([T.StructField(key, df.schema[key].dataType), T.StructField("place", T.IntegerType())]))
+    return df.join(F.broadcast(listed), key)
 
 
 def _batches(groups: int, cap: int):

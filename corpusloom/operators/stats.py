@@ -111,7 +111,7 @@ def form_consistency(df: DataFrame, key: str, form: str, ordinal: str, unit: str
     )
     place = F.row_number().over(Window.partitionBy(key, form).orderBy(ordinal))
     first = df.select(key, form, ordinal, unit).withColumn("__r", place).where(F.col("__r") <= samples)
-    rows = first.groupBy(F.col(key).alias("__k"), F.col(form).alias("__f")).agg(F.array_sort(F.collect_list(F.struct(ordinal, unit))).alias("s"))
+    rows = first.groupBy(F.col(key).alias("__k"), F.col(form).alias("__f")).agg(F.array_sort(F.collect_list(F.struct(F.col(ordinal).alias("o"), F.col(unit).alias("u")))).alias("s"))
     return tops.join(rows, (F.col(key) == F.col("__k")) & (F.col("top.form") == F.col("__f"))).select(
         key,
         "total",
@@ -119,7 +119,7 @@ def form_consistency(df: DataFrame, key: str, form: str, ordinal: str, unit: str
         F.col("top.form").alias("majority"),
         F.col("top.n").alias("majority_n"),
         (F.col("top.n") / F.col("total")).alias("consistency"),
-        F.transform("s", lambda x: x[unit]).alias("samples"),
+        F.transform("s", lambda x: x["u"]).alias("samples"),
     )
 
 
@@ -187,3 +187,78 @@ def reason_class(reason: Column) -> Column:
             hit = hit | reason.contains(s)
         tests.append((name, hit))
     return F.coalesce(first_reason(tests), F.lit("OTHER"))
+
+
+def best_form(df: DataFrame, key: str, form: str, deep: str, ordinal: str) -> DataFrame:
+    """Per key the most frequent deep form, failing that the most frequent one; ties go to the first seen."""
+    counts = df.groupBy(key, form, deep).agg(F.count("*").alias("n"), F.min(ordinal).alias("first"))
+    best = F.max_by(F.struct(form, "n", deep), F.struct(F.col(deep).cast("int").alias("d"), "n", (-F.col("first")).alias("f")))
+    return counts.groupBy(key).agg(best.alias("b")).select(key, f"b.{form}", "b.n", f"b.{deep}")
+
+
+def worst_case(highest: list[str], lowest: list[str]) -> list[Column]:
+    """The worst value of each measure: the highest of some, the lowest of others; nulls are passed over."""
+    return [F.max(c).alias(c) for c in highest] + [F.min(c).alias(c) for c in lowest]
+
+
+def environments(df: DataFrame, key: str, form: str, environment: str, ordinal: str, unit: str, samples: int = 2) -> DataFrame:
+    """Per key: occurrences, forms and environments with their counts, and the first units."""
+    counts = df.groupBy(key, form, environment).agg(F.count("*").alias("n"))
+    listed = lambda c: F.array_sort(F.collect_list(F.struct(c, "n")))
+    forms = counts.groupBy(key, form).agg(F.sum("n").alias("n")).groupBy(key).agg(F.sum("n").alias("total"), listed(form).alias("forms"))
+    places = counts.groupBy(F.col(key).alias("__k"), environment).agg(F.sum("n").alias("n")).groupBy("__k").agg(listed(environment).alias("environments"))
+    nth = F.row_number().over(Window.partitionBy(key).orderBy(ordinal))
+    first = df.select(key, ordinal, unit).withColumn("__r", nth).where(F.col("__r") <= samples)
+    units = first.groupBy(F.col(key).alias("__u")).agg(F.array_sort(F.collect_list(F.struct(F.col(ordinal).alias("o"), F.col(unit).alias("u")))).alias("s"))
+    return (
+        forms.join(places, F.col(key) == F.col("__k"))
+        .join(units, F.col(key) == F.col("__u"))
+        .select(key, "total", "forms", "environments", F.transform("s", lambda x: x["u"]).alias("samples"))
+    )
+
+
+def repeated_words(df: DataFrame, key: str, form: str, least: int = 2) -> DataFrame:
+    """Keys that occur at least `least` times: whether always in one form, and in how many."""
+    counts = df.groupBy(key, form).agg(F.count("*").alias("n"))
+    return (
+        counts.groupBy(key).agg(F.sum("n").alias("total"), F.count("*").alias("forms")).where(F.col("total") >= least)
+        .withColumn("consistent", F.col("forms") == 1)
+    )
+
+
+def class_rates(df: DataFrame, cls: str, value: str, hit: Column, near: Column, least: float) -> DataFrame:
+    """Per class: mean value, share of values from `least` on, share of hits, and of hits among those with something near."""
+    return df.groupBy(cls).agg(
+        F.count("*").alias("n"),
+        F.avg(value).alias("mean"),
+        F.avg((F.col(value) >= least).cast("int")).alias("share_high"),
+        F.avg(hit.cast("int")).alias("hit_rate"),
+        F.avg(F.when(near, hit.cast("int"))).alias("hit_rate_near"),
+    )
+
+
+def ranked_by(df: DataFrame, key: str, amount: str, k: int) -> DataFrame:
+    """The k keys with the largest sums; of equal sums the smaller key first."""
+    return df.groupBy(key).agg(F.sum(amount).alias("total")).orderBy(F.desc("total"), key).limit(k)
+
+
+def all_hold(groups: DataFrame, df: DataFrame, key: str, test: Column) -> DataFrame:
+    """Per group whether every row passes; a group without rows does not."""
+    held = df.groupBy(F.col(key).alias("__k")).agg(F.bool_and(test).alias("__all"))
+    return groups.join(held, F.col(key) == F.col("__k"), "left").select(key, F.coalesce("__all", F.lit(False)).alias("all_hold"))
+
+
+def status_shape(df: DataFrame, part: str, status: str, good: str, bad: str) -> DataFrame:
+    """Counts of each status in each part and over all (part null), with the share of good among good and bad."""
+    counts = df.groupBy(part, status).agg(F.count("*").alias("n"))
+    totals = counts.groupBy(status).agg(F.sum("n").alias("n")).select(F.lit(None).cast(df.schema[part].dataType).alias(part), status, "n")
+    per = counts.unionByName(totals)
+    of = lambda s: F.coalesce(F.sum(F.when(F.col(status) == s, F.col("n"))), F.lit(0))
+    rate = per.groupBy(F.col(part).alias("__p")).agg((of(good) / F.nullif(of(good) + of(bad), F.lit(0))).alias("success"))
+    return per.join(rate, F.col(part).eqNullSafe(F.col("__p"))).drop("__p")
+
+
+def cascade(df: DataFrame, rules: list[tuple[str, Column]], key: str) -> DataFrame:
+    """key, reason and done of rows in the order of the rules: a row that a rule drops is done, one that passes is still to do."""
+    reason = first_reason(rules)
+    return df.select(key, reason.alias("reason"), reason.isNotNull().alias("done"))

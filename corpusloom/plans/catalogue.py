@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from corpusloom.plans import report_queries, sequence_queries, table_queries, text_queries, voice_queries
+from corpusloom.plans import layer_queries, report_queries, sequence_queries, table_queries, text_queries, voice_queries
 from corpusloom.plans.registry import Query
 
-_PARTS = (text_queries.Q, table_queries.Q, sequence_queries.Q, voice_queries.Q, report_queries.Q)
+_PARTS = (text_queries.Q, table_queries.Q, sequence_queries.Q, voice_queries.Q, report_queries.Q, layer_queries.Q)
 
 
 def queries() -> dict[str, Query]:

@@ -7,7 +7,7 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.functions import segment
+from corpusloom.functions import latin, segment
 from corpusloom.operators import joins, sequence
 from corpusloom.plans.registry import Registry, table, texts
 from corpusloom.streaming import chunks
@@ -118,12 +118,6 @@ def shard_ntile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequence.contiguous_shards(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", 16)
 
 
-@Q.add("SELECT doc_id, CASE WHEN doc_id % 20 = 0 THEN 'val' ELSE 'train' END AS split FROM documents")
-def hash_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A split that can be made again: by the id itself here, by its hash for ids that are not dealt evenly."""
-    return table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 20 == 0, "val").otherwise("train").alias("split"))
-
-
 @Q.add("""
 WITH RECURSIVE o AS (SELECT source, doc_id, n_chars, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents),
 b AS (SELECT source, doc_id, i, n_chars AS held, 0 AS batch FROM o WHERE i = 1
@@ -152,9 +146,9 @@ def sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @Q.add()
 def chunks_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks of 12 to 144 words of every document."""
-    docs = texts(spark, sf_dir)
-    return docs.select("doc_id", F.posexplode(segment.batch_chunks_udf(144, speech_only=False)("text")).alias("k", "chunk"))
+    """Chunks of at most 160 words of every document, by the batch chunker, in Arabic letters."""
+    docs = texts(spark, sf_dir).select("doc_id", latin.transliterate(F.col("text")).alias("text"))
+    return docs.select("doc_id", F.posexplode(segment.batch_chunks_udf(160)("text")).alias("k", "chunk"))
 
 
 @Q.add(r"""

@@ -3,16 +3,21 @@
 from __future__ import annotations
 
 import ast
+import io
 import json
 import os
 import re
 import shutil
 import time
 import urllib.request
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from corpusloom.functions.signal import read_wav, wav_header
@@ -92,25 +97,83 @@ def finished_files(spark: SparkSession, path: str, suffix: str) -> DataFrame:
     return files.where(F.col("path").endswith(suffix) & (F.col("length") > 0)).select(name.alias("name"), "length")
 
 
+def read_csv_inferred(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
+    """A file with a header whose types are read off its values."""
+    return spark.read.csv(path, header=True, inferSchema=True, sep=sep, quote='"', escape='"', multiLine=True)
+
+
+def read_lookup(spark: SparkSession, path: str, schema: str, field: str) -> DataFrame:
+    """One field of a JSON document as look-up rows: the entries of a list (value) or of a map (key, value)."""
+    doc = spark.read.schema(schema).json(path, multiLine=True)
+    if isinstance(doc.schema[field].dataType, T.MapType):
+        return doc.select(F.explode(field).alias("key", "value"))
+    return doc.select(F.explode(field).alias("value"))
+
+
+def read_lines_in_order(spark: SparkSession, path: str) -> DataFrame:
+    """file, line (from 0 in each file) and value of all text files, to be ordered by file name, then line."""
+    rows = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("__block"),
+        F.monotonically_increasing_id().alias("__id"),
+        "value",
+    )
+    place = F.row_number().over(Window.partitionBy("file").orderBy("__block", "__id")) - 1
+    return rows.select("file", place.alias("line"), "value")
+
+
+def read_tensors(spark: SparkSession, path: str) -> DataFrame:
+    """path, name, shape and values (row by row) of every array in NPZ files."""
+
+    def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+                with np.load(io.BytesIO(content.as_py()), allow_pickle=False) as found:
+                    for name in found.files:
+                        x = found[name]
+                        yield pa.RecordBatch.from_arrays(
+                            [
+                                pa.array([file]),
+                                pa.array([name]),
+                                pa.array([list(x.shape)], pa.list_(pa.int64())),
+                                pa.array([np.asarray(x, np.float64).ravel()], pa.list_(pa.float64())),
+                            ],
+                            names=["path", "name", "shape", "values"],
+                        )
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files.mapInArrow(arrays, "path string, name string, shape array<long>, values array<double>")
+
+
+def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for file, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+            x, rate = read_wav(content.as_py())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([file]), pa.array([rate], pa.int32()), pa.array([x.astype("float32")], pa.list_(pa.float32()))],
+                names=["path", "rate", "samples"],
+            )
+
+
 def read_audio(spark: SparkSession, path: str) -> DataFrame:
     """path, rate and samples of wave files."""
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files.mapInArrow(_decoded, "path string, rate int, samples array<float>")
 
-    @F.udf("rate int, samples array<float>")
-    def decode(content):
-        x, rate = read_wav(bytes(content))
-        return rate, x.astype("float32").tolist()
 
-    return spark.read.format("binaryFile").load(path).select("path", decode("content").alias("a")).select("path", "a.*")
+def _probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        heads = [wav_header(c.as_py()) for c in batch.column("content")]
+        cols = list(zip(*heads, strict=True)) if heads else [[]] * 4
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("path"), *(pa.array(c, pa.int32()) for c in cols)], names=["path", "frames", "rate", "channels", "width"]
+        )
 
 
 def probe_audio(spark: SparkSession, path: str) -> DataFrame:
-    """path, frames, rate, channels and bytes of a sample, from the headers only."""
-
-    @F.udf("frames int, rate int, channels int, width int")
-    def probe(content):
-        return wav_header(bytes(content))
-
-    return spark.read.format("binaryFile").load(path).select("path", probe("content").alias("h")).select("path", "h.*")
+    """path, frames, rate, channels and bytes of a sample."""
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files.mapInArrow(_probed, "path string, frames int, rate int, channels int, width int")
 
 
 def fetch(url: str, path: str, tries: int = 5, first: float = 1.0, sleep=time.sleep) -> int:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,3 +59,20 @@ def source_literal(df: DataFrame, name: str, key: str, value: str) -> DataFrame:
 def append_log(stream: DataFrame, path: str, checkpoint: str):
     """A streaming DataFrame appended to CSV files, resumable; returns the query."""
     return stream.writeStream.format("csv").option("header", True).option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def write_json_array(df: DataFrame, path: str) -> None:
+    """All records as one JSON array in one file, streamed through a single task a row at a time."""
+
+    def bracketed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lead = "["
+        for batch in batches:
+            out = []
+            for record in batch.column(0).to_pylist():
+                out.append(lead + record if record else "]" if lead == "," else "[]")
+                lead = ","
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
+
+    records = df.select(F.to_json(F.struct(*df.columns)).alias("value"))
+    end = df.sparkSession.range(1, numPartitions=1).select(F.lit(None).cast("string").alias("value"))
+    records.unionByName(end).coalesce(1).mapInArrow(bracketed, "value string").write.mode("overwrite").text(path)
