@@ -5,15 +5,17 @@ lanes, and step t codes the t-th id of every lane at once with array operations.
 All lanes of a block share the models, which learn after every step, so a
 decoder that repeats the steps has the same state.
 
-Three predictions are mixed. Order 2 and order 1 each name one id for the last
-two ids and the last id, with a confidence; order 0 is the adaptive frequency of
-all ids. For each pair of confidences the coder learns how often order 2 is
-right, how often order 1 is right where order 2 is not, and how often neither;
-these weights are coded first, and order 0 codes the id where both fail.
+Order 2 and order 1 each name the id that last followed the last two ids and the
+last id, with a confidence. Order 1 and order 0 are also adaptive distributions:
+the frequencies of the ids that followed the last id, and of all ids. For each
+pair of confidences, and for contexts with and without a distribution, the coder
+learns how much to trust each of the four: that share of the range is theirs, and
+an id is coded in the share of the first that holds it.
 
 Block layout, little-endian: magic, ids, alphabet, lanes, steps, words,
 CRC-32 of all other fields and what follows, CRC-32 of the ids, words of each
-lane (u16), words (u16).
+lane (u16), words (u16). Where the largest id is MAX_ALPHABET or more, the block
+is preceded by a table of the ids that occur and codes their places in it.
 """
 
 from __future__ import annotations
@@ -28,7 +30,14 @@ _HEAD = struct.Struct("<4sIIIIIII")
 MAX_LANES = 4096
 STEPS = 256
 MAX_IDS = MAX_LANES * STEPS
+#: Ids below it are coded as they are, others by their places in a table of the block.
 MAX_ALPHABET = 1 << 18
+TABLE_MAGIC = b"CLRT"
+_TABLE = struct.Struct("<4sIII")
+#: Steps after which the distributions of order 1 are counted anew.
+_COUNTED = frozenset((8, 16, 32, 64, 96, 128, 192))
+#: Sizes of the encoder's look-up tables of pairs.
+_PAIR_BITS = (19, 17)
 
 _U = np.uint64
 _TOP, _BOT = _U(1 << 48), _U(1 << 32)
@@ -38,6 +47,8 @@ _LOW_MASK, _S16, _S48 = _U((1 << 32) - 1), _U(16), _U(48)
 _FLAG_BITS, _ZERO_BITS = 10, 19
 _ORDER2_BITS = 18
 _CONF = 4
+#: Order 2's id, order 1's id, order 1's distribution, order 0's distribution.
+_WAYS = 4
 _UNIT = _U(_FLAG_BITS + _ZERO_BITS)
 
 
@@ -52,9 +63,14 @@ class _Models:
         self.alphabet = alphabet
         self.order1 = np.full(alphabet + 1, -_CONF, np.int32)
         self.order2 = np.full(1 << _ORDER2_BITS, -_CONF, np.int32)
-        # By confidences: order 2 right, order 1 right, neither.
-        self.hits = np.ones((_CONF * _CONF, 3), np.int64)
-        self.hits[:, 2] = 2
+        # By confidences and whether order 1 has a distribution: order 2 right, order 1
+        # right, in order 1's distribution, none of these.
+        self.hits = np.ones((2 * _CONF * _CONF, _WAYS), np.int64)
+        self.hits[:, 2:] = 2
+        self.has = np.zeros(alphabet + 1, np.int64)
+        self.pairs = self.pair_at = np.zeros(0, np.int64)
+        self.pair_size = self.slots = np.zeros(0, np.int64)
+        self.history: list[tuple[np.ndarray, np.ndarray]] = []
         self.seen = np.zeros(alphabet, np.int64)
         self.pending: list[np.ndarray] = []
         self.symbols = symbols
@@ -72,12 +88,66 @@ class _Models:
             kind = np.uint16 if self.alphabet <= 1 << 16 else np.uint32
             self.symbol = np.repeat(np.arange(self.alphabet, dtype=kind), self.width)
         total = self.hits.sum(1, keepdims=True)
-        share = self.hits * ((1 << _FLAG_BITS) - 3) // total + 1
-        share[:, 2] = (1 << _FLAG_BITS) - share[:, 0] - share[:, 1]
-        start = np.concatenate([np.zeros((_CONF * _CONF, 1), np.int64), np.cumsum(share, 1)], 1)
-        self.flag_start = start[:, :3].reshape(-1).copy()
+        share = self.hits * ((1 << _FLAG_BITS) - _WAYS) // total + 1
+        share[:, -1] = (1 << _FLAG_BITS) - share[:, :-1].sum(1)
+        start = np.concatenate([np.zeros((len(share), 1), np.int64), np.cumsum(share, 1)], 1)
+        self.flag_start = start[:, :_WAYS].reshape(-1).copy()
         self.flag_size = share.reshape(-1).copy()
-        self.second, self.third = start[:, 1].copy(), start[:, 2].copy()
+        self.edges = [start[:, k].copy() for k in range(1, _WAYS)]
+
+    def count_pairs(self) -> None:
+        """Distributions of order 1 from all steps so far: each context's ids in a row, their shares of 2 ** _ZERO_BITS."""
+        wide = self.alphabet > 1 << 16
+        kind, shift = (np.uint64, 32) if wide else (np.uint32, 16)
+        new = [a.astype(kind) << kind(shift) | x.astype(kind) for a, x in self.history]
+        keys = np.sort(np.concatenate(new))
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        n = np.diff(np.append(first, len(keys)))
+        # An id that followed only once is left to order 0.
+        keys, n = keys[first[n > 1]], n[n > 1]
+        a, x = (keys >> kind(shift)).astype(np.int64), (keys & kind((1 << shift) - 1)).astype(np.int64)
+        begin = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]])) if len(a) else np.zeros(0, np.int64)
+        m = np.diff(np.append(begin, len(a)))
+        total = np.add.reduceat(n, begin) if len(a) else n
+        size = n * np.repeat(((1 << _ZERO_BITS) - m), m) // np.repeat(total, m) + 1
+        upto = np.cumsum(size)
+        at = upto - size
+        at -= np.repeat(at[begin], m)
+        # What rounding left goes to the last id of a context.
+        last = begin + m - 1
+        size[last] = (1 << _ZERO_BITS) - at[last]
+        self.has[:] = 0
+        self.has[a] = 1
+        self.pairs, self.pair_at, self.pair_size = a << 32 | x, at, size
+        if self.symbols:
+            self.slots = a << _ZERO_BITS | at
+        else:
+            # Pairs that another one drives out of the first table stand in the second one.
+            self.number = []
+            left = np.arange(len(a))
+            for bits in _PAIR_BITS:
+                number = np.full(1 << bits, -1, np.int32)
+                slot = _pair_slot(a[left], x[left], bits)
+                number[slot] = left
+                left = left[number[slot] != left]
+                self.number.append(number)
+
+    def in_pairs(self, a: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """Number of each pair (last id, id) in the distributions, -1 without.
+
+        The few that are driven out of both tables are not found; the encoder has order 0 for them.
+        """
+        if not len(self.pairs):
+            return np.full(len(x), -1)
+        key = a.astype(np.int64) << 32 | x
+        out = np.full(len(x), -1)
+        left = np.arange(len(x))
+        for number, bits in zip(self.number, _PAIR_BITS, strict=True):
+            i = number[_pair_slot(a[left], x[left], bits)]
+            good = (self.pairs[i] == key[left]) & (i >= 0)
+            out[left[good]] = i[good]
+            left = left[~good]
+        return out
 
     def predict(self, a: np.ndarray, b: np.ndarray):
         """a: the last id, b: the one before it (alphabet: none)."""
@@ -86,18 +156,27 @@ class _Models:
         )
         e2, e1 = self.order2[h], self.order1[a]
         c2, c1 = e2 & (_CONF - 1), e1 & (_CONF - 1)
-        return h, e2, e1, c2, c1, c2 * _CONF + c1
+        return h, e2, e1, c2, c1, (c2 * _CONF + c1) * 2 + self.has[a]
 
     def learn(self, step: int, x, y, a, h, e2, e1, c2, c1, right2, right1, flagged) -> None:
-        self.hits += np.bincount(flagged, minlength=_CONF * _CONF * 3).reshape(-1, 3)
+        self.hits += np.bincount(flagged, minlength=self.hits.size).reshape(-1, _WAYS)
         # Lanes that share a context write one after the other; the last one stays.
         self.order2[h] = np.where(right2, e2 + (c2 < _CONF - 1), np.where(c2 > 0, e2 - 1, y))
         self.order1[a] = np.where(right1, e1 + (c1 < _CONF - 1), np.where(c1 > 0, e1 - 1, y))
         self.pending.append(x)
+        if step:
+            self.history.append((a, x))
+        if step + 1 in _COUNTED:
+            self.count_pairs()
         if step & (step + 1) == 0 or step % 32 == 31:
             self.refresh()
 
 
+def _pair_slot(a: np.ndarray, x: np.ndarray, bits: int) -> np.ndarray:
+    mixed = (a.astype(np.uint32) * np.uint32(0x9E3779B1) + x.astype(np.uint32)) * np.uint32(0x85EBCA6B)
+    return (mixed ^ mixed >> np.uint32(bits - 3)) & np.uint32((1 << bits) - 1)
+
+
 def _shape(n: int) -> tuple[int, int]:
     lanes = min(MAX_LANES, max(1, -(-n // STEPS)))
     return lanes, -(-n // lanes)
@@ -136,7 +215,11 @@ def encode_block(ids: np.ndarray) -> bytes:
     lanes, steps = _shape(n)
     alphabet = int(ids.max()) + 1
     if alphabet > MAX_ALPHABET:
-        raise ValueError(f"ids must be below {MAX_ALPHABET}")
+        known, place = np.unique(ids, return_inverse=True)
+        if len(known) > MAX_ALPHABET:
+            raise ValueError(f"a block holds at most {MAX_ALPHABET} different ids; encode_ids cuts accordingly")
+        table = zlib.compress(np.diff(known, prepend=0).astype("<u4").tobytes())
+        return _TABLE.pack(TABLE_MAGIC, len(known), len(table), zlib.crc32(table)) + table + encode_block(place)
     grid = np.zeros(lanes * steps, np.int32)
     grid[:n] = ids
     grid = np.ascontiguousarray(grid.reshape(lanes, steps).T)
@@ -151,12 +234,20 @@ def encode_block(ids: np.ndarray) -> bytes:
         h, e2, e1, c2, c1, conf = m.predict(a, b)
         y = x * _CONF
         right2, right1 = e2 - c2 == y, e1 - c1 == y
-        miss = ~(right2 | right1)
-        flagged = conf * 3 + miss + ~right2
+        # Where neither named id is right, the distributions give the place and the share.
+        inner, width = np.zeros(k, np.int64), np.full(k, 1 << _ZERO_BITS, np.int64)
+        way = (~right2).astype(np.int64)
+        miss = np.flatnonzero(~(right2 | right1))
+        pair = m.in_pairs(a[miss], x[miss])
+        held = pair >= 0
+        way[miss] = 3 - held
+        inner[miss], width[miss] = m.cum[x[miss]], m.width[x[miss]]
+        first, pair = miss[held], pair[held]
+        inner[first], width[first] = m.pair_at[pair], m.pair_size[pair]
+        flagged = conf * _WAYS + way
         start, size = m.flag_start[flagged], m.flag_size[flagged]
-        below = m.cum[x]
-        share = np.where(miss, m.width[x], 1 << _ZERO_BITS) * size
-        start = (start << _ZERO_BITS) + np.where(miss, below, 0) * size
+        share = width * size
+        start = (start << _ZERO_BITS) + inner * size
         rng >>= _UNIT
         low += rng * start.view(_U)
         rng *= share.view(_U)
@@ -180,6 +271,16 @@ def encode_block(ids: np.ndarray) -> bytes:
 
 def decode_block(block: bytes) -> np.ndarray:
     """The ids of a block; ValueError if it is damaged."""
+    if block[:4] == TABLE_MAGIC and len(block) >= _TABLE.size:
+        _, n, size, crc = _TABLE.unpack_from(block)
+        table = block[_TABLE.size : _TABLE.size + size]
+        if len(table) != size or zlib.crc32(table) != crc:
+            raise ValueError("damaged block")
+        known = np.cumsum(np.frombuffer(zlib.decompress(table), "<u4"), dtype=np.uint32)
+        place = decode_block(block[_TABLE.size + size :])
+        if len(known) != n or len(place) and int(place.max()) >= n:
+            raise ValueError("damaged block")
+        return known[place].astype("<u4")
     if len(block) < _HEAD.size:
         raise ValueError("truncated block")
     magic, n, alphabet, lanes, steps, n_words, body_crc, ids_crc = _HEAD.unpack_from(block)
@@ -208,15 +309,22 @@ def decode_block(block: bytes) -> np.ndarray:
         rng >>= _UNIT
         v = ((code - low) // rng).view(np.int64)
         top = v >> _ZERO_BITS
-        flag = (top >= m.second[conf]).view(np.int8) + (top >= m.third[conf])
-        flagged = conf * 3 + flag
+        way = (top >= m.edges[0][conf]).astype(np.int64) + (top >= m.edges[1][conf]) + (top >= m.edges[2][conf])
+        flagged = conf * _WAYS + way
         start, size = m.flag_start[flagged], m.flag_size[flagged]
-        miss = flag == 2
         rest = (v - (start << _ZERO_BITS)) // size
-        x = np.where(miss, m.symbol[np.where(miss, rest, 0)], np.where(flag == 0, e2, e1) >> 2).astype(np.int32)
-        below = m.cum[x]
-        share = np.where(miss, m.width[x], 1 << _ZERO_BITS) * size
-        start = (start << _ZERO_BITS) + np.where(miss, below, 0) * size
+        x = np.where(way == 0, e2, e1) >> 2
+        inner, width = np.zeros(k, np.int64), np.full(k, 1 << _ZERO_BITS, np.int64)
+        last = np.flatnonzero(way == 3)
+        x[last] = m.symbol[rest[last]]
+        inner[last], width[last] = m.cum[x[last]], m.width[x[last]]
+        first = np.flatnonzero(way == 2)
+        if len(first):
+            pair = np.searchsorted(m.slots, a[first].astype(np.int64) << _ZERO_BITS | rest[first], "right") - 1
+            x[first] = m.pairs[pair] & 0xFFFFFFFF
+            inner[first], width[first] = m.pair_at[pair], m.pair_size[pair]
+        share = width * size
+        start = (start << _ZERO_BITS) + inner * size
         low += rng * start.view(_U)
         rng *= share.view(_U)
         for i, _ in _renormalise(low, rng):
@@ -234,7 +342,8 @@ def decode_block(block: bytes) -> np.ndarray:
 
 def encode_ids(ids: np.ndarray) -> list[bytes]:
     """Blocks of nearly equal length that hold all ids in order."""
-    n = max(1, -(-len(ids) // MAX_IDS))
+    most = MAX_IDS if not len(ids) or int(np.max(ids)) < MAX_ALPHABET else min(MAX_IDS, MAX_ALPHABET)
+    n = max(1, -(-len(ids) // most))
     return [encode_block(part) for part in np.array_split(ids, n)]
 
 

@@ -227,6 +227,26 @@ def test_range_coder_round_trip_and_damage():
     assert len(rc.encode_block(np.array([3, 4] * 50000))) < 200_000 / 20
 
 
+def test_ids_of_any_size_and_what_the_orders_save(docs):
+    from corpusloom.llm import rangecoder
+
+    rng = np.random.default_rng(4)
+    for n, top in ((1, 2**32), (3000, 70_000), (3000, 300_000), (20_000, 2**32), (300_000, 2**31)):
+        ids = rng.integers(0, top, n).astype(np.uint32)
+        assert (rangecoder.decode_ids(rangecoder.encode_ids(ids)) == ids).all()
+    damaged = bytearray(rangecoder.encode_ids(rng.integers(2**20, 2**30, 500).astype(np.uint32))[0])
+    damaged[30] ^= 1
+    with pytest.raises(ValueError):
+        rangecoder.decode_ids([bytes(damaged)])
+    # Against the entropy of the ids alone, which is what a static order 0 needs at least.
+    enc = tokens.Encoder(tokens.vocabulary_path("word_bpe_49k.json"), False)
+    ids, _ = enc.encode([t or "" for _, t in text_of(docs.select("doc_id", "text").collect())])
+    share = np.bincount(ids)[np.unique(ids)] / len(ids)
+    static = -(share * np.log2(share)).sum()
+    coded = rangecoder.encode_ids(ids.astype(np.uint32))
+    assert (rangecoder.decode_ids(coded) == ids).all() and 8 * sum(map(len, coded)) / len(ids) < 0.9 * static
+
+
 def test_blocks_are_read_alone():
     from corpusloom.llm import rangecoder as rc
 
