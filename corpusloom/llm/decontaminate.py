@@ -1,11 +1,14 @@
 """Benchmark decontamination by a prefix-filtered join.
 
-A window of an item occurs in a document only if the window's rarest word does.
-So the words of the benchmark are ordered by how often they occur in the corpus,
-each window keeps the position of its rarest word (the one-token prefix that
-exact containment needs), and only those words are joined with the words of the
-documents. Length and positional bounds drop alignments that cannot hold a whole
-window; the rest are verified word by word over item-sized windows.
+A window of an item occurs in a document only if every two-word shingle of it does.
+So the shingles of the benchmark are ordered by how often they occur in the corpus,
+each window keeps the position of its rarest one (the one-token prefix that exact
+containment needs), and only those are joined with the shingles of the documents. A
+common word is thereby no prefix, unless a whole window is common. Length and
+positional bounds drop alignments that cannot hold a whole window; the rest are
+verified word by word over item-sized windows. Shingles are told by a 64-bit hash;
+what it confuses, the verification tells apart. Windows of one word are their own
+shingle.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ from pyspark.sql import functions as F
 from corpusloom.llm.storage import bounded, materialize
 
 WINDOW = 10
-#: Item words that one broadcast holds; a larger benchmark is joined in blocks.
+#: Shingles that one broadcast holds; a larger benchmark is joined in blocks.
 BLOCK_ROWS = 500_000
 #: Words of a document that share one context array.
 BLOCK_WORDS = 32
@@ -37,12 +40,30 @@ def raw_words(text: Column) -> Column:
     return F.array_remove(F.split(text, SEPARATORS), "")
 
 
-def _blocks(df: DataFrame, key: str, limit: int) -> list[DataFrame]:
-    """df cut by a hash of `key` into parts of about `limit` rows, each to be broadcast."""
+def _blocks(df: DataFrame, limit: int) -> list[DataFrame]:
+    """df cut by a hash of its rows into parts of about `limit` rows, each to be broadcast."""
     n = -(-df.count() // limit) or 1
     if n == 1:
         return [F.broadcast(df)]
-    return [F.broadcast(df.where(F.pmod(F.xxhash64(key), F.lit(n)) == i)) for i in range(n)]
+    keys = [c for c, kind in df.dtypes if not kind.startswith("array")]
+    return [F.broadcast(df.where(F.pmod(F.xxhash64(*keys), F.lit(n)) == i)) for i in range(n)]
+
+
+def _pair(a: Column, b: Column) -> Column:
+    """The shingle of two words, in lower case already."""
+    return F.xxhash64(a, b)
+
+
+def _single(a: Column) -> Column:
+    return F.xxhash64(a, F.lit(""))
+
+
+def _tokens_of(rows: DataFrame, a: Column, b: Column, singles: bool, *keep: str) -> DataFrame:
+    """rows of words (a) and the words behind them (b, null at the end) with their `token`; singles: those of one word too."""
+    pair = F.when(b.isNotNull(), _pair(ascii_lower(a), ascii_lower(b)))
+    if not singles:
+        return rows.select(*keep, pair.alias("token")).where("token is not null")
+    return rows.select(*keep, F.explode(F.array(pair, _single(ascii_lower(a)))).alias("token")).where("token is not null")
 
 
 def _items(benchmark: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
@@ -56,36 +77,42 @@ def _items(benchmark: DataFrame, id_col: str, text_col: str, window: int) -> Dat
     )
 
 
+def _item_tokens() -> Column:
+    """Tokens of an item by position: pairs, or words where a window has only one."""
+    words = F.col("item_words")
+    pairs = F.transform(
+        F.sequence(F.lit(1), F.size(words) - 1), lambda i: _pair(F.element_at(words, i), F.element_at(words, i + 1))
+    )
+    return F.when(F.col("need") >= 2, pairs).otherwise(F.transform(words, _single))
+
+
 def _prefixes(items: DataFrame, rarity: DataFrame, window: int) -> DataFrame:
-    """(word, item, need, at, left, right): each window's rarest word, once a position."""
+    """(token, item, need, at, item_left, item_right): each window's rarest token, once a position."""
     placed = items.select(
-        "item", "item_words", "need", F.posexplode("item_words").alias("at", "word")
-    ).join(F.broadcast(rarity), "word", "left")
+        "item", "item_words", "need", F.posexplode(_item_tokens()).alias("at", "token")
+    ).join(bounded(rarity), "token", "left")
     ordered = placed.groupBy("item", "item_words", "need").agg(
         F.array_sort(
-            F.collect_list(F.struct("at", F.coalesce("n", F.lit(0)).alias("n"), "word"))
+            F.collect_list(F.struct("at", F.coalesce("n", F.lit(0)).alias("n"), "token"))
         ).alias("tokens")
     )
-    ranked = F.transform("tokens", lambda t: F.struct(t["n"], t["word"], t["at"]))
-    starts = F.sequence(F.lit(0), F.size("tokens") - F.col("need"))
+    ranked = F.transform("tokens", lambda t: F.struct(t["n"], t["token"], t["at"]))
+    starts = F.sequence(F.lit(0), F.size("item_words") - F.col("need"))
     rarest = F.array_distinct(
-        F.transform(starts, lambda s: F.array_min(F.slice(ranked, s + 1, F.col("need"))))
+        F.transform(starts, lambda s: F.array_min(F.slice(ranked, s + 1, F.greatest(F.col("need") - 1, F.lit(1)))))
     )
     around = F.col("item_words")
+    before = max(window - 2, 0)
     return ordered.select("item", "item_words", "need", F.explode(rarest).alias("r")).select(
-        F.col("r.word").alias("word"),
+        F.col("r.token").alias("token"),
         "item",
         "need",
         F.col("r.at").alias("at"),
-        # What stands left of the word, nearest first, and right of it.
+        # What stands left of the token, nearest first, and from the token on.
         F.reverse(
-            F.slice(
-                around,
-                F.greatest(F.col("r.at") - (window - 2), F.lit(1)),
-                F.least(F.col("r.at"), F.lit(window - 1)),
-            )
+            F.slice(around, F.greatest(F.col("r.at") - before, F.lit(0)) + 1, F.least(F.col("r.at"), F.lit(before)))
         ).alias("item_left"),
-        F.slice(around, F.col("r.at") + 2, F.lit(window - 1)).alias("item_right"),
+        F.slice(around, F.col("r.at") + 1, F.lit(window)).alias("item_right"),
     )
 
 
@@ -131,16 +158,15 @@ def contamination(
     source = docs.select(F.col(id_col).alias("id"), text.alias("text"))
     words = source.select(raw_words(F.col("text")).alias("words"))
 
-    # Rarity over the whole corpus, of the benchmark's words only.
-    vocabulary = materialize(items.select(F.explode("item_words").alias("word")).distinct(), "vocabulary")
+    singles = items.where("need = 1").limit(1).count() > 0
+    # Rarity over the whole corpus, of the benchmark's shingles only.
+    vocabulary = materialize(items.select(F.explode(_item_tokens()).alias("token")).distinct(), "vocabulary")
+    follows = F.arrays_zip(F.col("words").alias("a"), F.slice("words", F.lit(2), F.greatest(F.size("words"), F.lit(1))).alias("b"))
+    pairs = words.select(F.explode(follows).alias("w"))
     counts = None
-    for block in _blocks(vocabulary, "word", BLOCK_ROWS):
+    for block in _blocks(vocabulary, BLOCK_ROWS):
         part = (
-            words.select(F.explode("words").alias("w"))
-            .select(ascii_lower(F.col("w")).alias("word"))
-            .join(block, "word")
-            .groupBy("word")
-            .agg(F.count("*").alias("n"))
+            _tokens_of(pairs, F.col("w.a"), F.col("w.b"), singles).join(block, "token").groupBy("token").agg(F.count("*").alias("n"))
         )
         counts = part if counts is None else counts.unionByName(part)
     rarity = materialize(counts, "rarity")
@@ -169,24 +195,28 @@ def contamination(
         )
         .select("id", "key", "n_words", F.col("b.s").alias("s"), F.col("b.ctx").alias("ctx"))
     )
-    own = F.slice("ctx", F.least("s", F.lit(near)) + 1, F.lit(BLOCK_WORDS))
+    first = F.least("s", F.lit(near))
+    own = F.arrays_zip(
+        F.slice("ctx", first + 1, F.lit(BLOCK_WORDS)).alias("a"), F.slice("ctx", first + 2, F.lit(BLOCK_WORDS)).alias("b")
+    )
     found = None
-    for block in _blocks(prefixes, "word", BLOCK_ROWS):
+    before = max(window - 2, 0)
+    for block in _blocks(prefixes, BLOCK_ROWS):
         p, q = F.col("p"), F.col("q")
         lower = lambda a: F.transform(a, ascii_lower)
+        rows = blocks.select("id", "key", "n_words", "s", "ctx", F.posexplode(own).alias("j", "w")).where(
+            # The second words of a block reach one further than its own.
+            F.col("w.a").isNotNull()
+        )
         aligned = (
-            blocks.select("id", "key", "n_words", "s", "ctx", F.posexplode(own).alias("j", "w"))
-            .withColumn("word", ascii_lower(F.col("w")))
-            .join(block, "word")
+            _tokens_of(rows, F.col("w.a"), F.col("w.b"), singles, "id", "key", "n_words", "s", "ctx", "j")
+            .join(block, "token")
             .withColumn("p", F.col("s") + F.col("j"))
             .withColumn("q", F.least("s", F.lit(near)) + F.col("j"))
             # Length bound: the document holds a window. Positional bound: the words
-            # on either side of the word, here and in the item, can make up a window.
+            # left of the token and from it on, here and in the item, can make up a window.
             .where(F.col("n_words") >= F.col("need"))
-            .where(
-                F.least(p, F.size("item_left")) + F.least(F.col("n_words") - p - 1, F.size("item_right")) + 1
-                >= F.col("need")
-            )
+            .where(F.least(p, F.size("item_left")) + F.least(F.col("n_words") - p, F.size("item_right")) >= F.col("need"))
             .select(
                 "id",
                 "key",
@@ -194,17 +224,17 @@ def contamination(
                 "need",
                 "p",
                 _same(
-                    F.reverse(lower(F.slice("ctx", F.greatest(q - near, F.lit(0)) + 1, F.least(q, F.lit(near))))),
+                    F.reverse(lower(F.slice("ctx", F.greatest(q - before, F.lit(0)) + 1, F.least(q, F.lit(before))))),
                     F.col("item_left"),
                 ).alias("l"),
-                _same(lower(F.slice("ctx", q + 2, F.lit(near))), F.col("item_right")).alias("r"),
+                _same(lower(F.slice("ctx", q + 1, F.lit(window))), F.col("item_right")).alias("r"),
             )
             # Exact containment: the run of equal words holds a whole window.
-            .where(F.col("l") + F.col("r") + 1 >= F.col("need"))
+            .where((F.col("l") + F.col("r") >= F.col("need")) & (F.col("r") > 0))
         )
         found = aligned if found is None else found.unionByName(aligned)
     spans = (
-        found.select("id", "key", "item", (F.col("p") - F.col("l")).alias("start"), (F.col("p") + F.col("r") + 1).alias("end"))
+        found.select("id", "key", "item", (F.col("p") - F.col("l")).alias("start"), (F.col("p") + F.col("r")).alias("end"))
         .groupBy("id", "key")
         .agg(
             F.array_sort(F.collect_set(F.struct("start", "end", "item"))).alias("spans"),

@@ -227,7 +227,7 @@ def test_range_coder_round_trip_and_damage():
     assert len(rc.encode_block(np.array([3, 4] * 50000))) < 200_000 / 20
 
 
-def test_ids_of_any_size_and_what_the_orders_save(docs):
+def test_ids_of_any_size_and_what_the_orders_save(spark):
     from corpusloom.llm import rangecoder
 
     rng = np.random.default_rng(4)
@@ -240,11 +240,11 @@ def test_ids_of_any_size_and_what_the_orders_save(docs):
         rangecoder.decode_ids([bytes(damaged)])
     # Against the entropy of the ids alone, which is what a static order 0 needs at least.
     enc = tokens.Encoder(tokens.vocabulary_path("word_bpe_49k.json"), False)
-    ids, _ = enc.encode([t or "" for _, t in text_of(docs.select("doc_id", "text").collect())])
+    ids, _ = enc.encode([t or "" for _, t in text_of(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect())])
     share = np.bincount(ids)[np.unique(ids)] / len(ids)
     static = -(share * np.log2(share)).sum()
     coded = rangecoder.encode_ids(ids.astype(np.uint32))
-    assert (rangecoder.decode_ids(coded) == ids).all() and 8 * sum(map(len, coded)) / len(ids) < 0.9 * static
+    assert (rangecoder.decode_ids(coded) == ids).all() and 8 * sum(map(len, coded)) / len(ids) < 0.87 * static
 
 
 def test_blocks_are_read_alone():
