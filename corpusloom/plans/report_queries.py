@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -12,15 +10,11 @@ from corpusloom.operators import reports, sequence
 from corpusloom.plans.registry import Registry, table
 from corpusloom.plans.sequence_queries import _FRAMES_SQL, _RUNS_SQL, _frames, _runs
 from corpusloom.sources import readers, sinks
+from corpusloom.sources.scratch import scratch_path as _scratch
 
 Q = Registry()
 
 
-def _scratch(spark: SparkSession, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="corpusloom-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 @Q.add("""
 SELECT CASE WHEN doc_id % 20 <> 0 AND n_chars <= 3000 AND length(source) <= 4 THEN 'train_pool' WHEN doc_id % 20 <> 0 THEN 'train_borderline' ELSE 'val' END AS pool, count(*) AS n FROM documents GROUP BY pool
 """)

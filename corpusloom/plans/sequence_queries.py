@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -10,6 +9,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import latin, segment
 from corpusloom.operators import joins, sequence
 from corpusloom.plans.registry import Registry, table, texts
+from corpusloom.sources.scratch import scratch_path
 from corpusloom.streaming import chunks
 
 Q = Registry()
@@ -174,10 +174,7 @@ def conversation_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 @Q.add()
 def stream_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of the streamed feeds, by a stateful streaming query that runs to the end of its input."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="corpusloom-")
-    import uuid
-
-    place = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    place = scratch_path(spark, "stream")
     conversation_messages(spark, sf_dir).write.parquet(f"{place}/in")
     source = spark.readStream.schema(chunks.MESSAGE).parquet(f"{place}/in")
     return chunks.run_to_end(spark, chunks.stream_chunks(source), f"{place}/out", f"{place}/state")
