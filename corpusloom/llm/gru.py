@@ -22,8 +22,6 @@ HIDDEN, EMBED, ATTEND = 8, 8, 8
 MAX_WORDS, MAX_GRAMS = 40_000, 60_000
 #: Steps of training at least, however small the sample.
 MIN_STEPS = 300
-#: Windows of one training text.
-TRAIN_WINDOWS = 24
 _CHUNK = 2048
 _GRAM_BITS = 20
 _MARK = np.uint8(1)
@@ -343,8 +341,6 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = 5, seed: int = 13,
             pick, owner = [], []
             for j, d in enumerate(part):
                 own = np.arange(begin[d], begin[d + 1])
-                if len(own) > TRAIN_WINDOWS:
-                    own = rng.choice(own, TRAIN_WINDOWS, replace=False)
                 pick.append(own)
                 owner.append(np.full(len(own), j))
             pick, owner = np.concatenate(pick), np.concatenate(owner)

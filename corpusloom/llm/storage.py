@@ -7,35 +7,15 @@ checkpoint) and, being columnar and compressed, is smaller than what
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A side of a join is broadcast only up to so many rows of narrow columns.
-BROADCAST_ROWS = 500_000
-
-#: Folders of applications whose setting is missing.
-_OWN: dict[str, str] = {}
-
-#: Ends every table path made here, so that clear() touches nothing else.
-_MARK = "corpusloom-scratch"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where the setting is missing (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        app = spark.sparkContext.applicationId
-        if app not in _OWN:
-            _OWN[app] = "file://" + tempfile.mkdtemp(prefix="corpusloom-")
-        found = _OWN[app]
-    return found.rstrip("/")
+from corpusloom.sources.scratch import clear, scratch_path, shared_dir
 
+__all__ = ["BROADCAST_ROWS", "bounded", "clear", "materialize", "scratch_path", "shared_dir", "with_default"]
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{_MARK}/{name}-{uuid.uuid4().hex}"
+#: A side of a join is broadcast only up to so many rows of narrow columns.
+BROADCAST_ROWS = 500_000
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -46,18 +26,6 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def clear(spark: SparkSession) -> None:
-    """Remove every scratch table of this application's shared folder.
-
-    Call it only when no DataFrame made from a scratch table is still to run.
-    """
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{_MARK}")
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if fs.exists(path):
-        fs.delete(path, True)
-
-
 def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it has at most `rows` rows, else as it is.
 

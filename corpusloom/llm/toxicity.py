@@ -61,7 +61,9 @@ def training_sample(
         docs.select(F.col(id_col).alias("doc"), text.alias("text"))
         .where(F.length("text") <= sample.max_chars)
         .join(F.broadcast(drawn), F.col("doc") == F.col("label_id"))
-        .select("rank", "doc", "label", "text")
+        # Of an id with several texts the first one counts: no more rows come than were drawn.
+        .groupBy("rank", "doc", "label")
+        .agg(F.min("text").alias("text"))
         .collect()
     )
     texts, found, seen = [], [], set()
