@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.functions import keys, latin
+from corpusloom.functions import keys, latin, numbers, punctuation
 from corpusloom.operators import gates, joins, sequence, stats, work
 from corpusloom.plans.registry import Registry, table, texts
 from corpusloom.plans.text_queries import _WORDS_SQL, WORD, _bridge_sql, _words
+from corpusloom.plans.voice_queries import _number_sql, _words_sql
 
 Q = Registry()
 
@@ -272,3 +273,111 @@ def simulated_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of every document while it arrives in pieces of 7, 40 and 3 characters, and where the arrival stands."""
     docs = texts(spark, sf_dir)
     return docs.select("doc_id", F.posexplode(work.arrivals_udf([7, 40, 3], 12, 60)("text")).alias("k", "a")).select("doc_id", "k", "a.arrived", "a.consumed", "a.chunk")
+
+
+_MARK_SQL = r"[\x{064B}-\x{0655}\x{0670}]"
+_MARKED_SQL = "regexp_replace(ar, '([بتجدنملرس])', '{one}َ'{all})"
+_EDGE_SQL = "trim({}, '" + keys.EDGE_PUNCT + "')"
+
+
+def _keys_sql() -> str:
+    fold = lambda x: f"translate({x}, 'أإآ', 'ااا')"
+    left = ["CASE WHEN stem <> '' THEN stem END"]
+    left += [f"CASE WHEN starts_with(stem, '{p}') AND length(stem) >= {len(p) + 3} THEN stem[{len(p) + 1}:] END" for p in ("وال", "فال", "بال", "كال", "لل")]
+    left += ["CASE WHEN starts_with(stem, 'ال') AND length(stem) > 4 THEN stem[3:] END"]
+    left += [f"CASE WHEN starts_with(stem, '{c}') AND length(stem) >= 4 THEN stem[2:] END" for c in "وفبلك"]
+    return "list_sort(list_distinct(list_filter([" + ", ".join(x for v in left for x in (v, fold(v))) + "], lambda x: x IS NOT NULL)))"
+
+
+@Q.add(f"""
+WITH {_ARABIC_WORDS_SQL}, m AS (SELECT w, '«' || {_MARKED_SQL.format(one=chr(92) + '1', all=", 'g'")} || '.' AS word FROM a),
+s AS (SELECT w, word, {_EDGE_SQL.format(f"regexp_replace(word, '{_MARK_SQL}', '', 'g')")} AS skel FROM m),
+t AS (SELECT *, CASE WHEN left(skel, 1) IN ('و', 'ف') AND length(skel) > 3 THEN skel[2:] ELSE skel END AS stem FROM s)
+SELECT w, skel, stem, regexp_replace(regexp_replace(translate(skel, 'أإآ', 'ااا'), 'ة$', 'ه'), 'ى$', 'ي') AS normal, array_to_string({_keys_sql()}, ',') AS keys FROM t
+""")
+def word_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Skeleton, stem, normal form and look-up keys of every distinct word, marked and in quotation marks."""
+    word = F.concat(F.lit("«"), F.expr(_MARKED_SQL.format(one="$1", all="")), F.lit("."))
+    rows = _arabic_words(spark, sf_dir).select("w", keys.skeleton(word).alias("skel"))
+    return rows.select(
+        "w",
+        "skel",
+        keys.strip_conjunction(F.col("skel")).alias("stem"),
+        keys.norm(F.col("skel")).alias("normal"),
+        F.array_join(F.array_sort(keys.variants(F.col("skel"))), ",").alias("keys"),
+    )
+
+
+_CHANGED_SQL = "CASE n % 4 WHEN 0 THEN m WHEN 1 THEN concat(m, 'ْ') WHEN 2 THEN replace(m, 'َ', 'ِ') ELSE concat(m, 'ن') END"
+
+
+@Q.add(f"""
+WITH {_ARABIC_WORDS_SQL}, m AS (SELECT w, n, {_MARKED_SQL.format(one=chr(92) + '1', all=", 'g'")} AS m FROM a), c AS (SELECT w, m, {_CHANGED_SQL} AS b FROM m),
+x AS (SELECT *, regexp_replace(m, '{_MARK_SQL}', '', 'g') AS bare, regexp_replace(b, '{_MARK_SQL}', '', 'g') AS other FROM c)
+SELECT w, CASE WHEN m = b THEN 'exact' WHEN bare <> other THEN 'skeleton'
+  WHEN regexp_replace(m, '{_MARK_SQL}+$', '') = regexp_replace(b, '{_MARK_SQL}+$', '') THEN 'final_only' ELSE 'internal' END AS cls FROM x
+""")
+def word_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How each marked word differs from a changed copy."""
+    rows = _arabic_words(spark, sf_dir).select("w", "n", F.expr(_MARKED_SQL.format(one="$1", all="")).alias("m")).withColumn("b", F.expr(_CHANGED_SQL))
+    return rows.select("w", keys.compare_words(F.col("m"), F.col("b")).alias("cls"))
+
+
+@Q.add(f"""
+WITH d AS (SELECT doc_id, {_GATE_TEXT_SQL} AS r FROM documents), x AS (SELECT doc_id, r, {_BEFORE_SQL} AS b FROM d), y AS (SELECT doc_id, r, {_AFTER_SQL.format(b='b', one=chr(92) + '1', all=", 'g'")} AS a FROM x),
+z AS (SELECT *, len(list_filter(string_split(a, ' '), lambda w: regexp_matches(w, '[ء-ي]'))) AS words, len(regexp_extract_all(a, '{_MARK_SQL}')) AS marks FROM y)
+SELECT doc_id, CASE WHEN regexp_replace(a, '{_MARK_SQL}', '', 'g') <> r THEN 'skeleton' WHEN regexp_matches(a, '[ًٌٍ]') THEN 'tanween' WHEN regexp_matches(a, 'ة[ً-ّ]') THEN 'taa'
+  WHEN marks < greatest(5, ceil(words * 12 / 10)) THEN 'density' END AS failed FROM z
+""")
+def failed_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first gate that each document fails after a layer of marks."""
+    found = F.transform(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)), latin.transliterate_word)
+    rows = texts(spark, sf_dir).select("doc_id", F.array_join(found, " ").alias("r"))
+    rows = rows.withColumn("b", F.expr(_BEFORE_SQL)).withColumn("a", F.expr(_AFTER_SQL.format(b="b", one="$1", all="")))
+    return rows.select("doc_id", gates.failed_gate(F.col("a"), F.col("r"), []).alias("failed"))
+
+
+@Q.add(f"""
+SELECT DISTINCT CAST(l_quantity AS BIGINT) AS n, concat_ws(' ', 'عندي', {_number_sql('CAST(l_quantity AS BIGINT)', 'egy')}, 'كتب') AS whole,
+  {_words_sql('CAST(l_quantity AS BIGINT)', 'egy')} || ' {numbers.PERCENT} منها' AS percent FROM lineitem
+""")
+def spoken_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantities in running text, as whole numbers and as percentages, read out."""
+    n = table(spark, sf_dir, "lineitem").select(F.col("l_quantity").cast("long").alias("n")).distinct()
+    speak = numbers.speak_numbers_udf("egy")
+    digits = F.col("n").cast("string")
+    return n.select("n", speak(F.concat(F.lit("عندي "), digits, F.lit(" كتب"))).alias("whole"), speak(F.concat(digits, F.lit("% منها"))).alias("percent"))
+
+
+def _squeezed_sql(text: str) -> str:
+    for sign in ".,!?؛:":
+        text = f"regexp_replace({text}, '[{sign}]+', '{sign}', 'g')"
+    return text
+
+
+_SIGNED_SQL = "replace(replace(text, ' the', ' ، the'), '.', ' ..؟؟ ')"
+
+
+@Q.add(f"""
+WITH d AS (SELECT doc_id, {_squeezed_sql(f"replace(replace({_SIGNED_SQL}, '،', ','), '؟', '?')")} AS t FROM documents),
+w AS (SELECT doc_id, list_filter(regexp_split_to_array(t, '[ \n\t]+'), lambda x: x <> '') AS w FROM d)
+SELECT doc_id, sha256(array_to_string(
+  list_transform(range(1, len(w) + 1), lambda i: CASE WHEN i = 1 OR regexp_full_match(w[i], '[.,!?؛:]+') THEN w[i] ELSE ' ' || w[i] END), '')) AS sha FROM w
+""")
+def settled_punctuation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signs converted, repeats reduced to one, signs that stand alone put to the word before them."""
+    text = punctuation.normalize_punctuation(F.expr(_SIGNED_SQL))
+    out = punctuation.attach_punctuation(text)
+    return texts(spark, sf_dir).select("doc_id", F.sha2(out, 256).alias("sha"))
+
+
+#: What a run says of each kind of order, and the class that it is counted under.
+_SAID = {"1-URGENT": ("API error 429: too many", "429-API"), "2-HIGH": ("اختلاف الهيكل في الكلمة", "SKELETON"), "3-MEDIUM": ("التاء المربوطة", "TAA"), "4-NOT SPECIFIED": ("تنوين", "TANWEEN"), "5-LOW": ("x", "OTHER")}
+
+
+@Q.add(f"SELECT CASE o_orderpriority {' '.join(f'WHEN {chr(39)}{k}{chr(39)} THEN {chr(39)}{c}{chr(39)}' for k, (_, c) in _SAID.items())} END AS cls, count(*) AS n FROM orders GROUP BY 1")
+def reasons_by_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Failures counted by the class of what was said of them."""
+    said = F.create_map(*(F.lit(x) for k, (s, _) in _SAID.items() for x in (k, s)))
+    reason = F.concat(F.try_element_at(said, F.col("o_orderpriority")), F.lit(""))
+    return table(spark, sf_dir, "orders").groupBy(stats.reason_class(reason).alias("cls")).agg(F.count("*").alias("n"))
