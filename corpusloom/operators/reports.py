@@ -8,6 +8,8 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.operators.joins import small
+
 
 def pool_category(split: Column, tokens: Column, frames: Column, max_tokens: int = 160, max_frames: int = 950) -> Column:
     """train_pool below both caps, train_borderline above one, else val."""
@@ -144,7 +146,7 @@ def inverted(mapping: Column) -> Column:
 
 def audited_update(df: DataFrame, changes: DataFrame, key: str, value: str) -> tuple[DataFrame, DataFrame]:
     """(updated table, log). changes: key, new, old, why; a row whose value is not the expected old one is an error."""
-    c = F.broadcast(changes)
+    c = small(changes)
     joined = df.join(c, key, "left")
     bad = F.col("new").isNotNull() & ~F.col(value).eqNullSafe(F.col("old"))
     checked = F.when(bad, F.raise_error(F.concat(F.lit("unexpected value of "), F.col(key).cast("string")))).otherwise(F.coalesce("new", value))

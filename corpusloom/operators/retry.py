@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.repair import parse_numbered
+from corpusloom.operators.joins import small
 
 Client = Callable[[list[str]], str]
 
@@ -137,4 +138,4 @@ def dead_letters(failures: DataFrame, successes: DataFrame, key: str, side: str,
     """Failures without a later success, and whether their side is within its cap."""
     left = failures.join(successes.select(key).distinct(), key, "left_anti")
     counts = left.groupBy(side).agg(F.count("*").alias("dead"))
-    return left.join(F.broadcast(counts), side).withColumn("within_cap", F.col("dead") <= cap)
+    return left.join(small(counts), side).withColumn("within_cap", F.col("dead") <= cap)

@@ -123,7 +123,7 @@ SELECT n_name, count(*) AS clips, round(sum(l_quantity) * 256 / 22050 / 3600, 6)
 """)
 def hours_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clips and hours by nation; frames are quantities."""
-    s = table(spark, sf_dir, "supplier").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("s_nationkey") == F.col("n_nationkey"))
+    s = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
     # Sums by supplier first: the join sees one row a supplier.
     per = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.count("*").alias("c"), F.sum("l_quantity").alias("q"))
     return per.join(s, F.col("l_suppkey") == F.col("s_suppkey")).groupBy("n_name").agg(
@@ -381,6 +381,6 @@ def frame_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 @Q.add("""SELECT n_name, r_name, count(s_suppkey) AS suppliers FROM nation JOIN region ON n_regionkey = r_regionkey LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY n_name, r_name""")
 def region_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers by nation; nations without any count 0."""
-    n = table(spark, sf_dir, "nation").join(F.broadcast(table(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    n = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     s = table(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.count("*").alias("suppliers"))
     return n.join(s, F.col("s_nationkey") == F.col("n_nationkey"), "left").select("n_name", "r_name", F.coalesce("suppliers", F.lit(0)).alias("suppliers"))
