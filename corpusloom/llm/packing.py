@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm import bm25, tokens
-from corpusloom.llm.bm25 import Corpus, ShardIndex, arrays, pair_keys, ranges
+from corpusloom.llm.bm25 import Corpus, ShardIndex, arrays, distinct, pair_keys, ranges
 from corpusloom.llm.storage import bounded, materialize
 from corpusloom.llm.worker import task
 
@@ -127,7 +127,7 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at in range(0, batch.num_rows, 512):
             flat, n = arrays(batch.slice(at, 512), "ids", "width")
             key, bits = pair_keys(flat, n)
-            term = np.unique(key) & key.dtype.type((1 << bits) - 1)
+            term = distinct(key) & key.dtype.type((1 << bits) - 1)
             count = np.bincount(term)
             if len(count) > len(seen):
                 seen = np.concatenate([seen, np.zeros(len(count) - len(seen), np.int64)])

@@ -13,6 +13,7 @@ other bytes, is encoded whole.
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 
 import numpy as np
 
@@ -81,6 +82,10 @@ _KIND = np.zeros(256, np.uint8)
 _KIND[[*range(65, 91), *range(97, 123)]] = 1
 _KIND[[*range(33, 39), *range(40, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = 2
 
+#: 1 for the bytes of ASCII letters and of letters from U+00C0 to U+023F (two of which are signs).
+_LETTER = (_KIND == 1).astype(np.uint8)
+_LETTER[0x80:0xC0] = _LETTER[0xC3:0xC9] = 1
+
 
 def _at_signs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Cut pieces also between letters and signs: both vocabularies do so before any merge."""
@@ -145,29 +150,54 @@ class Encoder:
             same[longer] = np.logical_and.reduceat(theirs == lanes[np.repeat(first[longer], more) + step], ends - more)
         return same
 
-    def _learn(self, pieces: list[str]) -> None:
-        """Add pieces. With spaces kept, a piece with other white space at an end
+    def _learn(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> None:
+        """Add the pieces data[begin:end]. With spaces kept, a piece with other white space at an end
         marks its text for encoding as a whole; so does one that may hold a special token."""
-        n = len(pieces)
+        n = len(begin)
+        size = end - begin
+        stop = np.cumsum(size)
+        first = stop - size
+        flat = data[np.repeat(begin - first, size) + np.arange(int(stop[-1]))]
+        in_word = _LETTER[flat]
+        in_word[:-1][(flat[:-1] == 0xC3) & ((flat[1:] == 0x97) | (flat[1:] == 0xB7))] = 0  # multiplication and division signs
+        letters = np.add.reduceat(in_word, first, dtype=np.int64)
+        plain = (flat[first] == 32) & (letters == size - 1) & (size > 1) if self.keep_space else letters == size
+        raw = flat.tobytes()
+        pieces = {i: raw[a:b].decode() for i, a, b in zip(*(x[~plain].tolist() for x in (np.arange(n), first, stop)), strict=True)}
         odd = np.zeros(n, bool)
-        plain, rest = [], []
-        for i, p in enumerate(pieces):
+        words, rest = [], []
+        for i, p in pieces.items():
             w = p[1:] if self.keep_space and p[0] == " " else p
             if w.isalpha() and (w.isascii() or max(w) < "\u0250") and (w is not p or not self.keep_space):
-                plain.append(i)
+                words.append(i)
             elif "<|" in w or self.keep_space and w != w.strip() and p != "\n":
                 odd[i] = True
             else:
                 rest.append(i)
         starts, sizes = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        for which, encode in ((plain, self._words), (rest, self._apart)):
-            for i in range(0, len(which), 512):
-                part = which[i : i + 512]
-                ids, size = encode([pieces[k] for k in part])
-                sizes[part] = size
-                starts[part] = self.n_ids + np.cumsum(size) - size
-                self.flat = _append(self.flat, self.n_ids, ids)
-                self.n_ids += len(ids)
+
+        def learned(part, ids: np.ndarray, size_of: np.ndarray) -> None:
+            sizes[part] = size_of
+            starts[part] = self.n_ids + np.cumsum(size_of) - size_of
+            self.flat = _append(self.flat, self.n_ids, ids)
+            self.n_ids += len(ids)
+
+        which = np.flatnonzero(plain)
+        text = flat[np.repeat(plain, size)]
+        ends = np.cumsum(size[which])
+        for i in range(0, len(which), 512):
+            a, b = int(ends[i - 1]) if i else 0, ends[i : i + 512]
+            span = text[a : b[-1]]
+            # Words without a space of their own are parted by one.
+            joined = span if self.keep_space else np.insert(span, b[:-1] - a, 32)
+            part = which[i : i + 512]
+            cut = lambda part=part: [raw[x:y].decode() for x, y in zip(first[part].tolist(), stop[part].tolist(), strict=True)]
+            learned(part, *self._words(joined.tobytes().decode(), len(part), cut))
+        for i in range(0, len(words), 512):
+            part = [pieces[k] for k in words[i : i + 512]]
+            learned(words[i : i + 512], *self._words(("" if self.keep_space else " ").join(part), len(part), lambda part=part: part))
+        for i in range(0, len(rest), 512):
+            learned(rest[i : i + 512], *self._apart([pieces[k] for k in rest[i : i + 512]]))
         self.starts = _append(self.starts, self.n, starts)
         self.sizes = _append(self.sizes, self.n, sizes)
         self.whole = _append(self.whole, self.n, odd)
@@ -176,13 +206,13 @@ class Encoder:
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
 
-    def _words(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids in a row, ids of each) of pieces that are one word each, encoded as
+    def _words(self, text: str, n: int, pieces: Callable[[], list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids in a row, ids of each) of n pieces that are one word each, encoded as
         running text: the words' own marks (a space in front, an end of word) part them."""
-        ids = self._ids("".join(pieces) if self.keep_space else " ".join(pieces))
+        ids = self._ids(text)
         at = np.flatnonzero(self.mark[ids])
-        if len(at) != len(pieces) or (at[0] != 0 if self.keep_space else at[-1] != len(ids) - 1):
-            return self._apart(pieces)
+        if len(at) != n or (at[0] != 0 if self.keep_space else at[-1] != len(ids) - 1):
+            return self._apart(pieces())
         return ids, np.diff(at, append=len(ids)) if self.keep_space else np.diff(at, prepend=-1)
 
     def _apart(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -247,10 +277,9 @@ class Encoder:
                 if not self.table.add(known, 0):
                     raise RuntimeError("the look-up table is too small")
             at[new] = number + self.n
-            raw = data.tobytes()
             place = new[first]
             self._remember(lanes, n_lanes, size, place)
-            self._learn([raw[a:b].decode() for a, b in zip(starts[place].tolist(), ends[place].tolist(), strict=True)])
+            self._learn(data, starts[place], ends[place])
         sizes = self.sizes[at]
         counts = np.searchsorted(starts, bounds)
         total = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])

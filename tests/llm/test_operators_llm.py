@@ -209,6 +209,56 @@ def test_encoder_equals_the_library(name, keep):
     assert n.tolist() == list(map(len, want)) and ids.tolist() == [i for x in want for i in x]
 
 
+@pytest.mark.parametrize(("name", "keep"), [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_new_words_are_learned_without_a_string_each(name, keep, monkeypatch):
+    import random
+
+    from tokenizers import Tokenizer
+
+    random.seed(11)
+    letters = "abcdefghXYZ\u00c0\u00df\u00e9\u00ff\u0101\u0130\u01c5\u023f"
+    words = {"".join(random.choices(letters, k=random.randint(1, 12))) for _ in range(1500)}
+    # Signs and letters at the borders of the bytes that count as letters.
+    odd = ["\u00d7", "a\u00d7b", "\u00f7c", "d\u00aa", "\u00b5m", "\u0240x", "\u024fy", "\u0250z", "e\u0301", "it's", "a1", "\u00e9,\u00e9", "\u4e2d\u6587"]
+    texts = [" ".join(words), " ".join(odd), " " + " ".join(odd + sorted(words)[:600]), "\u00c3", "\u00d7"]
+    t = Tokenizer.from_file(tokens.vocabulary_path(name))
+    e = tokens.Encoder(tokens.vocabulary_path(name), keep)
+    flat, n = e.encode(texts)
+    assert [x.tolist() for x in np.split(flat, np.cumsum(n)[:-1])] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+    # Letters only: the words reach the library as running text, cut from the bytes at once.
+    calls = []
+    monkeypatch.setattr(e, "_words", lambda *a, f=e._words: calls.append(type(a[0])) or f(*a))
+    e.encode([" q" + " q".join(sorted(words))])
+    assert len(calls) >= 2 and set(calls) == {str}
+
+
+def test_distinct_ids_are_sorted_not_hashed(monkeypatch):
+    import random
+
+    import pyarrow as pa
+
+    from corpusloom.llm import bm25, packing
+
+    random.seed(12)
+    docs = [[random.randint(0, 300) for _ in range(random.randint(1, 50))] for _ in range(700)]
+    batch = pa.record_batch(
+        {"row": list(range(700)), "width": pa.array([2] * 700, pa.int32()), "ids": [np.array(d, "<u2").tobytes() for d in docs]}
+    )
+    plain = np.unique
+
+    def slow(x, *a, **k):
+        assert a or k, "np.unique without counts or places hashes"
+        return plain(x, *a, **k)
+
+    monkeypatch.setattr(np, "unique", slow)
+    out = list(packing._frequencies(iter([batch.select(["width", "ids"])])))[0].to_pydict()
+    want = {t: sum(t in d for d in map(set, docs)) for t in {t for d in docs for t in d}}
+    assert dict(zip(out["term"], out["n"], strict=True)) == want
+    got = [np.frombuffer(x, "<u4").tolist() for b in bm25._query_terms(iter([batch])) for x in b.column("terms").to_pylist()]
+    assert got == [sorted(set(d)) for d in docs]
+    assert bm25.distinct(np.zeros(0, np.uint32)).tolist() == []
+
+
 def test_range_coder_round_trip_and_damage():
     from corpusloom.llm import rangecoder as rc
 
