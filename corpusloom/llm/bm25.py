@@ -30,6 +30,8 @@ NEIGHBOURS = 8
 SHARD_DOCS, SHARD_IDS = 4096, 4_000_000
 #: Bytes of the query ids that go to the tasks at once; queries that are multiplied at once.
 BLOCK_BYTES, QUERY_ROWS = 16 << 20, 512
+#: An id that fewer queries of those have is added query by query; rounds that bring like queries together.
+FEW, ROUNDS = 8, 8
 #: The share of documents that tells each query which scores can be among the best.
 FLOOR_SHARE = 8
 #: The smallest score above 0.
@@ -77,6 +79,23 @@ def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (total - sizes), sizes) + np.arange(int(total[-1]) if len(total) else 0)
 
 
+def alike(doc: np.ndarray, at: np.ndarray, m: int) -> np.ndarray:
+    """An order of m queries in which those with like common ids (doc, at: their pairs) stand together.
+
+    A query's place is the mean of its ids' values and an id's value the mean of its
+    queries' places, again and again: languages and other groups with ids of their own part.
+    """
+    value = np.sin(np.arange(int(at.max()) + 1 if len(at) else 0) * 12.9898)
+    size, count = np.maximum(np.bincount(doc, minlength=m), 1), np.maximum(np.bincount(at), 1)
+    place = np.zeros(m)
+    for _ in range(ROUNDS if len(at) else 0):
+        place = np.bincount(doc, value[at], m) / size
+        place -= np.average(place, weights=size)
+        value = np.bincount(at, place[doc]) / count
+        value /= max(np.abs(value).max(), 1e-300)
+    return np.argsort(place, kind="stable")
+
+
 class Queries:
     """Distinct ids of documents that are searched for, dealt to the two layouts."""
 
@@ -91,12 +110,17 @@ class Queries:
         order = np.argsort(term[~common], kind="stable")
         self.rare_term, self.rare_doc = term[~common][order], doc[~common][order]
 
-    def rows(self, a: int, b: int) -> np.ndarray:
-        """1 for each common id of the queries a to b."""
-        out = np.zeros((b - a, self.columns), np.float32)
+    def rows(self, a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Common ids of the queries a to b: the columns that at least FEW of them have, 1 for each
+        of their ids there, and the (query, column) pairs of all other columns."""
         i, j = self.first[a], self.first[b]
-        out[self.doc[i:j] - a, self.at[i:j]] = 1
-        return out
+        doc, at = self.doc[i:j] - a, self.at[i:j]
+        held = np.bincount(at, minlength=self.columns) >= FEW
+        columns = np.flatnonzero(held)
+        out = np.zeros((b - a, len(columns)), np.float32)
+        many = held[at]
+        out[doc[many], (np.cumsum(held) - 1)[at[many]]] = 1
+        return columns, out, doc[~many], at[~many]
 
 
 class ShardIndex:
@@ -112,8 +136,9 @@ class ShardIndex:
         weight = (corpus.idf[self.term] * tf * (K1 + 1) / (tf + norm)).astype(np.float32)
         at = corpus.column[self.term]
         common = at >= 0
-        self.matrix = np.zeros((self.docs, corpus.columns), np.float32)
-        self.matrix[self.doc[common], at[common]] = weight[common]
+        #: A row per common id.
+        self.matrix = np.zeros((corpus.columns, self.docs), np.float32)
+        self.matrix[at[common], self.doc[common]] = weight[common]
         #: A document's score against itself.
         self.own = np.bincount(self.doc, weight, self.docs).astype(np.float32)
         self.rare_doc, self.rare_term, self.rare_weight = self.doc[~common], self.term[~common], weight[~common]
@@ -134,7 +159,10 @@ class ShardIndex:
         ends = np.cumsum(np.bincount(q // QUERY_ROWS, minlength=-(-queries.m // QUERY_ROWS)))
         for a in range(0, queries.m, QUERY_ROWS):
             b = min(a + QUERY_ROWS, queries.m)
-            out = queries.rows(a, b) @ self.matrix.T
+            columns, ones, few, at = queries.rows(a, b)
+            out = ones @ self.matrix[columns]
+            for x, c in zip(few.tolist(), at.tolist(), strict=True):
+                out[x] += self.matrix[c]
             j = int(ends[a // QUERY_ROWS])
             i = int(ends[a // QUERY_ROWS - 1]) if a else 0
             np.add.at(out.reshape(-1), (q[i:j] - a) * self.docs + d[i:j], w[i:j])
@@ -250,7 +278,7 @@ def search(coded: DataFrame, corpus: Corpus, every: int = QUERY_EVERY, k: int =
     All shards are searched, in as many passes over `coded` as the queries' ids have
     blocks of BLOCK_BYTES: the work grows with queries times documents, what one task
     or the driver holds does not. A share of the documents is searched first; its k-th
-    best score is a lower bound of the final one, so that a task returns few rows.
+    best score is a lower bound of the final one, so that a task that searches the rest returns few rows.
     """
     spark = coded.sparkSession
     queries = materialize(
@@ -259,7 +287,8 @@ def search(coded: DataFrame, corpus: Corpus, every: int = QUERY_EVERY, k: int =
     blocks = max(1, -(-queries.agg(F.coalesce(F.sum(F.octet_length("terms")), F.lit(0))).first()[0] // BLOCK_BYTES))
     docs = coded.select("row", "n", "width", "ids")
     # Written apart, so that it has as few partitions as rows, and each returns k rows a query.
-    share = materialize(docs.where(F.pmod(F.xxhash64("row"), F.lit(FLOOR_SHARE)) == 0), "packing-share")
+    drawn = F.pmod(F.xxhash64("row"), F.lit(FLOOR_SHARE)) == 0
+    share, rest = materialize(docs.where(drawn), "packing-share"), docs.where(~drawn)
     share = share.coalesce(max(1, -(-docs.rdd.getNumPartitions() // FLOOR_SHARE)))
     found = None
     for b in range(blocks):
@@ -268,13 +297,16 @@ def search(coded: DataFrame, corpus: Corpus, every: int = QUERY_EVERY, k: int =
         rows = block.column("row").to_numpy()
         terms = [np.frombuffer(x.as_buffer(), "<u4") for x in block.column("terms")]
         sizes = np.array([len(x) for x in terms], np.int32)
-        terms = np.concatenate([np.zeros(0, "<u4"), *terms])
+        flat = np.concatenate([np.zeros(0, "<u4"), *terms])
+        at, doc = corpus.column[flat], np.repeat(np.arange(len(rows)), sizes)
+        order = alike(doc[at >= 0], at[at >= 0], len(rows))
+        rows, sizes, terms = rows[order], sizes[order], np.concatenate([np.zeros(0, "<u4"), *(terms[i] for i in order.tolist())])
         floor = np.zeros(len(rows), np.float32)
         if len(rows):
             shared = spark.sparkContext.broadcast((corpus, rows, sizes, terms, floor))
+            first = materialize(share.mapInArrow(_searcher(shared, k), _FOUND), "packing-first")
             low = (
-                share.mapInArrow(_searcher(shared, k), _FOUND)
-                .groupBy("query")
+                first.groupBy("query")
                 .agg(F.sort_array(F.collect_list("score"), asc=False).alias("s"))
                 .where(F.size("s") >= k)
                 .select("query", F.col("s")[k - 1].alias("floor"))
@@ -285,7 +317,7 @@ def search(coded: DataFrame, corpus: Corpus, every: int = QUERY_EVERY, k: int =
             floor *= np.float32(1 - 1e-5)  # sums of other shards may be rounded otherwise
             shared.unpersist()
         shared = spark.sparkContext.broadcast((corpus, rows, sizes, terms, floor))
-        part = docs.mapInArrow(_searcher(shared, k), _FOUND) if len(rows) else docs.where("false").select(
+        part = rest.mapInArrow(_searcher(shared, k), _FOUND).unionByName(first) if len(rows) else docs.where("false").select(
             F.col("row").alias("query"), "row", *(F.lit(0.0).cast("float").alias(c) for c in ("score", "share"))
         )
         ranked = part.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "row")))

@@ -259,6 +259,30 @@ def test_distinct_ids_are_sorted_not_hashed(monkeypatch):
     assert bm25.distinct(np.zeros(0, np.uint32)).tolist() == []
 
 
+def test_blocks_of_like_queries_multiply_only_their_columns():
+    from corpusloom.llm import bm25
+
+    rng = np.random.default_rng(3)
+    # Two languages of 40 ids, mixed row by row; some rows have an id of the other one.
+    docs = [np.sort(rng.choice(40, 12, replace=False)) + 40 * (i % 2) for i in range(1200)]
+    docs = [np.append(d, 79 - d[0]) if i % 50 == 0 else d for i, d in enumerate(docs)]
+    n = np.array([len(d) for d in docs])
+    flat, doc = np.concatenate(docs).astype(np.uint32), np.repeat(np.arange(1200), n)
+    corpus = bm25.Corpus.of(np.bincount(flat).astype(float), 1200, int(n.sum()))
+    assert corpus.columns == 80
+    order = bm25.alike(doc, corpus.column[flat], 1200)
+    assert sorted(order) == list(range(1200))
+    terms = [docs[i] for i in order]
+    queries = bm25.Queries(np.repeat(np.arange(1200), n[order]), np.concatenate(terms).astype(np.int64), 1200, corpus)
+    assert len(queries.rows(0, 512)[0]) <= 48
+    index = bm25.ShardIndex(flat, n, corpus)
+    got = np.concatenate([x for _, x in index.scores(queries)])
+    weight = np.zeros((1200, 80))
+    weight[doc, flat] = corpus.idf[flat] * (bm25.K1 + 1) / (1 + bm25.K1 * (1 - bm25.B + bm25.B * n[doc] / corpus.mean_length))
+    assert np.allclose(got, [weight[:, t].sum(1) for t in terms], rtol=1e-4)
+    assert bm25.alike(np.zeros(0, np.int64), np.zeros(0, np.int32), 3).tolist() == [0, 1, 2]
+
+
 def test_range_coder_round_trip_and_damage():
     from corpusloom.llm import rangecoder as rc
 
