@@ -21,8 +21,10 @@ from pyspark.sql import functions as F
 from corpusloom.llm import rangecoder, tokens
 from corpusloom.llm.worker import task
 
-#: A segment ends with the document that reaches so many ids.
+#: A segment ends before it exceeds so many ids, a full block; a larger run of documents is one of its own.
 SEGMENT_IDS = rangecoder.MAX_IDS
+#: Text of a run: short, so that segments come near their size.
+RUN_CHARS = tokens.CHUNK_CHARS
 FORMAT = "part int, seq int, start long, n_ids long, doc_ids array<long>, lengths array<long>, blocks array<binary>"
 
 
@@ -54,19 +56,19 @@ def _writer(path: str, keep_space: bool, end_id: int | None, segment_ids: int):
 
         for batch in batches:
             names = batch.column(0).to_pylist()
-            for i, texts in tokens.text_runs(batch, 1):
+            for i, texts in tokens.text_runs(batch, 1, RUN_CHARS):
                 flat, n = encode(texts)
                 if end_id is not None:
                     # One end id behind each document's ids.
                     flat = np.insert(flat, np.cumsum(n), end_id)
                     n = n + 1
+                if docs and held + len(flat) > segment_ids:
+                    yield segment()
+                    docs, lengths, ids, held = [], [], [], 0
                 docs += names[i : i + len(texts)]
                 lengths.append(n)
                 ids.append(flat)
                 held += len(flat)
-                if held >= segment_ids:
-                    yield segment()
-                    docs, lengths, ids, held = [], [], [], 0
         if docs:
             yield segment()
 

@@ -329,6 +329,56 @@ def test_blocks_are_read_alone():
     assert (rc.decode_block(b) == ids[-len(rc.decode_block(b)) :]).all() and len(rc.decode_block(a)) + len(rc.decode_block(b)) == len(ids)
 
 
+def test_pairs_are_sorted_once_and_found_by_a_guide(monkeypatch):
+    import hashlib
+
+    from corpusloom.llm import rangecoder as rc
+
+    # The blocks are those of the coder that sorted all pairs at each count, narrow and wide ids.
+    for times, want in ((1, "386664af347e1f2e"), (1000, "009e421d44a711fd")):
+        ids = (np.random.default_rng(9).geometric(0.05, 30_000) * times).astype(np.uint32)
+        block = rc.encode_block(ids)
+        assert hashlib.sha256(block).hexdigest()[:16] == want and (rc.decode_block(block) == ids).all()
+    ids = np.random.default_rng(10).geometric(0.01, 200_000).astype(np.uint32)
+    work = collections.Counter()
+    sort, search = np.sort, np.searchsorted
+    monkeypatch.setattr(np, "sort", lambda x, *a, **k: work.update(sorted=len(x)) or sort(x, *a, **k))
+    monkeypatch.setattr(np, "searchsorted", lambda x, v, *a, **k: work.update(searched=len(v)) or search(x, v, *a, **k))
+    assert (rc.decode_block(rc.encode_block(ids)) == ids).all()
+    assert work["sorted"] <= len(ids) and work["searched"] < len(ids) / 100, work
+
+
+def test_every_pair_of_a_context_is_found_at_every_place():
+    from corpusloom.llm import rangecoder as rc
+
+    # One context with many rare ids, so that buckets hold more pairs than are stepped over.
+    m = rc._Models(5000)
+    a = np.zeros(40_000, np.int64)
+    x = np.concatenate([np.repeat(np.arange(1, 4000), 2), np.full(40_000 - 7998, 4500)])
+    m.history = [(a, x), (np.arange(1, 4001), np.arange(1, 4001)), (np.arange(1, 4001), np.arange(1, 4001))]
+    m.count_pairs()
+    for context, ids in ((0, [*range(1, 4000), 4500]), (17, [17])):
+        rest = np.arange(1 << 19)
+        found = m.find_pairs(np.full(len(rest), context), rest)
+        pair = m.pair[found]
+        at, size = pair >> 20 & (1 << 20) - 1, pair & (1 << 20) - 1
+        assert (at <= rest).all() and (rest < at + size).all() and sorted(set((pair >> 40).tolist())) == ids
+
+
+def test_segments_fill_blocks(spark, tmp_path):
+    from corpusloom.llm.idfiles import read_id_digests, write_id_files
+
+    df = spark.range(3000).selectExpr("id doc_id", "repeat('one two three four ', 50 + cast(id % 7 as int)) text")
+    out = str(tmp_path / "ids")
+    write_id_files(df, out, tokens.vocabulary_path("word_bpe_49k.json"), False, end_id=2, partitions=1, segment_ids=200_000)
+    rows = spark.read.parquet(out).orderBy("start").select("start", "n_ids").collect()
+    n = [r["n_ids"] for r in rows]
+    assert len(n) > 2 and max(n) <= 200_000 and min(n[:-1]) > 100_000, n
+    assert [r["start"] for r in rows] == np.concatenate([[0], np.cumsum(n)[:-1]]).tolist()
+    total = 3000 + sum(4 * (50 + i % 7) for i in range(3000))
+    assert sum(n) == total and read_id_digests(spark, out).agg({"n_tokens": "sum"}).first()[0] == total
+
+
 def test_id_files(spark, odd, empty, tmp_path):
     from tokenizers import Tokenizer
 
