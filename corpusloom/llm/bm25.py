@@ -3,7 +3,9 @@
 A shard's postings are kept in two layouts: those of common ids (in at least one of
 COMMON documents of the corpus) as columns of a matrix with a row per document, all
 others as lists. Scores of a block of queries against a shard are one matrix product
-and the lists' contributions, over all ids of a query.
+and the lists' contributions, over all ids of a query. Where each query knows a score
+that its best reach, blocks of documents whose largest weights cannot add up to it are
+left out, which changes no result.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ NEIGHBOURS = 8
 SHARD_DOCS, SHARD_IDS = 4096, 4_000_000
 #: Bytes of the query ids that go to the tasks at once; queries that are multiplied at once.
 BLOCK_BYTES, QUERY_ROWS = 16 << 20, 512
+#: Documents that are skipped together where none of them can be among the best.
+BLOCK_DOCS = 64
 #: An id that fewer queries of those have is added query by query; rounds that bring like queries together.
 FEW, ROUNDS = 8, 8
 #: The share of documents that tells each query which scores can be among the best.
@@ -79,21 +83,28 @@ def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (total - sizes), sizes) + np.arange(int(total[-1]) if len(total) else 0)
 
 
-def alike(doc: np.ndarray, at: np.ndarray, m: int) -> np.ndarray:
-    """An order of m queries in which those with like common ids (doc, at: their pairs) stand together.
+def places(doc: np.ndarray, at: np.ndarray, m: int, columns: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(place of each of m queries, value of each common id): like ones lie near each other.
 
-    A query's place is the mean of its ids' values and an id's value the mean of its
-    queries' places, again and again: languages and other groups with ids of their own part.
+    doc, at: the pairs of a query and a common id. A query's place is the mean of its ids'
+    values and an id's value the mean of its queries' places, again and again: languages
+    and other groups with ids of their own part.
     """
-    value = np.sin(np.arange(int(at.max()) + 1 if len(at) else 0) * 12.9898)
-    size, count = np.maximum(np.bincount(doc, minlength=m), 1), np.maximum(np.bincount(at), 1)
+    columns = max(columns, int(at.max()) + 1 if len(at) else 0)
+    value = np.sin(np.arange(columns) * 12.9898)
+    size, count = np.maximum(np.bincount(doc, minlength=m), 1), np.maximum(np.bincount(at, minlength=columns), 1)
     place = np.zeros(m)
     for _ in range(ROUNDS if len(at) else 0):
         place = np.bincount(doc, value[at], m) / size
         place -= np.average(place, weights=size)
-        value = np.bincount(at, place[doc]) / count
+        value = np.bincount(at, place[doc], columns) / count
         value /= max(np.abs(value).max(), 1e-300)
-    return np.argsort(place, kind="stable")
+    return place, value
+
+
+def alike(doc: np.ndarray, at: np.ndarray, m: int) -> np.ndarray:
+    """An order of m queries in which those with like common ids (doc, at: their pairs) stand together."""
+    return np.argsort(places(doc, at, m)[0], kind="stable")
 
 
 class Queries:
@@ -126,7 +137,8 @@ class Queries:
 class ShardIndex:
     """BM25 inverted index of a shard's documents."""
 
-    def __init__(self, flat: np.ndarray, n: np.ndarray, corpus: Corpus):
+    def __init__(self, flat: np.ndarray, n: np.ndarray, corpus: Corpus, value: np.ndarray | None = None):
+        """value: one for each column; documents are numbered by the mean of their columns' values, and order has their rows."""
         key, bits = pair_keys(flat, n)
         key, tf = np.unique(key, return_counts=True)
         self.docs = len(n)
@@ -136,6 +148,13 @@ class ShardIndex:
         weight = (corpus.idf[self.term] * tf * (K1 + 1) / (tf + norm)).astype(np.float32)
         at = corpus.column[self.term]
         common = at >= 0
+        self.order = np.arange(self.docs)
+        if value is not None:
+            each = np.bincount(self.doc[common], minlength=self.docs)
+            self.order = np.argsort(np.bincount(self.doc[common], value[at[common]], self.docs) / np.maximum(each, 1), kind="stable")
+            place = np.empty(self.docs, np.int64)
+            place[self.order] = np.arange(self.docs)
+            self.doc = place[self.doc]
         #: A row per common id.
         self.matrix = np.zeros((corpus.columns, self.docs), np.float32)
         self.matrix[at[common], self.doc[common]] = weight[common]
@@ -168,6 +187,40 @@ class ShardIndex:
             np.add.at(out.reshape(-1), (q[i:j] - a) * self.docs + d[i:j], w[i:j])
             yield a, out
 
+    def hits(self, queries: Queries, floor: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(query, document, score) of all scores above 0 that reach the floor of their query.
+
+        The largest weight of each id among BLOCK_DOCS documents bounds their scores: a
+        query is multiplied only with the blocks whose bound reaches its floor.
+        """
+        q, d, w = self.rare(queries)
+        ends = np.cumsum(np.bincount(q // QUERY_ROWS, minlength=-(-queries.m // QUERY_ROWS)))
+        starts = np.arange(0, self.docs, BLOCK_DOCS)
+        width = len(starts) * BLOCK_DOCS
+        most = np.maximum.reduceat(self.matrix, starts, axis=1)
+        for a in range(0, queries.m, QUERY_ROWS):
+            b = min(a + QUERY_ROWS, queries.m)
+            columns, ones, few, at = queries.rows(a, b)
+            # What lists and ids of few queries add is summed first, and exact in the bound.
+            rest = np.zeros((b - a, width), np.float32)
+            for x, c in zip(few.tolist(), at.tolist(), strict=True):
+                rest[x, : self.docs] += self.matrix[c]
+            j = int(ends[a // QUERY_ROWS])
+            i = int(ends[a // QUERY_ROWS - 1]) if a else 0
+            np.add.at(rest.reshape(-1), (q[i:j] - a) * width + d[i:j], w[i:j])
+            least = np.maximum(floor[a:b], POSITIVE)
+            bound = ones @ most[columns] + rest.reshape(b - a, len(starts), BLOCK_DOCS).max(2)
+            # Sums may be rounded otherwise.
+            live = bound * np.float32(1 + 1e-4) >= least[:, None]
+            for k in np.flatnonzero(live.any(0)).tolist():
+                first, last = int(starts[k]), min(int(starts[k]) + BLOCK_DOCS, self.docs)
+                rows = np.flatnonzero(live[:, k])
+                out = ones[rows] @ self.matrix[columns, first:last] + rest[rows, first:last]
+                # One comparison, and places in one row: those of a matrix are found much slower.
+                found = np.flatnonzero(out >= least[rows][:, None])
+                x, y = np.divmod(found, last - first)
+                yield rows[x] + a, y + first, out.reshape(-1)[found]
+
     def all_scores(self, corpus: Corpus) -> np.ndarray:
         """Scores of the shard's documents against each other."""
         return np.concatenate([s for _, s in self.scores(Queries(self.doc, self.term, self.docs, corpus))])
@@ -178,30 +231,23 @@ class Best:
 
     def __init__(self, rows: np.ndarray, floor: np.ndarray, k: int):
         self.rows, self.k, self.floor = rows, k, floor.astype(np.float32)
-        self.order = np.argsort(rows)
         self.query, self.score, self.row = np.zeros(0, np.int64), np.zeros(0, np.float32), np.zeros(0, np.int64)
         #: Score by the document's score against itself.
         self.share = np.zeros(0, np.float32)
 
     def add(self, index: ShardIndex, rows: np.ndarray, queries: Queries) -> None:
-        # A document is no neighbour of itself.
-        at = np.searchsorted(self.rows, rows, sorter=self.order)
-        at = self.order[np.minimum(at, len(self.rows) - 1)]
-        own = np.flatnonzero(self.rows[at] == rows)
-        mine = at[own]
+        """rows: of the index's documents."""
         parts = [(self.query, self.score, self.row, self.share)]
         whole = np.maximum(index.own, np.float32(1e-9))
-        for a, s in index.scores(queries):
-            here = (mine >= a) & (mine < a + len(s))
-            s[mine[here] - a, own[here]] = 0
-            floor = self.floor[a : a + len(s)]
-            if index.docs > self.k and not floor.any():
-                floor = np.partition(s, index.docs - self.k, 1)[:, index.docs - self.k]
-            # One comparison, and places in one row: those of a matrix are found much slower.
-            at = np.flatnonzero(s >= np.maximum(floor, POSITIVE)[:, None])
-            q, d = np.divmod(at, index.docs)
-            score = s.reshape(-1)[at]
-            parts.append((q + a, score, rows[d], score / whole[d]))
+        if index.docs > self.k and not self.floor.any():
+            found = self._first(index, rows, queries)
+        else:
+            found = index.hits(queries, self.floor)
+        for q, d, score in found:
+            # A document is no neighbour of itself.
+            other = self.rows[q] != rows[d]
+            q, d, score = q[other], d[other], score[other]
+            parts.append((q, score, rows[d], score / whole[d]))
         query, score, row, share = (np.concatenate(x) for x in zip(*parts, strict=True))
         order = np.lexsort((row, -score, query))
         query = query[order]
@@ -211,6 +257,15 @@ class Best:
         last = place[keep] == self.k - 1
         self.floor[self.query[last]] = np.maximum(self.floor[self.query[last]], self.score[last])
 
+    def _first(self, index: ShardIndex, rows: np.ndarray, queries: Queries) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """The hits while no query has a floor: from k + 1 scores on, since one may be the query's own."""
+        k = min(self.k + 1, index.docs)
+        for a, s in index.scores(queries):
+            floor = np.partition(s, index.docs - k, 1)[:, index.docs - k]
+            at = np.flatnonzero(s >= np.maximum(floor, POSITIVE)[:, None])
+            q, d = np.divmod(at, index.docs)
+            yield q + a, d, s.reshape(-1)[at]
+
 
 def arrays(batch: pa.RecordBatch, ids: str, width: str) -> tuple[np.ndarray, np.ndarray]:
     """All ids of a batch in a row, and how many each document has."""
@@ -253,12 +308,13 @@ _FOUND = "query long, row long, score float, share float"
 def _searcher(shared, k: int):
     @task("packing")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        corpus, rows, sizes, terms, floor = shared.value
+        corpus, value, rows, sizes, terms, floor = shared.value
         doc = np.repeat(np.arange(len(rows)), sizes)
         queries, best = Queries(doc, terms.astype(np.int64), len(rows), corpus), Best(rows, floor, k)
         for part in shards(batches):
             flat, n = arrays(part, "ids", "width")
-            best.add(ShardIndex(flat, n, corpus), part.column("row").to_numpy(zero_copy_only=False), queries)
+            index = ShardIndex(flat, n, corpus, value)
+            best.add(index, part.column("row").to_numpy(zero_copy_only=False)[index.order], queries)
         yield pa.RecordBatch.from_arrays(
             [pa.array(rows[best.query]), pa.array(best.row), pa.array(best.score), pa.array(best.share)],
             names=["query", "row", "score", "share"],
@@ -299,11 +355,12 @@ def search(coded: DataFrame, corpus: Corpus, every: int = QUERY_EVERY, k: int =
         sizes = np.array([len(x) for x in terms], np.int32)
         flat = np.concatenate([np.zeros(0, "<u4"), *terms])
         at, doc = corpus.column[flat], np.repeat(np.arange(len(rows)), sizes)
-        order = alike(doc[at >= 0], at[at >= 0], len(rows))
+        place, value = places(doc[at >= 0], at[at >= 0], len(rows), corpus.columns)
+        order = np.argsort(place, kind="stable")
         rows, sizes, terms = rows[order], sizes[order], np.concatenate([np.zeros(0, "<u4"), *(terms[i] for i in order.tolist())])
         floor = np.zeros(len(rows), np.float32)
         if len(rows):
-            shared = spark.sparkContext.broadcast((corpus, rows, sizes, terms, floor))
+            shared = spark.sparkContext.broadcast((corpus, value, rows, sizes, terms, floor))
             first = materialize(share.mapInArrow(_searcher(shared, k), _FOUND), "packing-first")
             low = (
                 first.groupBy("query")
@@ -316,7 +373,7 @@ def search(coded: DataFrame, corpus: Corpus, every: int = QUERY_EVERY, k: int =
             floor[order[np.searchsorted(rows, low.column("query").to_numpy(), sorter=order)]] = low.column("floor").to_numpy()
             floor *= np.float32(1 - 1e-5)  # sums of other shards may be rounded otherwise
             shared.unpersist()
-        shared = spark.sparkContext.broadcast((corpus, rows, sizes, terms, floor))
+        shared = spark.sparkContext.broadcast((corpus, value, rows, sizes, terms, floor))
         part = rest.mapInArrow(_searcher(shared, k), _FOUND).unionByName(first) if len(rows) else docs.where("false").select(
             F.col("row").alias("query"), "row", *(F.lit(0.0).cast("float").alias(c) for c in ("score", "share"))
         )

@@ -7,17 +7,20 @@ those of its pieces, and a piece that was met before costs a look-up. Pieces are
 cut and hashed (64 bits) for many texts at once, without a Python string for
 each; the bytes of every piece are compared with those that the look-up found.
 A text for which the rule does not hold, or one with a piece whose hash stands for
-other bytes, is encoded whole.
+other bytes, is encoded whole. Where merges alone decide about a word of letters (the
+byte-level vocabulary), new words are merged many at a time (see merges).
 """
 
 from __future__ import annotations
 
 import os
 from collections.abc import Callable
+from pathlib import Path
 
 import numpy as np
 
 from corpusloom.llm.hashing import join_texts, lane_hashes, span_lanes, spans_of
+from corpusloom.llm.merges import LONGEST, Merges
 from corpusloom.llm.worker import kept
 
 #: Pieces that a worker remembers; past it the memory is emptied and refilled.
@@ -26,6 +29,8 @@ MEMORY = 1_500_000
 _SLOT_BITS, _PROBES = 22, 32
 #: A special token of both vocabularies: what stands on either side of it is encoded apart.
 APART = "<|endoftext|>"
+#: Bytes of a word that counts as short where words are merged many at a time.
+SHORT = 11
 #: Text that is cut and hashed at once.
 CHUNK_CHARS = 250_000
 
@@ -109,6 +114,8 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.apart = self.tokenizer.token_to_id(APART)
         self.keep_space = keep_space
+        #: None where more than merges decides about a word of letters.
+        self.merges = Merges.of(Path(path).read_text("utf-8")) if keep_space else None
         vocabulary = self.tokenizer.get_vocab()
         self.mark = np.zeros(max(vocabulary.values()) + 1, bool)
         ends = lambda t: t.startswith("\u0120") if keep_space else t.endswith("</w>")
@@ -126,6 +133,8 @@ class Encoder:
         #: The bytes of the pieces, as lanes.
         self.lanes, self.n_lanes = np.zeros(0, np.uint64), 0
         self.lane_at, self.bytes = np.zeros(0, np.int32), np.zeros(0, np.int32)
+        #: The first lane of each piece, once more: most pieces have no other.
+        self.head = np.zeros(0, np.uint64)
 
     def _remember(self, lanes: np.ndarray, n: np.ndarray, size: np.ndarray, which: np.ndarray) -> None:
         """Keep the bytes of the spans `which`, which are about to be learned in this order."""
@@ -134,13 +143,14 @@ class Encoder:
         at = np.repeat((np.cumsum(n) - n)[which] - (ends - n_of), n_of) + np.arange(int(ends[-1]))
         self.lane_at = _append(self.lane_at, self.n, self.n_lanes + ends - n_of)
         self.bytes = _append(self.bytes, self.n, size[which])
+        self.head = _append(self.head, self.n, lanes[at[ends - n_of]])
         self.lanes = _append(self.lanes, self.n_lanes, lanes[at])
         self.n_lanes += len(at)
 
     def _same(self, lanes: np.ndarray, n: np.ndarray, size: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Whether each span's bytes are those of the piece that it was looked up as."""
         first = np.cumsum(n) - n
-        same = (self.bytes[at] == size) & (self.lanes[self.lane_at[at]] == lanes[first])
+        same = (self.bytes[at] == size) & (self.head[at] == lanes[first])
         if len(lanes) > len(n) and len(longer := np.flatnonzero(same & (n > 1))):
             # The lanes behind the first one, of both sides.
             more = n[longer] - 1
@@ -182,17 +192,19 @@ class Encoder:
             self.flat = _append(self.flat, self.n_ids, ids)
             self.n_ids += len(ids)
 
-        which = np.flatnonzero(plain)
-        text = flat[np.repeat(plain, size)]
-        ends = np.cumsum(size[which])
-        for i in range(0, len(which), 512):
-            a, b = int(ends[i - 1]) if i else 0, ends[i : i + 512]
-            span = text[a : b[-1]]
-            # Words without a space of their own are parted by one.
-            joined = span if self.keep_space else np.insert(span, b[:-1] - a, 32)
-            part = which[i : i + 512]
-            cut = lambda part=part: [raw[x:y].decode() for x, y in zip(first[part].tolist(), stop[part].tolist(), strict=True)]
-            learned(part, *self._words(joined.tobytes().decode(), len(part), cut))
+        # Short and long words apart: merges take as many rounds as the longest word needs.
+        for some in (plain & (size <= SHORT), plain & (size > SHORT)) if self.merges else (plain,):
+            which, at_once = np.flatnonzero(some), 4096 if self.merges else 512
+            text = flat[np.repeat(some, size)]
+            ends = np.cumsum(size[which])
+            for i in range(0, len(which), at_once):
+                a, b = int(ends[i - 1]) if i else 0, ends[i : i + at_once]
+                span = text[a : b[-1]]
+                # Words without a space of their own are parted by one.
+                joined = span if self.keep_space else np.insert(span, b[:-1] - a, 32)
+                part = which[i : i + at_once]
+                cut = lambda part=part: [raw[x:y].decode() for x, y in zip(first[part].tolist(), stop[part].tolist(), strict=True)]
+                learned(part, *self._words(joined.tobytes().decode(), len(part), cut))
         for i in range(0, len(words), 512):
             part = [pieces[k] for k in words[i : i + 512]]
             learned(words[i : i + 512], *self._words(("" if self.keep_space else " ").join(part), len(part), lambda part=part: part))
@@ -207,8 +219,13 @@ class Encoder:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
 
     def _words(self, text: str, n: int, pieces: Callable[[], list[str]]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids in a row, ids of each) of n pieces that are one word each, encoded as
+        """(ids in a row, ids of each) of n (not 0) pieces that are one word each, encoded as
         running text: the words' own marks (a space in front, an end of word) part them."""
+        if self.merges:
+            data = np.frombuffer(text.encode(), np.uint8)
+            size = np.diff(np.flatnonzero(data == 32), append=len(data))
+            if len(size) == n and size.max() <= LONGEST:
+                return self.merges.encode(data, size)
         ids = self._ids(text)
         at = np.flatnonzero(self.mark[ids])
         if len(at) != n or (at[0] != 0 if self.keep_space else at[-1] != len(ids) - 1):

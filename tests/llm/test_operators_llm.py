@@ -283,6 +283,61 @@ def test_blocks_of_like_queries_multiply_only_their_columns():
     assert bm25.alike(np.zeros(0, np.int64), np.zeros(0, np.int32), 3).tolist() == [0, 1, 2]
 
 
+def test_merges_of_many_words_equal_the_library(monkeypatch):
+    import random
+    from pathlib import Path
+
+    from corpusloom.llm import merges
+
+    random.seed(13)
+    path = tokens.vocabulary_path("byte_bpe_50k.json")
+    words = [" " + "".join(random.choices("aeionthsrABé", k=random.randint(1, 14))) for _ in range(3000)] + [" " + "a" * k for k in range(1, 29)]
+    e = tokens.Encoder(path, True)
+    want = [e.tokenizer.encode(w, add_special_tokens=False).ids for w in words]
+    flat, n = e.merges.encode(np.frombuffer("".join(words).encode(), np.uint8), np.array([len(w.encode()) for w in words]))
+    assert [x.tolist() for x in np.split(flat, np.cumsum(n)[:-1])] == want
+    assert e.merges.encode(np.zeros(0, np.uint8), np.zeros(0, np.int64))[0].tolist() == []
+    # The other vocabulary changes words before it merges them.
+    assert merges.Merges.of(Path(tokens.vocabulary_path("word_bpe_49k.json")).read_text("utf-8")) is None
+
+    def library(text):
+        raise AssertionError("words of letters need no library")
+
+    before = e.encode(["1"])[0].tolist()
+    monkeypatch.setattr(e, "_ids", library)
+    assert e.encode(["1" + "".join(words)])[0].tolist() == before + [i for x in want for i in x]
+
+
+@pytest.mark.parametrize("docs", [64, 200, 515])
+def test_blocks_of_documents_below_the_floor_are_left_out(docs):
+    from corpusloom.llm import bm25
+
+    rng = np.random.default_rng(docs)
+    # Two languages, mixed row by row, with ids that few have.
+    texts = [np.append(rng.choice(60, 20) + 60 * (i % 2), rng.integers(120, 400, 2)) for i in range(docs)]
+    n = np.array([len(t) for t in texts])
+    flat, doc = np.concatenate(texts).astype(np.uint32), np.repeat(np.arange(docs), n)
+    df = np.bincount(np.concatenate([np.unique(t) for t in texts]), minlength=400).astype(float)
+    corpus = bm25.Corpus.of(df, docs, int(n.sum()))
+    at = corpus.column[flat]
+    place, value = bm25.places(doc[at >= 0], at[at >= 0], docs, corpus.columns)
+    order = np.argsort(place, kind="stable")
+    terms = [np.unique(texts[i]) for i in order]
+    queries = bm25.Queries(np.repeat(np.arange(docs), [len(t) for t in terms]), np.concatenate(terms).astype(np.int64), docs, corpus)
+    want = np.concatenate([x for _, x in bm25.ShardIndex(flat, n, corpus).scores(queries)])
+    index = bm25.ShardIndex(flat, n, corpus, value)
+    assert sorted(index.order) == list(range(docs))
+    floor = np.sort(want, 1)[:, -8] * np.float32(1 - 1e-5)
+    got = np.zeros_like(want)
+    parts = list(index.hits(queries, floor))
+    for q, d, score in parts:
+        assert (got[q, index.order[d]] == 0).all()
+        got[q, index.order[d]] = score
+    assert np.allclose(got, np.where(want >= floor[:, None], want, 0), rtol=1e-4)
+    # Nothing is multiplied where no bound reaches the floor.
+    assert not list(index.hits(queries, np.full(docs, 1e6, np.float32)))
+
+
 def test_range_coder_round_trip_and_damage():
     from corpusloom.llm import rangecoder as rc
 
